@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from helio.plans import q_alerts, q_projections  # noqa: F401
+from helio.plans import q_alerts, q_projections, q_select, q_stats, q_windows  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helio.functions import exprs as X
 from helio.operators import alerts, risk
 from helio.plans.q_alerts import HITS_CTES, SEVERITY_OF_LEVEL_CASE, metrics_long_cte
-from helio.plans.registry import register, sql_str, with_obs
+from helio.plans.registry import register, round_sql, sql_str, with_obs
 from helio.schema import (AURORA_REGIONS, INSIGHT_CALM, INSIGHT_EXTREME, INSIGHT_GPS,
                           INSIGHT_SAT, INSIGHT_SEVERITY_PREFIX, INSIGHT_STORM, INSIGHT_WIND,
                           MISSION_SYSTEMS)
@@ -16,8 +16,7 @@ from helio.sources.observations import observations
 
 
 def round2_sql(x: str) -> str:
-    """Round to 2 places, half up on the shortest decimal text of the double (Spark's rule)."""
-    return f"cast(round(cast(cast({x} as varchar) as decimal(38,18)), 2) as double)"
+    return round_sql(x, 2)
 
 
 def obs(spark, sf_dir):

@@ -41,3 +41,9 @@ def sql_str(s: str) -> str:
 
 def sql_num(x: float) -> str:
     return repr(float(x)) + "e0" if "e" not in repr(float(x)) else repr(float(x))
+
+
+def round_sql(x: str, places: int = 6) -> str:
+    """DuckDB text that rounds like Spark's ``round`` on doubles: half up on the
+    shortest decimal text of the value (DuckDB's own ``round`` scales in binary)."""
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38,18)), {places}) as double)"
