@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
-from helio.plans import q_alerts, q_projections, q_select, q_stats, q_windows  # noqa: F401
+from helio.plans import (q_alerts, q_projections, q_quality, q_select, q_stats,  # noqa: F401
+                         q_windows)
