@@ -43,7 +43,7 @@ NUMERIC_COLUMNS = FLOAT_COLUMNS + FLAG_COLUMNS
 HELPER_COLUMNS = [OBS_ID, SERIES, "kp_raw"]
 
 OBSERVATION_SCHEMA = T.StructType(
-    [T.StructField(TIME, T.TimestampType(), True)]
+    [T.StructField(TIME, T.TimestampNTZType(), True)]
     + [T.StructField(c, T.DoubleType(), True) for c in FLOAT_COLUMNS[:10]]
     + [T.StructField("flare_class", T.StringType(), True)]
     + [T.StructField(c, T.DoubleType(), True) for c in FLOAT_COLUMNS[10:12]]
@@ -53,6 +53,11 @@ OBSERVATION_SCHEMA = T.StructType(
        T.StructField("solar_cycle_phase", T.DoubleType(), True)]
 )
 
+# Observation table as derived from ``events``: identifiers first, Kp helper last.
+FULL_OBSERVATION_SCHEMA = T.StructType(
+    [T.StructField(OBS_ID, T.LongType(), True), T.StructField(SERIES, T.LongType(), True)]
+    + OBSERVATION_SCHEMA.fields + [T.StructField("kp_raw", T.DoubleType(), True)])
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results)
 # ---------------------------------------------------------------------------

@@ -69,15 +69,20 @@ def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ])
 
 
-def scan_observations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+CSV_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def scan_observations(spark: SparkSession, path: str, fmt: str = "csv",
+                      schema=OBSERVATION_SCHEMA) -> DataFrame:
     """Read an observation table written as CSV (header) or Parquet.
 
     The schema is explicit (no inference pass over the data); ``timestamp`` is
     parsed by the reader and NaN cells become NULL.
     """
     if fmt == "csv":
-        df = (spark.read.schema(OBSERVATION_SCHEMA)
+        df = (spark.read.schema(schema)
               .option("header", True)
+              .option("timestampNTZFormat", CSV_TIME_FORMAT)
               .option("nanValue", "NaN")
               .option("mode", "PERMISSIVE")
               .csv(path))
@@ -93,7 +98,7 @@ def sink_observations(df: DataFrame, path: str, fmt: str = "csv",
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("timestampNTZFormat", CSV_TIME_FORMAT).csv(path)
     else:
         writer.parquet(path)
 
