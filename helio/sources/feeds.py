@@ -106,7 +106,9 @@ def position_records(obs: DataFrame) -> DataFrame:
 def land(records: DataFrame, spark: SparkSession, name: str, files: int | None = None) -> str:
     """Write feed records as JSON lines under the shared checkpoint folder."""
     path = scratch_path(spark, name)
-    (records.repartition(files) if files else records).write.mode("overwrite").json(path)
+    (records.repartition(files) if files else records).write.mode("overwrite") \
+        .option("timestampNTZFormat", TIME_TAG_FORMAT) \
+        .option("timestampFormat", TIME_TAG_FORMAT).json(path)
     return path
 
 
