@@ -104,7 +104,7 @@ def trend_forecast_48h(df: DataFrame, series: str = SERIES, metrics: dict | None
         else:
             draws = F.transform(F.sequence(F.lit(1), F.lit(hours)),
                                 lambda i: hash_normal(F.col(series), i, seed) * F.lit(scale))
-            prev = lambda acc: F.coalesce(F.try_element_at(acc, F.size(acc)),
+            prev = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1),
                                           F.col(f"_{m}_last"))
             path = F.aggregate(
                 draws, F.array().cast("array<double>"),

@@ -180,7 +180,7 @@ def replay_window(obs: DataFrame, peaks: DataFrame, hours_before: int = 36,
     return j.select(F.col("p_series").alias(series), F.col("p_id").alias(peak_id),
                     F.col("p_ts").alias(peak_ts), F.col(ts),
                     F.floor(diff_us / F.lit(3_600_000_000)).cast("int").alias("hour"),
-                    F.col(KP), F.col(SAT), F.col(GPS))
+                    *[F.col(c) for c in (KP, SAT, GPS) if c in obs.columns])
 
 
 # -- R10 -----------------------------------------------------------------------

@@ -41,6 +41,16 @@ def to_long(df: DataFrame, cols: Sequence[str], name: str = "feature",
           .unpivot([], list(cols), name, value)
 
 
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over rows where both are present; NULL for a constant
+    column (the built-in ``corr`` raises DIVIDE_BY_ZERO there under ANSI)."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    both = a.isNotNull() & b.isNotNull()
+    a2, b2 = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_samp(a2, b2), F.stddev_samp(a2) * F.stddev_samp(b2))
+
+
 # -- quantiles ---------------------------------------------------------------------
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float], group: str = "feature",
@@ -65,7 +75,9 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], group: str = "featu
     hi = picked.select(group, F.col("_rn").alias("_hi"), F.col(value).alias("_vhi"))
     res = tgt.join(lo, [group, "_lo"]).join(hi, [group, "_hi"])
     frac = F.col("_h") - F.floor("_h")
-    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac
+    # (ceil − h)·lower + (h − floor)·upper: the interpolation rule of Spark's
+    # ``percentile`` and DuckDB's ``quantile_cont`` (bit-equal results)
+    q = (F.ceil("_h") - F.col("_h")) * F.col("_vlo") + frac * F.col("_vhi")
     return res.select(group, "p", F.when(frac == 0, F.col("_vlo")).otherwise(q).alias("q"))
 
 
@@ -145,7 +157,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = CORR_COLUMNS,
     triangle when ``lower_only``.  Constant columns give NULL.
     """
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if j <= i]
-    aggs = [F.corr(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs]
+    aggs = [safe_corr(cols[i], cols[j]).alias(f"c_{i}_{j}") for i, j in pairs]
     wide = df.agg(*aggs)
     cells = []
     for i in range(len(cols)):
@@ -186,7 +198,7 @@ def lagged_xcorr(df: DataFrame, x: str = "kp_index",
                              *[F.col(f"_{y}_{L + max_lag}").alias(y) for y in ys])
                     for L in lags])
     long = shifted.select(F.col(x), F.inline(arr))
-    return long.groupBy("lag").agg(*[F.corr(F.col(x), F.col(y)).alias(f"xcorr_{y}") for y in ys])
+    return long.groupBy("lag").agg(*[safe_corr(x, y).alias(f"xcorr_{y}") for y in ys])
 
 
 # -- A7, A8 ---------------------------------------------------------------------
