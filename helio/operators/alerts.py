@@ -4,8 +4,9 @@ The threshold table is tiny and fixed (5 metrics x 4 levels), so it is compiled
 into per-metric CASE expressions instead of being joined: scoring a row is a
 projection, there is no join and no shuffle, and the work stays inside one
 whole-stage-codegen span no matter how large the table grows.  The per-row
-ranking (L2) sorts an at-most-5-element array in the row, so it needs no
-window and no repartitioning either.
+ranking (L2) is a sum of comparisons between the row's ≤5 alert ranks, so it
+needs no window and no repartitioning either.  A missing reading compares as
+unknown and raises nothing.
 """
 
 from __future__ import annotations
@@ -21,21 +22,6 @@ from helio.schema import (ALERT_METRICS, LEVEL_RANK, LEVEL_TO_SEVERITY, SEVERITY
 KEYS = ("event_id", "series_id", "timestamp")
 
 
-def _alert_case(metric: str) -> Column:
-    """Most severe crossed threshold of one metric as a struct, NULL if none.
-
-    NULL values compare as unknown, so a missing reading raises nothing.
-    """
-    v = F.col(metric)
-    expr = None
-    for thr, level, msg in THRESHOLDS[metric]:
-        hit = F.struct(F.lit(level).alias("level"), F.lit(LEVEL_RANK[level]).alias("level_rank"),
-                       F.lit(msg).alias("message"), F.lit(float(thr)).alias("threshold"))
-        cond = v >= F.lit(float(thr))
-        expr = F.when(cond, hit) if expr is None else expr.when(cond, hit)
-    return expr
-
-
 def _level_rank_case(metric: str) -> Column:
     v = F.col(metric)
     expr = None
@@ -54,34 +40,34 @@ def threshold_alerts(df: DataFrame, metrics: Sequence[str] = ALERT_METRICS,
     ``message``, ``value`` (rounded to 2), ``threshold`` and ``alert_rank``
     (1 = most severe in the observation; ties kept in metric order).
     Fan-out is bounded: at most ``len(metrics)`` rows per observation.
+
+    Each metric's crossed level is one CASE column (its rank); level name,
+    message and threshold are array lookups by that rank, and the in-row
+    ranking is a sum of comparisons — plain codegen'd arithmetic, no
+    higher-order functions, no window.
     """
     metrics = [m for m in metrics if m in THRESHOLDS]
+    ranked = df.select(*keys, *[F.col(m).alias(f"_v{i}") for i, m in enumerate(metrics)],
+                       *[_level_rank_case(m).alias(f"_r{i}") for i, m in enumerate(metrics)])
+    by_rank = sorted(LEVEL_RANK.items(), key=lambda kv: kv[1])
+    level_names = F.array(*[F.lit(lvl) for lvl, _ in by_rank])
     elems = []
     for i, m in enumerate(metrics):
-        a = _alert_case(m)
-        elems.append(F.when(a.isNotNull(), F.struct(
-            (-a["level_rank"]).alias("neg_rank"),
-            F.lit(i).alias("metric_no"),
-            F.lit(m).alias("metric"),
-            a["level"].alias("level"),
-            a["level_rank"].alias("level_rank"),
-            a["message"].alias("message"),
-            F.round(F.col(m), 2).alias("value"),
-            a["threshold"].alias("threshold"),
-        )))
-    ranked = F.sort_array(F.filter(F.array(*elems), lambda x: x.isNotNull()))
-    out = df.select(*keys, F.posexplode(ranked).alias("pos", "a"))
-    return out.select(
-        *keys,
-        F.col("a.metric_no").alias("metric_no"),
-        F.col("a.metric").alias("metric"),
-        F.col("a.level").alias("level"),
-        F.col("a.level_rank").alias("level_rank"),
-        F.col("a.message").alias("message"),
-        F.col("a.value").alias("value"),
-        F.col("a.threshold").alias("threshold"),
-        (F.col("pos") + 1).alias("alert_rank"),
-    )
+        r = F.col(f"_r{i}")
+        per_level = {lvl: (thr, msg) for thr, lvl, msg in THRESHOLDS[m]}
+        msgs = F.array(*[F.lit(per_level[lvl][1]) for lvl, _ in by_rank])
+        thrs = F.array(*[F.lit(float(per_level[lvl][0])) for lvl, _ in by_rank])
+        ahead = [F.when(F.col(f"_r{j}").isNotNull() & (
+            (F.col(f"_r{j}") > r) | ((F.col(f"_r{j}") == r) & F.lit(j < i))), 1).otherwise(0)
+            for j in range(len(metrics)) if j != i]
+        pos = F.lit(1) + sum(ahead, F.lit(0))
+        elems.append(F.when(r.isNotNull(), F.struct(
+            F.lit(i).alias("metric_no"), F.lit(m).alias("metric"),
+            F.get(level_names, r).alias("level"), r.alias("level_rank"),
+            F.get(msgs, r).alias("message"), F.round(F.col(f"_v{i}"), 2).alias("value"),
+            F.get(thrs, r).alias("threshold"), pos.alias("alert_rank"))))
+    out = ranked.select(*keys, F.inline(F.array(*elems)))
+    return out.where(F.col("metric_no").isNotNull())
 
 
 def top_level_rank(metrics: Sequence[str] = ALERT_METRICS) -> Column:
