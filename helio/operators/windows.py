@@ -199,9 +199,12 @@ def sequences(df: DataFrame, col: str, look_back: int = 30, horizon: int = 2,
 def chronological_split(seqs: DataFrame, train_fraction: float = 0.85,
                         series: str | None = SERIES, pos: str = "seq_no") -> DataFrame:
     """First ``floor(fraction · n)`` sequences of each series are train."""
-    counts = seqs.groupBy(*_series_cols(series)).agg(F.count(F.lit(1)).alias("_n")) \
-        if series else seqs.agg(F.count(F.lit(1)).alias("_n"))
-    j = seqs.join(counts, [series]) if series else seqs.crossJoin(counts)
+    if series:
+        # one count row per series, joined back (AQE splits a skewed series' partition)
+        counts = seqs.groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
+        j = seqs.join(counts, [series])
+    else:
+        j = seqs.withColumn("_n", F.lit(seqs.count()))
     cut = F.floor(F.col("_n") * F.lit(train_fraction))
     return j.withColumn("split", F.when(F.col(pos) < cut, F.lit("train"))
                         .otherwise(F.lit("validation"))).drop("_n")
