@@ -54,18 +54,22 @@ def storm_days(df: DataFrame, kp: str = "kp_index", series: str | None = None) -
 
 
 def storm_periods(df: DataFrame, kp: str = "kp_index", series: str = SERIES,
-                  order: Sequence[str] = ORDER, numbered: DataFrame | None = None) -> DataFrame:
+                  order: Sequence[str] = ORDER, layout=None) -> DataFrame:
     """K4: contiguous stretches with Kp >= 5 (gaps and islands).
 
-    island id = row number in the series − row number among storm rows; both
-    come from one window pass.  Output: series, period_no, start/end time,
-    rows, peak Kp and the time of the (first) peak.
+    island id = row number in the series − row number among storm rows.  All
+    three numberings (rows, storm rows, periods) go through
+    :func:`helio.operators.windows.number_rows`, so a hot series is numbered
+    without a single-task window (``Layout`` auto/chunked).  Output: series,
+    period_no, start/end time, rows, peak Kp and the time of the (first) peak.
     """
-    w = Window.partitionBy(series).orderBy(*[F.col(c) for c in order])
-    src = numbered if numbered is not None else df.withColumn("rn", F.row_number().over(w))
-    storm = src.where(F.col(kp) >= F.lit(STORM_KP))
-    ws = Window.partitionBy(series).orderBy("rn")
-    islands = storm.withColumn("island", F.col("rn") - F.row_number().over(ws))
+    from helio.operators.windows import AUTO, number_rows, resolve_layout
+    base = df.select(series, *order, kp)
+    # one size check on the input; the storm rows and periods are subsets of it
+    layout = resolve_layout(base, series, layout or AUTO)
+    src = number_rows(base, series, order, "rn", layout)
+    storm = number_rows(src.where(F.col(kp) >= F.lit(STORM_KP)), series, ["rn"], "srn", layout)
+    islands = storm.withColumn("island", F.col("rn") - F.col("srn"))
     per = islands.groupBy(series, "island").agg(
         F.min(F.col(order[0])).alias("start_ts"),
         F.max(F.col(order[0])).alias("end_ts"),
@@ -74,9 +78,9 @@ def storm_periods(df: DataFrame, kp: str = "kp_index", series: str = SERIES,
         F.min_by(F.col(order[0]), F.struct(-F.col(kp), F.col("rn"))).alias("peak_ts"),
         F.min("rn").alias("start_rn"),
     )
-    wp = Window.partitionBy(series).orderBy("start_rn")
-    return per.select(series, F.row_number().over(wp).alias("period_no"), "start_ts", "end_ts",
-                      "rows", "peak_kp", "peak_ts")
+    per = number_rows(per, series, ["start_rn"], "period_no", layout)
+    return per.select(series, F.col("period_no").cast("int").alias("period_no"), "start_ts",
+                      "end_ts", "rows", "peak_kp", "peak_ts")
 
 
 def dst_severe(df: DataFrame, dst: str = "dst_index") -> DataFrame:

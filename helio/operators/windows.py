@@ -2,6 +2,8 @@
 
 Two layouts compute the same columns:
 
+``auto``     (default) keyed when the largest series fits one window task,
+             chunked otherwise — see :func:`resolve_layout`.
 ``keyed``    ``Window.partitionBy(series).orderBy(ts, id)``.  One shuffle; but a
              series is one task, so a series holding a third of the table is a
              third of the table in one task.
@@ -33,13 +35,30 @@ _MID_BITS = 33  # monotonically_increasing_id = partition id << 33 | row index
 
 @dataclass(frozen=True)
 class Layout:
-    mode: str = "keyed"          # "keyed" | "chunked"
-    chunk_rows: int = 1 << 20    # rows per chunk in chunked mode
+    mode: str = "auto"           # "auto" | "keyed" | "chunked"
+    chunk_rows: int = 1 << 20    # rows per chunk in chunked mode (max rows of a window task)
     partitions: int | None = None  # range partitions for numbering (None: shuffle partitions)
     broadcast_limit: int = 1 << 20  # max rows of the per-partition offset table to broadcast
 
 
 KEYED = Layout("keyed")
+AUTO = Layout("auto")
+
+
+def resolve_layout(df: DataFrame, series: str | None, layout: Layout) -> Layout:
+    """``auto``: keyed when the largest series fits one window task
+    (``chunk_rows``), otherwise chunked.  The size check is one partial
+    aggregate over the series column only (a count per series, then a max)."""
+    if layout.mode != "auto":
+        return layout
+    if series is None:
+        biggest = df.select(F.lit(1).alias("_one")).count()
+    else:
+        row = (df.groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
+                 .agg(F.max("_n").alias("_m")).first())
+        biggest = (row["_m"] if row else 0) or 0
+    mode = "chunked" if biggest > layout.chunk_rows else "keyed"
+    return Layout(mode, layout.chunk_rows, layout.partitions, layout.broadcast_limit)
 
 
 def _series_cols(series: str | None) -> list[Column]:
@@ -47,7 +66,7 @@ def _series_cols(series: str | None) -> list[Column]:
 
 
 def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str] = ORDER,
-                name: str = "rn", layout: Layout = KEYED) -> DataFrame:
+                name: str = "rn", layout: Layout = AUTO) -> DataFrame:
     """Row number (1-based) inside each series in ``order``.
 
     ``keyed``: ``row_number()`` over the series window.
@@ -59,6 +78,7 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
     A per-(partition, series) count table — at most partitions + series rows —
     gives each partition's offset inside its series by a running sum.
     """
+    layout = resolve_layout(df, series, layout)
     if layout.mode == "keyed":
         w = Window.partitionBy(*_series_cols(series)).orderBy(*[F.col(c) for c in order])
         return df.withColumn(name, F.row_number().over(w))
@@ -89,8 +109,9 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
 
 def apply_ordered(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]],
                   series: str | None = SERIES, order: Sequence[str] = ORDER,
-                  behind: int = 0, ahead: int = 0, layout: Layout = KEYED) -> DataFrame:
+                  behind: int = 0, ahead: int = 0, layout: Layout = AUTO) -> DataFrame:
     """Add the window columns ``build(spec)`` using the chosen layout."""
+    layout = resolve_layout(df, series, layout)
     if layout.mode == "keyed":
         spec = Window.partitionBy(*_series_cols(series)).orderBy(*[F.col(c) for c in order])
         return df.withColumns(build(spec))
@@ -153,7 +174,7 @@ def combine(*builders):
 
 
 def lag_rolling_features(df: DataFrame, cols: Sequence[str], series: str | None = SERIES,
-                         order: Sequence[str] = ORDER, layout: Layout = KEYED) -> DataFrame:
+                         order: Sequence[str] = ORDER, layout: Layout = AUTO) -> DataFrame:
     """W1–W3 in one window pass, in the reference's column order per input column:
     lag1, lag3, roll7, roll30, std7."""
     def build(spec: WindowSpec) -> dict[str, Column]:
@@ -170,7 +191,7 @@ def lag_rolling_features(df: DataFrame, cols: Sequence[str], series: str | None
 
 def sequences(df: DataFrame, col: str, look_back: int = 30, horizon: int = 2,
               series: str | None = SERIES, order: Sequence[str] = ORDER,
-              layout: Layout = KEYED, keep: Sequence[str] = ("event_id",)) -> DataFrame:
+              layout: Layout = AUTO, keep: Sequence[str] = ("event_id",)) -> DataFrame:
     """Sliding (x = next ``look_back`` values, y = the ``horizon`` after them)
     starting at every row; rows without a full y are dropped (n − look_back −
     horizon + 1 pairs per series).  Adds ``seq_no`` (0-based start position)."""
@@ -181,6 +202,7 @@ def sequences(df: DataFrame, col: str, look_back: int = 30, horizon: int = 2,
                 spec.rowsBetween(look_back, look_back + horizon - 1)),
             "seq_no": F.row_number().over(spec) - F.lit(1),
         }
+    layout = resolve_layout(df, series, layout)
     if layout.mode == "chunked":
         # seq_no must be global in the series: number first, then window.
         numbered = number_rows(df, series, order, "_seq_rn", layout)

@@ -186,3 +186,30 @@ def test_clip_bounds(spark, obs):
             assert r["c"] is None
         else:
             assert -5.0 <= r["c"] <= 5.0
+
+
+def _rows(df, cols):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                  for r in df.select(cols).collect())
+
+
+def test_auto_layout_picks_chunked_for_a_hot_series(spark, obs):
+    small = windows.Layout("auto", chunk_rows=16)
+    assert windows.resolve_layout(obs, "series_id", small).mode == "chunked"
+    assert windows.resolve_layout(obs, "series_id", windows.AUTO).mode == "keyed"
+
+
+def test_storm_periods_chunked_equals_keyed(spark, obs):
+    cols = ["series_id", "period_no", "start_ts", "end_ts", "rows", "peak_kp", "peak_ts"]
+    a = select.storm_periods(obs, layout=windows.KEYED)
+    b = select.storm_periods(obs, layout=windows.Layout("chunked", chunk_rows=16))
+    assert _rows(a, cols) == _rows(b, cols)
+
+
+def test_sequences_chunked_equals_keyed(spark, obs):
+    a = windows.sequences(obs, "kp_index", 30, 2, layout=windows.KEYED)
+    b = windows.sequences(obs, "kp_index", 30, 2, layout=windows.Layout("chunked", chunk_rows=40))
+    key = lambda r: (r["series_id"], r["seq_no"])
+    ra = sorted(((key(r), r["event_id"], list(r["x"]), list(r["y"])) for r in a.collect()))
+    rb = sorted(((key(r), r["event_id"], list(r["x"]), list(r["y"])) for r in b.collect()))
+    assert ra == rb
