@@ -121,6 +121,32 @@ def zscore_series(df: DataFrame, col: str = "kp_index", series: str | None = SER
 _PARTIAL_SCHEMA = "rid long, col_no int, d2 double, donor long, val double"
 
 
+def _top_k(sub: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Column indices of the ``k`` smallest ``(distance, id)`` per row of ``sub``.
+
+    ``argpartition`` keeps a window of ``k + 8`` candidates; only rows whose
+    k-th distance ties the window's largest (a tie may continue outside the
+    window) are fully sorted, so the (distance, id) order is exact.
+    """
+    n = sub.shape[1]
+    k = min(k, n)
+    m = min(k + 8, n)
+    if m < n:
+        win = np.argpartition(sub, m - 1, axis=1)[:, :m]
+    else:
+        win = np.broadcast_to(np.arange(n), sub.shape).copy()
+    wd = np.take_along_axis(sub, win, axis=1)
+    order = np.lexsort((ids[win], wd), axis=-1)
+    pick = np.take_along_axis(win, order[:, :k], axis=1)
+    if m < n:
+        kth = np.take_along_axis(wd, order[:, k - 1:k], axis=1)[:, 0]
+        redo = np.nonzero(kth >= wd.max(axis=1))[0]
+        for r in redo:
+            full = np.lexsort((ids, sub[r]))[:k]
+            pick[r] = full
+    return pick
+
+
 def _knn_partial_fn(cols: Sequence[str], k: int):
     ncol = len(cols)
 
@@ -137,18 +163,30 @@ def _knn_partial_fn(cols: Sequence[str], k: int):
         rid = recv["_id"].to_numpy(dtype=np.int64)
         did = donors["_id"].to_numpy(dtype=np.int64)
         pr, pd_ = ~np.isnan(R), ~np.isnan(D)
+        Rz, Dz = np.where(pr, R, 0.0), np.where(pd_, D, 0.0)
+        prf, pdf = pr.astype(np.float64), pd_.astype(np.float64)
+        full_r = pr.all(axis=0)
         out = []
         step = max(1, 4_000_000 // max(1, len(R)))  # bounded distance block
         for s in range(0, len(D), step):
             Dc, pc, ic = D[s:s + step], pd_[s:s + step], did[s:s + step]
-            acc = np.zeros((len(R), len(Dc)))
-            cnt = np.zeros((len(R), len(Dc)), dtype=np.int64)
-            # fixed column order, sequential sum: the same arithmetic as the SQL form
+            Dzc, pcf = Dz[s:s + step], pdf[s:s + step]
+            shape = (len(R), len(Dc))
+            acc, cnt = np.zeros(shape), np.zeros(shape)
+            buf, msk = np.empty(shape), np.empty(shape)
+            # Fixed column order, sequential sum, as the SQL form: the masked
+            # terms add exactly +0.0, so the sums are the same doubles.
             for j in range(ncol):
-                both = pr[:, j][:, None] & pc[:, j][None, :]
-                diff = np.where(both, R[:, j][:, None] - Dc[:, j][None, :], 0.0)
-                acc = acc + np.where(both, diff * diff, 0.0)
-                cnt += both
+                np.subtract(Rz[:, j, None], Dzc[None, :, j], out=buf)
+                np.multiply(buf, buf, out=buf)
+                if full_r[j] and pc[:, j].all():
+                    np.add(acc, buf, out=acc)   # column present on both sides
+                    cnt += 1.0
+                    continue
+                np.multiply(prf[:, j, None], pcf[None, :, j], out=msk)
+                np.multiply(buf, msk, out=buf)
+                np.add(acc, buf, out=acc)
+                np.add(cnt, msk, out=cnt)
             with np.errstate(divide="ignore", invalid="ignore"):
                 d2 = np.where(cnt > 0, (float(ncol) / cnt) * acc, np.inf)
             for j in range(ncol):
@@ -157,8 +195,7 @@ def _knn_partial_fn(cols: Sequence[str], k: int):
                 if len(rows) == 0 or len(cand) == 0:
                     continue
                 sub = d2[np.ix_(rows, cand)]
-                ids = np.broadcast_to(ic[cand], sub.shape)
-                order = np.lexsort((ids, sub), axis=-1)[:, :k]
+                order = _top_k(sub, ic[cand], k)
                 pick_d = np.take_along_axis(sub, order, axis=-1)
                 pick_c = cand[order]
                 ok = np.isfinite(pick_d)
