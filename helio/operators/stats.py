@@ -142,7 +142,8 @@ def storm_prob_by_flare(df: DataFrame, cls: str = "flare_class",
     """A4: mean storm flag x 100 per class in A..X order; absent class -> 0."""
     per = df.groupBy(cls).agg(F.avg(flag).alias("_m"))
     dim = _label_dim(df.sparkSession, cls, FLARE_CLASSES)
-    return (dim.join(F.broadcast(per), cls, "left")
+    # ``per`` has one row per distinct class in the data: no hint, AQE sizes it
+    return (dim.join(per, cls, "left")
                .select("label_no", cls, F.coalesce(F.col("_m") * F.lit(100.0), F.lit(0.0))
                        .alias("storm_prob_pct")))
 

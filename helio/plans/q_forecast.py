@@ -121,3 +121,30 @@ def q_replay_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir)
     peaks = select.storm_periods(o)
     return risk.replay_window(o, peaks)
+
+
+@register("peak_severity", with_obs(
+    f"""select series_id, max_kp, max_sat,
+  {_peak_case('max_kp', [(7, 'Extreme'), (5, 'High'), (3, 'Moderate'), (0, 'Low')])} as kp_severity,
+  {_peak_case('max_sat', [(80, 'Extreme'), (60, 'High'), (40, 'Moderate'), (0, 'Low')])} as sat_severity
+from (select series_id, max(kp_index) as max_kp, max(satellite_disruption_risk) as max_sat
+      from obs group by series_id) p"""))
+def q_peak_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7 on the observed peaks of each series."""
+    from helio.schema import PEAK_KP_CUTS, PEAK_SAT_CUTS
+    pk = observations(spark, sf_dir).groupBy("series_id").agg(
+        F.max("kp_index").alias("max_kp"), F.max("satellite_disruption_risk").alias("max_sat"))
+    return pk.select("series_id", "max_kp", "max_sat",
+                     risk.peak_label_expr(F.col("max_kp"), PEAK_KP_CUTS).alias("kp_severity"),
+                     risk.peak_label_expr(F.col("max_sat"), PEAK_SAT_CUTS).alias("sat_severity"))
+
+
+@register("storm_probability", with_obs(
+    """select series_id, max_kp,
+  least(100, cast(trunc(max_kp / 9e0 * 100e0) as integer)) as storm_probability
+from (select series_id, max(kp_index) as max_kp from obs group by series_id) p"""))
+def q_storm_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R8 on the observed Kp peak of each series (jitter 0)."""
+    pk = observations(spark, sf_dir).groupBy("series_id").agg(F.max("kp_index").alias("max_kp"))
+    return pk.select("series_id", "max_kp",
+                     risk.storm_probability_expr(F.col("max_kp")).alias("storm_probability"))
