@@ -70,7 +70,10 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], group: str = "featu
            .withColumn("_lo", F.floor("_h") + 1)
            .withColumn("_hi", F.ceil("_h") + 1))
     need = tgt.select(group, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rn"))
-    picked = numbered.join(need.distinct(), [group, "_rn"]).select(group, "_rn", value)
+    # ``need`` has at most groups x 2·len(probs) rows, and the groups are the
+    # columns named by the caller: a bound fixed by the arguments, so it is
+    # broadcast and the numbered rows are filtered where they are (no shuffle).
+    picked = numbered.join(F.broadcast(need.distinct()), [group, "_rn"]).select(group, "_rn", value)
     lo = picked.select(group, F.col("_rn").alias("_lo"), F.col(value).alias("_vlo"))
     hi = picked.select(group, F.col("_rn").alias("_hi"), F.col(value).alias("_vhi"))
     res = tgt.join(lo, [group, "_lo"]).join(hi, [group, "_hi"])
