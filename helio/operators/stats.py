@@ -126,12 +126,16 @@ def _label_dim(spark, name: str, labels: Sequence[str]) -> DataFrame:
 
 
 def severity_counts(df: DataFrame, col: str = "severity") -> DataFrame:
-    """A2: rows per severity with share in %, ordered Low..Extreme (label_no)."""
+    """A2: rows per severity with share in %, ordered Low..Extreme (label_no).
+
+    The total is one scalar count (fixed size), so the share is a projection —
+    no window over the grouped rows.
+    """
+    total = df.count()
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("rows"))
-    total = Window.partitionBy()  # over the <= a-few-rows aggregate only
     dim = _label_dim(df.sparkSession, col, SEVERITY_LABELS)
     out = counts.join(F.broadcast(dim), col, "left").withColumn(
-        "share_pct", F.col("rows") * F.lit(100.0) / F.sum("rows").over(total))
+        "share_pct", F.col("rows") * F.lit(100.0) / F.lit(float(total)))
     return out.select("label_no", col, "rows", "share_pct")
 
 
