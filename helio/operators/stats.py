@@ -271,8 +271,9 @@ def risk_kde(df: DataFrame, cols: Sequence[str] = ("satellite_disruption_risk",
              points: int = 200) -> DataFrame:
     """Gaussian KDE (Scott bandwidth n^(-1/5)·sample std) on ``points`` grid points.
 
-    Each row contributes to every grid point (×points fan-out inside the task,
-    partially aggregated before the shuffle: ``points`` rows per task).
+    Rows are first reduced to (value, count); each distinct value then
+    contributes to every grid point (×points fan-out inside the task, partially
+    aggregated before the shuffle: ``points`` rows per task).
     """
     prm = _params(df, cols)
     parts = []
@@ -284,11 +285,15 @@ def risk_kde(df: DataFrame, cols: Sequence[str] = ("satellite_disruption_risk",
         step = (hi - lo) / (points - 1)
         norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
         grid = F.sequence(F.lit(0), F.lit(points - 1))
-        g = df.where(F.col(c).isNotNull()).select(F.col(c).alias("x"), F.explode(grid).alias("point"))
+        # identical values contribute identically: pre-aggregate to (value, count)
+        # before the ×points expansion (exact; fewer rows when values repeat)
+        vals = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("x")).agg(
+            F.count(F.lit(1)).alias("w"))
+        g = vals.select("x", "w", F.explode(grid).alias("point"))
         gx = F.lit(lo) + F.col("point") * F.lit(step)
         z = (gx - F.col("x")) / F.lit(h)
         parts.append(g.select(F.lit(c).alias("feature"), "point", gx.alias("grid_x"),
-                              (F.exp(F.lit(-0.5) * z * z) * F.lit(norm)).alias("k")))
+                              (F.col("w") * F.exp(F.lit(-0.5) * z * z) * F.lit(norm)).alias("k")))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
