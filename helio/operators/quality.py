@@ -30,6 +30,17 @@ from pyspark.sql import functions as F
 from helio.operators.stats import quantile_table
 from helio.schema import NUMERIC_COLUMNS, SERIES
 
+# The grouped KNN function runs in executor Python workers, which need not have
+# this package installed: pickle this module's functions by value so they are
+# shipped with the task (numpy and pandas are imported on the worker).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001  (older cloudpickle: fall back to by-reference)
+    pass
+
 
 def _any_null(cols: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
@@ -74,15 +85,20 @@ def winsorize(df: DataFrame, cols: Sequence[str], probs=(0.01, 0.99), approx: bo
 # -- Q4 ----------------------------------------------------------------------------
 
 def scaler_params(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population std per column (std 0 or undefined -> 1)."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s")]
-    row = df.agg(*aggs).first().asDict()
+    """Mean and population std per column (std 0 or undefined -> 1).
+
+    Long form — unpivot, then one grouped aggregate with a group per column —
+    which stays small in generated code however many columns are scaled; the
+    result is one row per column, fetched to the driver (fixed size).
+    """
+    from helio.operators.stats import to_long
+    rows = to_long(df, cols).groupBy("feature").agg(
+        F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect()
+    got = {r["feature"]: (r["m"], r["s"]) for r in rows}
     out = {}
     for c in cols:
-        s = row[f"{c}__s"]
-        out[c] = (row[f"{c}__m"], s if s not in (None, 0.0) and not math.isnan(s) else 1.0)
+        m, s = got.get(c, (None, None))
+        out[c] = (m, s if s not in (None, 0.0) and not math.isnan(s) else 1.0)
     return out
 
 

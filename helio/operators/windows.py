@@ -72,9 +72,10 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
     ``keyed``: ``row_number()`` over the series window.
     ``chunked``: range-partition on (series, order) so a hot series spans many
     partitions, sort inside partitions, tag rows with
-    ``monotonically_increasing_id`` (increasing along the sort), and checkpoint
-    (the range bounds are sampled and the ids depend on partitioning, so the
-    tagged table must not be recomputed differently after an executor loss).
+    ``monotonically_increasing_id`` (increasing along the sort), and write the
+    tagged rows as a table in the shared checkpoint folder (the range bounds
+    are sampled and the ids depend on partitioning, so the tagged table must
+    not be recomputed differently after an executor loss).
     A per-(partition, series) count table — at most partitions + series rows —
     gives each partition's offset inside its series by a running sum.
     """
@@ -84,14 +85,13 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
         return df.withColumn(name, F.row_number().over(w))
 
     spark = df.sparkSession
-    from helio.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
+    from helio.session import materialize
     n_parts = layout.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _series_cols(series) + [F.col(c) for c in order]
-    tagged = (df.repartitionByRange(n_parts, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    tagged = materialize(df.repartitionByRange(n_parts, *keys)
+                           .sortWithinPartitions(*keys)
+                           .withColumn("_mid", F.monotonically_increasing_id()),
+                         "numbered")
     pid = F.shiftright(F.col("_mid"), _MID_BITS)
     grp = [pid.alias("_pid")] + _series_cols(series)
     stats = tagged.groupBy(*grp).agg(F.min("_mid").alias("_first"),

@@ -55,3 +55,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a Parquet table in the shared checkpoint
+    folder and reading it back (one pass; a reliable ``Dataset.checkpoint``
+    computes the plan twice unless it is cached).  The result no longer depends
+    on nondeterministic upstream choices (sampled range bounds, row ids), and a
+    lost executor re-reads the table instead of recomputing them."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
