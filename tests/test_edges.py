@@ -213,3 +213,47 @@ def test_sequences_chunked_equals_keyed(spark, obs):
     ra = sorted(((key(r), r["event_id"], list(r["x"]), list(r["y"])) for r in a.collect()))
     rb = sorted(((key(r), r["event_id"], list(r["x"]), list(r["y"])) for r in b.collect()))
     assert ra == rb
+
+
+@pytest.mark.parametrize("score,level", [(39.99, "LOW"), (40.0, "MODERATE"), (59.99, "MODERATE"),
+                                         (60.0, "HIGH"), (80.0, "EXTREME"), (150.0, "EXTREME")])
+def test_mission_cuts(spark, score, level):
+    df = spark.createDataFrame([(score,)], "s double")
+    assert df.select(risk.mission_level_expr(F.col("s"))).first()[0] == level
+
+
+@pytest.mark.parametrize("score,level", [(29.99, "Low"), (30.0, "Moderate"), (54.99, "Moderate"),
+                                         (55.0, "High"), (74.99, "High"), (75.0, "Extreme")])
+def test_failure_cuts(spark, score, level):
+    df = spark.createDataFrame([(score,)], "s double")
+    assert df.select(risk.failure_level_expr(F.col("s"))).first()[0] == level
+
+
+def test_failure_missing_wind_is_zero_low(spark):
+    df = spark.createDataFrame([(5.0, None, 50.0, 50.0)],
+                               "kp_index double, solar_wind_speed double, gps_blackout_prob double, "
+                               "satellite_disruption_risk double")
+    r = risk.satellite_failure(df).first()
+    assert r["failure_score"] == 0.0 and r["failure_level"] == "Low"
+
+
+def test_overlapping_polls_dedup(spark, tmp_path):
+    """Two poll files of 60 minutes sharing 50: 120 records in, 70 distinct out."""
+    from helio.sources import feeds as S
+    from helio.streaming import streams as T
+    base = datetime(2024, 1, 1)
+
+    def poll(start):
+        return [{"feed": "station-1",
+                 "time_tag": (base + timedelta(minutes=m)).strftime("%Y-%m-%dT%H:%M:%S.000000"),
+                 "kp_index": str(m % 9), "kp": f"{m % 9}P"} for m in range(start, start + 60)]
+    src = tmp_path / "polls"
+    src.mkdir()
+    import json
+    for i, start in enumerate((0, 10)):
+        (src / f"poll{i}.json").write_text("\n".join(json.dumps(r) for r in poll(start)))
+    clean = T.clean_feed_stream(T.read_stream(spark, str(src), S.KP_FEED_SCHEMA, max_files=1))
+    out = T.run_to_table(T.dedup_polls(clean).drop("event_time"), spark, "test-dedup")
+    got = spark.read.parquet(out)
+    assert got.count() == 70  # the 50 repeated minutes are dropped
+    assert got.select("time_tag").distinct().count() == 70
