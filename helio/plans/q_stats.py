@@ -77,6 +77,24 @@ def q_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("corr", F.round("corr", 6))
 
 
+LOWER_COLUMNS = A.CORR_COLUMNS[:10]
+
+
+def _corr_lower_sql() -> str:
+    cols = LOWER_COLUMNS
+    return "\nunion all ".join(
+        f"select {sql_str(cols[i])} as col_a, {sql_str(cols[j])} as col_b, "
+        f"{_r(f'corr({cols[i]}, {cols[j]})')} as corr from obs"
+        for i in range(len(cols)) for j in range(i))
+
+
+@register("correlation_lower", with_obs(_corr_lower_sql()))
+def q_correlation_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5, 10-column form: the strict lower triangle (45 cells)."""
+    out = A.correlation_matrix(observations(spark, sf_dir), LOWER_COLUMNS, lower_only=True)
+    return out.withColumn("corr", F.round("corr", 6))
+
+
 @register("lagged_xcorr", with_obs(
     f"""select g.lag,
   {_r('corr(a.kp_index, b.satellite_disruption_risk)')} as xcorr_satellite_disruption_risk,

@@ -67,3 +67,28 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20,
+                 shuffle_ratio: float = 1.0) -> dict[str, str]:
+    """Spark settings sized for a job reading ``input_bytes`` on ``cores`` cores.
+
+    Scan splits of ``target_partition_bytes`` (so a task's input fits executor
+    memory next to its hash/sort buffers); shuffle partitions sized for the
+    expected shuffle volume (``shuffle_ratio`` x input) at the same target, at
+    least 2 per core; AQE coalesces small partitions and splits skewed ones at
+    run time, and joins whose measured side is below the broadcast threshold
+    become broadcast joins.
+    """
+    shuffle_bytes = int(input_bytes * shuffle_ratio)
+    parts = max(2 * cores, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -257,3 +257,19 @@ def test_overlapping_polls_dedup(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == 70  # the 50 repeated minutes are dropped
     assert got.select("time_tag").distinct().count() == 70
+
+
+def test_kp_last60_strict_voids_batch(spark):
+    from helio.sources import feeds as S
+    rows = [("station-1", f"2024-01-01T00:{m:02d}:00.000000", None, "2P") for m in range(5)]
+    feed = spark.createDataFrame(rows, S.KP_FEED_SCHEMA)
+    assert S.feed_kp_last60(feed, 60, "kp").count() == 0        # unparsable -> dropped
+    with pytest.raises(Exception):
+        S.feed_kp_last60(feed, 60, "kp", strict=True).collect()  # one bad value fails all
+
+
+def test_cluster_conf_sizes_partitions():
+    from helio.session import cluster_conf
+    conf = cluster_conf(100 * (1 << 40), cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(cluster_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
