@@ -273,3 +273,22 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 * (1 << 40), cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_feature_columns_rules(spark, obs):
+    from helio.plans.prepare import engineer, feature_columns
+    eng = engineer(obs, impute=False)
+    feats = feature_columns(eng)
+    assert len(feats) == 43
+    assert "kp_index" in feats and "year" not in feats and "severity_enc" not in feats
+    assert not {"event_id", "series_id", "kp_raw", "satellite_disruption_risk",
+                "gps_blackout_prob", "storm_flag"} & set(feats)
+    assert len(feature_columns(eng, target="kp_index")) == 42
+
+
+def test_hash_split_is_repeatable(spark, obs):
+    a = ml.train_test_split(obs).select("event_id", "split")
+    b = ml.train_test_split(obs).select("event_id", "split")
+    assert sorted(a.collect()) == sorted(b.collect())
+    share = a.where("split = 'test'").count() / a.count()
+    assert 0.15 < share < 0.25
