@@ -225,41 +225,72 @@ def _knn_partial_fn(cols: Sequence[str], k: int):
 
 def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
               id_col: str = "event_id", receiver_block: int = 2048,
-              donor_block: int = 8192) -> DataFrame:
+              donor_block: int = 8192, block_cols: Sequence[str] | None = None) -> DataFrame:
     """Imputed value of every missing cell: (id, col_no, feature, value).
 
     Mean of the ``k`` nearest donors that have the column, by NaN-Euclidean
     distance over the columns present in both rows (scaled by
     columns / present); a cell without any donor gets the column mean.
+
+    ``block_cols`` (e.g. ``["series_id"]``): impute each block as its own
+    table — donors and the fallback mean come from the receiver's block.  The
+    block/part counts are then sized per block (one row per block joined
+    back), so a small block is one task and a hot block is split into
+    ``receiver_block`` x ``donor_block`` pieces like the whole table.
     """
     cols = list(cols)
-    base = df.select(F.col(id_col).cast("long").alias("_id"),
+    bc = list(block_cols or [])
+    base = df.select(F.col(id_col).cast("long").alias("_id"), *[F.col(b) for b in bc],
                      *[F.col(c).cast("double").alias(c) for c in cols])
     receivers = base.where(_any_null(cols))
-    n_r, n_d = receivers.count(), base.count()
     schema = f"{id_col} long, col_no int, feature string, value double"
-    if n_r == 0:
-        return df.sparkSession.createDataFrame([], schema)
-    nb = max(1, math.ceil(n_r / receiver_block))
-    nd = max(1, math.ceil(n_d / donor_block))
-    r = (receivers.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(nb)))
-         .withColumn("_dp", F.explode(F.sequence(F.lit(0), F.lit(nd - 1)))))
-    d = (base.withColumn("_dp", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(nd)))
-         .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
-    partial = (r.groupBy("_blk", "_dp").cogroup(d.groupBy("_blk", "_dp"))
+    if bc:
+        # one row per block: piece counts and the block's column means
+        sizes = (base.groupBy(*bc).agg(
+                    F.count(F.lit(1)).alias("_n_d"), F.count_if(_any_null(cols)).alias("_n_r"),
+                    *[F.avg(c).alias(f"_m{j}") for j, c in enumerate(cols)])
+                 .where(F.col("_n_r") > 0)
+                 .withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n_r") / F.lit(receiver_block)))
+                             .cast("long"))
+                 .withColumn("_nd", F.greatest(F.lit(1), F.ceil(F.col("_n_d") / F.lit(donor_block)))
+                             .cast("long")))
+        d0 = base.join(sizes, bc)
+        r0 = d0.where(_any_null(cols))
+        nb, nd = F.col("_nb"), F.col("_nd")
+    else:
+        n_r, n_d = receivers.count(), base.count()
+        if n_r == 0:
+            return df.sparkSession.createDataFrame([], schema)
+        r0, d0 = receivers, base
+        nb = F.lit(max(1, math.ceil(n_r / receiver_block)))
+        nd = F.lit(max(1, math.ceil(n_d / donor_block)))
+    r = (r0.withColumn("_blk", F.pmod(F.xxhash64("_id"), nb))
+           .withColumn("_dp", F.explode(F.sequence(F.lit(0).cast("long"), nd - 1))))
+    d = (d0.withColumn("_dp", F.pmod(F.xxhash64("_id", F.lit(7)), nd))
+           .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), nb - 1))))
+    keys = bc + ["_blk", "_dp"]
+    # fresh aliases on the donor side: both sides come from one table, and the
+    # cogroup keys must resolve to distinct attributes
+    d = d.select(*[F.col(x).alias(x) for x in keys + ["_id"] + cols])
+    partial = (r.select(*keys, "_id", *cols).groupBy(*keys)
+               .cogroup(d.groupBy(*keys))
                .applyInPandas(_knn_partial_fn(cols, k), _PARTIAL_SCHEMA))
     w = Window.partitionBy("rid", "col_no").orderBy("d2", "donor")
     top = partial.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     imp = top.groupBy("rid", "col_no").agg(F.avg("val").alias("imp"))
-    # every missing cell, with the column mean as the no-donor fallback
-    means = base.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    missing = receivers.select("_id", F.inline(F.array(*[
+    # every missing cell, with the column mean (of the table or the block) as
+    # the no-donor fallback
+    cells_of = lambda mean_of: F.inline(F.array(*[
         F.struct(F.lit(j).alias("col_no"), F.lit(c).alias("feature"),
-                 F.col(c).isNull().alias("_miss"), F.lit(means[c]).cast("double").alias("_mean"))
-        for j, c in enumerate(cols)]))).where("_miss")
-    cells = missing.join(imp, (missing["_id"] == imp["rid"]) & (missing["col_no"] == imp["col_no"]),
-                         "left")
-    return cells.select(missing["_id"].alias(id_col), missing["col_no"], "feature",
+                 F.col(c).isNull().alias("_miss"), mean_of(j, c).cast("double").alias("_mean"))
+        for j, c in enumerate(cols)]))
+    if bc:
+        missing = r0.select("_id", cells_of(lambda j, c: F.col(f"_m{j}"))).where("_miss")
+    else:
+        means = base.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
+        missing = receivers.select("_id", cells_of(lambda j, c: F.lit(means[c]))).where("_miss")
+    cells = missing.join(imp.withColumnRenamed("rid", "_id"), ["_id", "col_no"], "left")
+    return cells.select(F.col("_id").alias(id_col), "col_no", "feature",
                         F.coalesce(F.col("imp"), F.col("_mean")).alias("value"))
 
 

@@ -292,3 +292,26 @@ def test_hash_split_is_repeatable(spark, obs):
     assert sorted(a.collect()) == sorted(b.collect())
     share = a.where("split = 'test'").count() / a.count()
     assert 0.15 < share < 0.25
+
+
+def test_knn_block_cols_equals_per_block_brute_force(spark, obs):
+    from helio.schema import NUMERIC_COLUMNS
+    blocked = {(r["event_id"], r["col_no"]): r["value"]
+               for r in quality.knn_cells(obs, NUMERIC_COLUMNS, block_cols=["series_id"],
+                                          receiver_block=4, donor_block=16).collect()}
+    for sid in [r[0] for r in obs.select("series_id").distinct().limit(3).collect()]:
+        one = obs.where(F.col("series_id") == sid)
+        alone = {(r["event_id"], r["col_no"]): r["value"]
+                 for r in quality.knn_cells(one, NUMERIC_COLUMNS).collect()}
+        assert alone, sid
+        for key, v in alone.items():
+            assert blocked[key] == pytest.approx(v, abs=1e-9)
+
+
+def test_knn_split_blocks_equal_single_block(spark, obs):
+    from helio.schema import NUMERIC_COLUMNS
+    a = {(r["event_id"], r["col_no"]): r["value"] for r in quality.knn_cells(obs, NUMERIC_COLUMNS).collect()}
+    b = {(r["event_id"], r["col_no"]): r["value"]
+         for r in quality.knn_cells(obs, NUMERIC_COLUMNS, receiver_block=7, donor_block=50).collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
