@@ -137,33 +137,31 @@ def zscore_series(df: DataFrame, col: str = "kp_index", series: str | None = SER
 _PARTIAL_SCHEMA = "rid long, col_no int, d2 double, donor long, val double"
 
 
-def _top_k(sub: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of the ``k`` smallest ``(distance, id)`` per row of ``sub``.
-
-    ``argpartition`` keeps a window of ``k + 8`` candidates; only rows whose
-    k-th distance ties the window's largest (a tie may continue outside the
-    window) are fully sorted, so the (distance, id) order is exact.
-    """
-    n = sub.shape[1]
-    k = min(k, n)
-    m = min(k + 8, n)
-    if m < n:
-        win = np.argpartition(sub, m - 1, axis=1)[:, :m]
-    else:
-        win = np.broadcast_to(np.arange(n), sub.shape).copy()
-    wd = np.take_along_axis(sub, win, axis=1)
-    order = np.lexsort((ids[win], wd), axis=-1)
-    pick = np.take_along_axis(win, order[:, :k], axis=1)
-    if m < n:
-        kth = np.take_along_axis(wd, order[:, k - 1:k], axis=1)[:, 0]
-        redo = np.nonzero(kth >= wd.max(axis=1))[0]
-        for r in redo:
-            full = np.lexsort((ids, sub[r]))[:k]
-            pick[r] = full
-    return pick
+def _exact_d2(Rz, Dz, prf, pdf, ri, di, ncol):
+    """Exact NaN-Euclidean d² for the pairs (ri[p], di[p]): the fixed column
+    order and sequential sum of the SQL form (masked terms add exactly +0.0)."""
+    acc = np.zeros(len(ri))
+    cnt = np.zeros(len(ri))
+    for j in range(ncol):
+        diff = Rz[ri, j] - Dz[di, j]
+        m = prf[ri, j] * pdf[di, j]
+        acc = acc + (diff * diff) * m
+        cnt = cnt + m
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(cnt > 0, (float(ncol) / cnt) * acc, np.inf)
 
 
 def _knn_partial_fn(cols: Sequence[str], k: int):
+    """Per (receiver block, donor part): the k nearest donors of every missing cell.
+
+    Candidates are ranked with BLAS (masked ‖r‖² + ‖d‖² − 2·r·d, three matrix
+    products); every donor whose approximate distance is within a bound on the
+    floating-point error of the k-th smallest is kept, and only those are
+    recomputed with the exact sequential arithmetic (the same doubles as the
+    SQL form) before the final (distance, id) choice.  The bound (1e-12 of the
+    squared norms, ~100x the rounding error of a 15-term product sum) makes
+    the shortlist contain the exact k nearest, so the result is exact.
+    """
     ncol = len(cols)
 
     def fn(recv: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
@@ -181,44 +179,62 @@ def _knn_partial_fn(cols: Sequence[str], k: int):
         pr, pd_ = ~np.isnan(R), ~np.isnan(D)
         Rz, Dz = np.where(pr, R, 0.0), np.where(pd_, D, 0.0)
         prf, pdf = pr.astype(np.float64), pd_.astype(np.float64)
-        full_r = pr.all(axis=0)
-        out = []
+        Rz2, Dz2 = Rz * Rz, Dz * Dz
+        sq_r = Rz2.sum(axis=1)
+        rows_of = [np.nonzero(~pr[:, j])[0] for j in range(ncol)]
+        best_d = [np.full((len(r_), 0), np.inf) for r_ in rows_of]
+        best_i = [np.zeros((len(r_), 0), dtype=np.int64) for r_ in rows_of]
+        best_v = [np.zeros((len(r_), 0)) for r_ in rows_of]
         step = max(1, 4_000_000 // max(1, len(R)))  # bounded distance block
         for s in range(0, len(D), step):
-            Dc, pc, ic = D[s:s + step], pd_[s:s + step], did[s:s + step]
-            Dzc, pcf = Dz[s:s + step], pdf[s:s + step]
-            shape = (len(R), len(Dc))
-            acc, cnt = np.zeros(shape), np.zeros(shape)
-            buf, msk = np.empty(shape), np.empty(shape)
-            # Fixed column order, sequential sum, as the SQL form: the masked
-            # terms add exactly +0.0, so the sums are the same doubles.
-            for j in range(ncol):
-                np.subtract(Rz[:, j, None], Dzc[None, :, j], out=buf)
-                np.multiply(buf, buf, out=buf)
-                if full_r[j] and pc[:, j].all():
-                    np.add(acc, buf, out=acc)   # column present on both sides
-                    cnt += 1.0
-                    continue
-                np.multiply(prf[:, j, None], pcf[None, :, j], out=msk)
-                np.multiply(buf, msk, out=buf)
-                np.add(acc, buf, out=acc)
-                np.add(cnt, msk, out=cnt)
+            sl = slice(s, s + step)
+            Dc, pc, ic = D[sl], pd_[sl], did[sl]
+            A = Rz2 @ pdf[sl].T + prf @ Dz2[sl].T - 2.0 * (Rz @ Dz[sl].T)
+            cnt = prf @ pdf[sl].T
             with np.errstate(divide="ignore", invalid="ignore"):
-                d2 = np.where(cnt > 0, (float(ncol) / cnt) * acc, np.inf)
+                approx = np.where(cnt > 0, (float(ncol) / cnt) * A, np.inf)
+            err = 1e-12 * float(ncol) * (sq_r[:, None] + Dz2[sl].sum(axis=1)[None, :].max() + 1.0)
             for j in range(ncol):
-                rows = np.nonzero(~pr[:, j])[0]
+                rows = rows_of[j]
                 cand = np.nonzero(pc[:, j])[0]
                 if len(rows) == 0 or len(cand) == 0:
                     continue
-                sub = d2[np.ix_(rows, cand)]
-                order = _top_k(sub, ic[cand], k)
-                pick_d = np.take_along_axis(sub, order, axis=-1)
-                pick_c = cand[order]
-                ok = np.isfinite(pick_d)
-                rr = np.repeat(rows, pick_d.shape[1]).reshape(pick_d.shape)
-                out.append(pd.DataFrame({
-                    "rid": rid[rr[ok]], "col_no": np.full(ok.sum(), j, dtype=np.int32),
-                    "d2": pick_d[ok], "donor": ic[pick_c[ok]], "val": Dc[pick_c[ok], j]}))
+                sub = approx[np.ix_(rows, cand)]
+                kk = min(k, sub.shape[1])
+                kth = np.partition(sub, kk - 1, axis=1)[:, kk - 1:kk]
+                short = sub <= kth + 2.0 * err[rows]
+                pr_idx, pc_idx = np.nonzero(short)
+                ri, dj = rows[pr_idx], cand[pc_idx]
+                ex = _exact_d2(Rz, Dz[sl], prf, pdf[sl], ri, dj, ncol)
+                order = np.lexsort((ic[dj], ex, pr_idx))
+                pr_s, ex_s, dj_s = pr_idx[order], ex[order], dj[order]
+                first = np.searchsorted(pr_s, np.arange(len(rows)))
+                rank = np.arange(len(pr_s)) - first[pr_s]
+                take = rank < kk
+                cd = np.full((len(rows), kk), np.inf)
+                ci = np.zeros((len(rows), kk), dtype=np.int64)
+                cv = np.zeros((len(rows), kk))
+                cd[pr_s[take], rank[take]] = ex_s[take]
+                ci[pr_s[take], rank[take]] = ic[dj_s[take]]
+                cv[pr_s[take], rank[take]] = Dc[dj_s[take], j]
+                # merge with the best so far (earlier donor chunks) by (d2, id)
+                md = np.concatenate([best_d[j], cd], axis=1)
+                mi = np.concatenate([best_i[j], ci], axis=1)
+                mv = np.concatenate([best_v[j], cv], axis=1)
+                keep = np.lexsort((mi, md), axis=-1)[:, :k]
+                best_d[j] = np.take_along_axis(md, keep, axis=-1)
+                best_i[j] = np.take_along_axis(mi, keep, axis=-1)
+                best_v[j] = np.take_along_axis(mv, keep, axis=-1)
+        out = []
+        for j in range(ncol):
+            rows = rows_of[j]
+            if len(rows) == 0:
+                continue
+            ok = np.isfinite(best_d[j])
+            rr = np.repeat(rows, best_d[j].shape[1]).reshape(best_d[j].shape)
+            out.append(pd.DataFrame({
+                "rid": rid[rr[ok]], "col_no": np.full(ok.sum(), j, dtype=np.int32),
+                "d2": best_d[j][ok], "donor": best_i[j][ok], "val": best_v[j][ok]}))
         return pd.concat(out, ignore_index=True) if out else empty
     return fn
 
@@ -269,10 +285,20 @@ def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
     d = (d0.withColumn("_dp", F.pmod(F.xxhash64("_id", F.lit(7)), nd))
            .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), nb - 1))))
     keys = bc + ["_blk", "_dp"]
-    # fresh aliases on the donor side: both sides come from one table, and the
-    # cogroup keys must resolve to distinct attributes
-    d = d.select(*[F.col(x).alias(x) for x in keys + ["_id"] + cols])
-    partial = (r.select(*keys, "_id", *cols).groupBy(*keys)
+    # Both sides are hash partitioned on the same long keys into an explicit
+    # number of partitions: a (block, part) group is small in bytes but heavy
+    # in CPU, and a user-numbered repartition is not coalesced by AQE, so the
+    # groups stay spread over the cores instead of being packed into a few
+    # tasks.  Fresh aliases on the donor side keep the cogroup keys distinct
+    # attributes (both sides come from one table).
+    if bc:
+        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        n_parts = max(1, min(100_000, 2 * (max(1, math.ceil(n_r / receiver_block))
+                                           * max(1, math.ceil(n_d / donor_block)))))
+    r = r.select(*keys, "_id", *cols).repartition(n_parts, *keys)
+    d = d.select(*[F.col(x).alias(x) for x in keys + ["_id"] + cols]).repartition(n_parts, *keys)
+    partial = (r.groupBy(*keys)
                .cogroup(d.groupBy(*keys))
                .applyInPandas(_knn_partial_fn(cols, k), _PARTIAL_SCHEMA))
     w = Window.partitionBy("rid", "col_no").orderBy("d2", "donor")
