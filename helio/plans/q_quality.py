@@ -79,11 +79,14 @@ def clip_sql(c, lo, hi) -> str:
 
 @register("winsorize", with_obs(
     "select o.event_id, " + ", ".join(
-        f"{clip_sql('o.' + c, f'wb.{c}_lo', f'wb.{c}_hi')} as {c}" for c in WINSOR_COLUMNS)
+        f"{round_sql(clip_sql('o.' + c, f'wb.{c}_lo', f'wb.{c}_hi'))} as {c}" for c in WINSOR_COLUMNS)
     + " from obs o cross join wb", winsor_sql()))
 def q_winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3 (check T: rounded to 6 places on both sides — the interpolated bounds
+    can differ in the last binary digit between engines)."""
     o = observations(spark, sf_dir)
-    return Q.winsorize(o, WINSOR_COLUMNS).select("event_id", *WINSOR_COLUMNS)
+    return Q.winsorize(o, WINSOR_COLUMNS).select(
+        "event_id", *[F.round(c, 6).alias(c) for c in WINSOR_COLUMNS])
 
 
 @register("standard_scale", with_obs(
