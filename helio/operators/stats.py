@@ -79,7 +79,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], group: str = "featu
     res = tgt.join(lo, [group, "_lo"]).join(hi, [group, "_hi"])
     frac = F.col("_h") - F.floor("_h")
     # (ceil − h)·lower + (h − floor)·upper: the interpolation rule of Spark's
-    # ``percentile`` and DuckDB's ``quantile_cont`` (bit-equal results)
+    # ``percentile`` (DuckDB's ``quantile_cont`` can differ in the last bit)
     q = (F.ceil("_h") - F.col("_h")) * F.col("_vlo") + frac * F.col("_vhi")
     return res.select(group, "p", F.when(frac == 0, F.col("_vlo")).otherwise(q).alias("q"))
 
