@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helio.llm.stages import NO_ID, documents
+from helio.llm.stages import NO_ID, documents, written
 
 PIECES = 256
 _SPACE = " \t\n\x0b\x0c\r"
@@ -51,11 +51,13 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lines = _identified(docs, id_col, text_col).select(
         "doc", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keyed = (lines.select("doc", "text_hash", "pos", line_key(F.col("line")).alias("key"))
-             .filter(F.length("key") >= min_chars)
-             .select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"),
-                     F.xxhash64(F.lit("line"), "key").alias("h2"),
-                     F.pmod(F.xxhash64("doc"), F.lit(PIECES)).cast("int").alias("piece")))
+    # written once: the range bounds and both uses below read hashes, not texts
+    keyed = written(
+        lines.select("doc", "text_hash", "pos", line_key(F.col("line")).alias("key"))
+        .filter(F.length("key") >= min_chars)
+        .select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"),
+                F.xxhash64(F.lit("line"), "key").alias("h2"),
+                F.pmod(F.xxhash64("doc"), F.lit(PIECES)).cast("int").alias("piece")), "lines")
     ranged = keyed.repartitionByRange("h1", "h2", "piece")
     streamed = Window.partitionBy("h1", "h2", "piece").orderBy(F.desc("doc"), "pos")
     firsts = ranged.withColumn(
@@ -65,7 +67,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .agg(F.sum(F.col("first").cast("long")).alias("n_docs"),
                    F.max("doc").alias("keeper"))
               .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"))
-    lost = (ranged.join(common, ["h1", "h2"]).filter(F.col("doc") != F.col("keeper"))
+    lost = (keyed.join(common, ["h1", "h2"]).filter(F.col("doc") != F.col("keeper"))
             .groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("at")))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
     stops = F.transform(
