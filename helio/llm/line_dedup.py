@@ -63,10 +63,11 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = ranged.withColumn(
         "first", (F.row_number().over(streamed) == 1)
         | (F.lag("doc").over(streamed) != F.col("doc")))
-    common = (firsts.groupBy("h1", "h2")
-              .agg(F.sum(F.col("first").cast("long")).alias("n_docs"),
-                   F.max("doc").alias("keeper"))
-              .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"))
+    # written, so that both sides of the join below are shuffles that Spark can split
+    common = written(
+        firsts.groupBy("h1", "h2")
+        .agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("doc").alias("keeper"))
+        .filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "common-lines")
     lost = (keyed.join(common, ["h1", "h2"]).filter(F.col("doc") != F.col("keeper"))
             .groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("at")))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
