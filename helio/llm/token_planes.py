@@ -45,26 +45,35 @@ from helio.llm.textscan import MAX_BYTES, byte_values, mix64, text_slices, utf8_
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_IDS = 65536
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 BLOCK_SCHEMA = ("part int, block int, first long, n_ids int, kind string, planes array<binary>, "
                 "crc long, doc_id array<long>, doc_no array<long>, doc_at array<int>, "
                 "doc_len array<int>, doc_open array<boolean>")
 _BASE = 0x5851F42D4C957F2D
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
+_MARK[0x27] = False
+_LEADS = (b"\xe1", b"\xe2", b"\xe3")
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions where a text can be cut without changing its byte-level BPE ids:
-    text starts, and single spaces between two bytes that cannot belong to white space
-    (the pre-tokenizer always begins a new piece there)."""
+    text starts; single spaces and newlines between two bytes that cannot belong to white
+    space; and ASCII marks, but for apostrophes, right after an ASCII letter (the
+    pre-tokenizer always begins a new piece in these places)."""
     begins = np.zeros(len(data) + 1, dtype=bool)
-    if len(data) > 2:
+    if len(data) > 3:
         plain = (data > 0x20) & (data != 0x7F)
         # Unicode spaces begin with these bytes: a cut keeps clear of such characters.
         lead = (data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3)
         behind = plain.copy()
         behind[1:] &= ~lead[:-1]
         behind[2:] &= ~lead[:-2]
-        begins[1:-2] = (data[1:-1] == 0x20) & behind[:-2] & (plain & ~lead)[2:]
+        gap = (data[1:-1] == 0x20) | (data[1:-1] == 0x0A)
+        begins[1:-2] = gap & behind[:-2] & (plain & ~lead)[2:]
+        begins[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
     begins[offsets[:-1]] = True
     return np.flatnonzero(begins[:-1]) if len(data) else np.zeros(0, dtype=np.int64)
 
@@ -80,32 +89,63 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # one character per byte in a byte-level vocabulary
+        self.special = [t.content.encode() for t in
+                        self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(CACHE_ENTRIES + 1, dtype=np.int64)
+        self.used = 0
+        self.start = np.zeros(CACHE_ENTRIES, dtype=np.int64)
+        self.size = np.zeros(CACHE_ENTRIES, dtype=np.int64)
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Encode new chunks in one go and split the ids again by their byte lengths."""
+        """Encode new chunks in one go and split the ids again by their byte lengths.  What
+        goes before a chunk gives it the neighbour that makes its start a cut: a letter
+        before a mark, a newline before a letter, nothing before a space or newline."""
+        alone = []
         for at in range(0, len(chunks), 4096):
-            some = chunks[at:at + 4096]
-            text = b"".join(some).decode("utf-8")
-            ids = np.asarray(self.tokenizer.encode_batch_fast(
-                [text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
-            upto = np.cumsum(self.n_bytes[ids])
-            cut = np.searchsorted(upto, ends, side="left") + 1
-            if len(ids) == 0 or not np.array_equal(upto[cut - 1], ends):
-                raise ValueError("the vocabulary is not byte-level: ids do not cover the text")
-            have = len(self.known)
-            used = self.start[have]
-            while used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[used:used + len(ids)] = ids
-            self.start[have + 1:have + 1 + len(some)] = used + cut
-            self.known.update(zip(some, range(have, have + len(some))))
+            some, joined = [], []
+            for c in chunks[at:at + 4096]:
+                if c[-1] > 0x7F:  # maybe a Unicode space
+                    end = c[-2:-1] in (b"", b"\xc2") or c[-3:-2] in _LEADS
+                else:
+                    end = c[-1] < 0x21
+                if not end and c[:1] in (b" ", b"\n") and c[1:2] > b" ":
+                    joined += (b"", c)
+                elif not end and _MARK[c[0]]:
+                    joined += (b" a", c)
+                elif not end and _LETTER[c[0]]:
+                    joined += (b" a\n", c)
+                else:
+                    alone.append(c)
+                    continue
+                some.append(c)
+            self._keep(some, joined)
+        for c in alone:
+            self._keep([c], [b"", c])
+
+    def _keep(self, some: list[bytes], joined: list[bytes]) -> None:
+        if not some:
+            return
+        ids = np.asarray(self.tokenizer.encode_batch_fast(
+            [b"".join(joined).decode("utf-8")], add_special_tokens=False)[0].ids,
+            dtype=np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))
+        upto = np.concatenate(([0], np.cumsum(self.n_bytes[ids])))
+        cut = np.searchsorted(upto, ends, side="left")
+        if not np.array_equal(upto[cut], ends):
+            raise ValueError("the vocabulary is not byte-level: ids do not cover the text")
+        have = len(self.known)
+        used = self.used
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[used:used + len(ids)] = ids
+        self.start[have:have + len(some)] = used + cut[0::2]
+        self.size[have:have + len(some)] = cut[1::2] - cut[0::2]
+        self.used = used + len(ids)
+        self.known.update(zip(some, range(have, have + len(some))))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the texts' ids one after another, each text's with ``end_id``."""
@@ -113,7 +153,14 @@ class Encoder:
         if len(data) == 0:
             return np.full(len(texts), end_id, np.uint32), np.ones(len(texts), np.int64)
         starts = chunk_starts(data, offsets)
-        starts = starts[starts < len(data)]
+        raw = data.tobytes()
+        for mark in self.special:  # a text that holds one is encoded in one piece
+            at = raw.find(mark)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, side="right")) - 1
+                inside = (starts > offsets[text]) & (starts < offsets[text + 1])
+                starts = starts[~inside]
+                at = raw.find(mark, int(offsets[text + 1]))
         sizes = np.diff(np.append(starts, len(data)))
         pos = np.arange(len(data)) - np.repeat(starts, sizes)
         powers = np.full(int(sizes.max()), _BASE, dtype=np.uint64)
@@ -123,24 +170,18 @@ class Encoder:
         del pos, powers
         hashes = mix64(sums ^ sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         _, sample, code = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
         chunks = [raw[s:s + n] for s, n in zip(starts[sample].tolist(), sizes[sample].tolist())]
         first_of_text = np.searchsorted(starts, offsets)
-        out, counts = [], []
-        # A text that begins without a space needs no extra care: its first chunk does too.
         new = [c for c in chunks if c not in self.known]
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.clear()
             new = chunks
         if len(new) > CACHE_ENTRIES:  # one slice with more distinct chunks than the cache
-            self.start = np.zeros(len(new) + 1, dtype=np.int64)
-        spaced = [c for c in new if c[:1] == b" "]
-        self.learn(spaced)
-        for c in new:  # chunks at text starts cannot be joined to others
-            if c[:1] != b" ":
-                self.learn([c])
+            self.start = np.zeros(len(new), dtype=np.int64)
+            self.size = np.zeros(len(new), dtype=np.int64)
+        self.learn(new)
         at = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        lens = (self.start[at + 1] - self.start[at])[code]
+        lens = self.size[at][code]
         begin = self.start[at][code]
         total = np.cumsum(lens)
         where = np.arange(total[-1]) + np.repeat(begin - (total - lens), lens)
@@ -338,21 +379,30 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 [pa.array(c, type=t) for c, t in zip(cols, types)],
                 names=["part", "doc_no", "doc_id", "at", "n", "crc", "is_open"])
 
-    def whole(pdf):
-        pdf = pdf.sort_values("at")
-        crc, n = 0, 0
-        for size, part_crc in zip(pdf["n"].tolist(), pdf["crc"].tolist()):
-            crc = crc_join(crc, part_crc, 4 * size) if n else part_crc
-            n += size
-        out = pdf.iloc[:1].copy()
-        out["n"], out["crc"] = n, crc
-        return out
+    def whole(batches):
+        now = None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if now and (now["part"], now["doc_no"]) == (r["part"], r["doc_no"]):
+                    now["crc"] = crc_join(now["crc"], r["crc"], 4 * r["n"])
+                    now["n"] += r["n"]
+                    continue
+                if now:
+                    out.append(now)
+                now = r
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+            names = batch.schema
+        if now:
+            yield pa.RecordBatch.from_pylist([now], schema=names)
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     schema = "part int, doc_no long, doc_id long, at long, n long, crc long, is_open boolean"
     pieces = blocks.mapInArrow(decode, schema)
     docs = pieces.filter(~F.col("is_open")).unionByName(
-        pieces.filter("is_open").groupBy("part", "doc_no").applyInPandas(whole, schema))
+        pieces.filter("is_open").repartition("part", "doc_no")
+        .sortWithinPartitions("part", "doc_no", "at").mapInArrow(whole, schema))
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
