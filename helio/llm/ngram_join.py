@@ -42,6 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SKETCH = 1 << 18
 SUFFIX_CLASSES = 16
+BITMAP = 1 << 24
 
 
 def _sets(batches, k: int):
@@ -240,31 +241,44 @@ def _other_candidates(t: int):
     return run
 
 
+def _slot(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(BITMAP))
+
+
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (``BITMAP`` bits) with a bit set for each id's hash."""
+    words = (ids.select(_slot("rep").alias("slot")).groupBy(
+        F.floor(F.col("slot") / 64).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow())
+    out = np.zeros(BITMAP // 64, dtype=np.int64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
+    return out
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(c1, rep, shingles) of the wanted representatives (rep, c1)."""
+    """(rep, c1, shingles) of the documents with the wanted ids (rep), and of a few others
+    whose hash falls on the same bit: a scan that passes over other texts unread, so that
+    no text is shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(marked(wanted))
+
     def scan(batches):
+        table = bits.value
         for batch in batches:
-            names = batch.column(2)
-            for at, (ids, sets) in _offsets(batch, k):
+            slot = np.asarray(batch.column(2))
+            keep = (table[slot >> 6] >> (slot & 63)) & 1
+            chosen = batch.filter(pa.array(keep.astype(bool)))
+            for ids, sets in _sets([chosen], k):
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(at, len(ids)), ids,
+                    [ids, pa.array([set_names(s)[0] for s in sets], pa.int64()),
                      pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["c1", "rep", "shingles"])
-    chosen = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select(
-        "doc_id", "text", "c1")
-    return chosen.mapInArrow(scan, "c1 long, rep long, shingles array<long>")
-
+                    names=["rep", "c1", "shingles"])
+    return (docs.dropna(subset=["doc_id"]).select("doc_id", "text", _slot("doc_id").alias("slot"))
+            .mapInArrow(scan, "rep long, c1 long, shingles array<long>"))
 
-def _offsets(batch, k):
-    at = 0
-    for ids, sets in _sets([batch.select(["doc_id", "text"])], k):
-        yield at, (ids, sets)
-        at += len(ids)
 
-
-def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(a, b) of the candidate pairs (handles) whose sets are similar, as
-    representatives.  The suffix filter goes before the merge of the whole sets."""
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
+    """(a, b), written: representatives of the candidate pairs (of handles a, b) whose
+    whole sets are similar.  The suffix filter goes before the merge of two sets."""
     def test(batches):
         for batch in batches:
             keep = []
@@ -283,13 +297,16 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                     keep.append(i)
             if keep:
                 yield batch.select([0, 1]).take(pa.array(keep))
-    one = sets.select(F.col("c1").alias("a"), F.col("rep").alias("x"),
-                      F.col("shingles").alias("sx"))
-    two = sets.select(F.col("c1").alias("b"), F.col("rep").alias("y"),
-                      F.col("shingles").alias("sy"))
-    return (pairs.join(one, "a").join(two, "b").filter(F.col("x") != F.col("y"))
-            .select("x", "y", "sx", "sy").mapInArrow(test, "x long, y long")
-            .toDF("a", "b"))
+
+    named = classes.select("c1", "rep")
+    ends = written(
+        pairs.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+        .filter("x <> y").select("a", "x", "b", "y"), "candidates")
+    wanted = ends.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
+    sets = written(class_sets(docs, wanted, k).dropDuplicates(["rep", "c1"]), "class-sets")
+    return written(
+        ends.join(sets.toDF("x", "a", "sx"), ["x", "a"]).join(sets.toDF("y", "b", "sy"), ["y", "b"])
+        .select("x", "y", "sx", "sy").mapInArrow(test, "x long, y long").toDF("a", "b"), "links")
 
 
 def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id",
@@ -314,19 +331,18 @@ def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_
     lists = found.filter("is_list").select(F.col("a").alias("shingle"), F.col("b").alias("c1"),
                                            "size_pos")
     first = found.filter("NOT is_list").select("a", "b").distinct()
-    wanted = lists.select("c1").distinct().join(classes.select("c1", "rep"), "c1")
-    sets = written(class_sets(texts, wanted, k), "class-sets")
+    labels = components(verified(texts, classes, first, k, t))
 
-    links = written(verified(first, sets, t), "links-1")
-    labels = components(links)
+    # a handle (c1) stands for its representative
     joined = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("c1").agg(
         F.min(F.coalesce("component", "rep")).alias("comp"))
     spread = lists.join(joined, "c1").select("shingle", "size_pos", "c1", "comp")
-    rest = (spread.repartition("shingle").sortWithinPartitions("shingle", "size_pos", "c1")
-            .mapInArrow(_other_candidates(t), "a long, b long").distinct())
-    second = written(verified(rest, sets, t), "links-2")
-    labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-                        .unionByName(second))
+    rest = written(spread.repartition("shingle").sortWithinPartitions(
+        "shingle", "size_pos", "c1").mapInArrow(_other_candidates(t), "a long, b long").distinct(),
+        "rest")
+    if rest.take(1):
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                            .unionByName(verified(texts, classes, rest, k, t)))
 
     placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("rep").alias("class_id"),
