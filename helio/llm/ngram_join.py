@@ -12,11 +12,11 @@ decide how much work finds them.
 
 Links inside a group of m near copies number m**2, so they are not all made.  The
 join runs in two rounds.  The first takes, from every list of classes that share a
-prefix shingle, each class's neighbour and the list's first class: two candidates a
-row at most.  The second takes all candidates whose ends the verified links of the
-first have not connected yet; no candidate is dropped for any other reason, so the
-components are those of all links.  Each pair is verified once a round against whole
-sets.
+prefix shingle, each class with the list's hub (the one with the fewest edits, by its
+prefix) and with its neighbour by that measure: two candidates a row at most.  The
+second takes all candidates whose ends the verified links of the first have not
+connected yet; no candidate is dropped for any other reason, so the components are
+those of all links.  Each pair is verified once a round against whole sets.
 
 Defined results: a text with fewer than k words is one shingle of all its words; null
 texts and texts without words have no shingles and link with nothing; rows that share
@@ -182,10 +182,17 @@ def _first_candidates(t: int):
         for shingle, c1, size, pos in _lists(batches):
             head = np.ones(len(shingle), dtype=bool)
             head[1:] = shingle[1:] != shingle[:-1]
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(shingle)), 0))
-            rest = np.flatnonzero(~head)
-            one = np.concatenate([rest - 1, lead[rest]])
-            two = np.concatenate([rest, rest])
+            # a list's hub: the class whose prefix has the fewest rarer shingles before
+            # the shared one, which among copies is the one with the fewest edits
+            begin = np.flatnonzero(head)
+            number = np.cumsum(head) - 1
+            order = np.lexsort((c1, size, pos, number))
+            hub = order[begin][number]
+            every = np.arange(len(shingle))
+            chain = order[1:][number[order[1:]] == number[order[:-1]]]
+            before = order[:-1][number[order[1:]] == number[order[:-1]]]
+            one = np.concatenate([hub, before])
+            two = np.concatenate([every, chain])
             ok = (c1[one] != c1[two]) & may_link(size[one], pos[one], size[two], pos[two], t)
             a, b = np.minimum(c1[one], c1[two])[ok], np.maximum(c1[one], c1[two])[ok]
             pairs = np.unique(np.stack([a, b], axis=1), axis=0)
