@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helio.llm.stages import written
+from helio.llm.stages import may_hold, without, written
 from helio.llm.textscan import byte_values, mix64, separators, text_slices, utf8_buffer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -159,8 +159,9 @@ def resampled(docs: DataFrame, target: DataFrame, k: int | None = None, lost: fl
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce("text", F.lit("")).alias("text"))
     raw = gram_counts(texts.select("text"))
-    good = gram_counts(texts.join(wanted, texts["doc_id"] == wanted["_t"], "left_semi")
-                       .select("text"))
+    near = may_hold(texts, F.xxhash64("doc_id"), wanted.select(F.xxhash64("_t").alias("h")))
+    good = gram_counts(near.join(wanted.hint("merge"), F.col("doc_id") == F.col("_t"),
+                                 "left_semi").select("text"))
     ratio = spark.sparkContext.broadcast(log_ratio(good, raw))
     scored = written(weights(docs, ratio).withColumn(
         "gumbel_key", F.col("log_weight") + gumbel(seed)), "weights")
@@ -205,9 +206,6 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 def sampled_documents(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """The documents (all columns) that the resampling keeps."""
     lost = resampled(docs, target, **options).filter("NOT kept").select(
-        F.coalesce("doc_id", F.lit(0)).alias("_q_id"), F.col("doc_id").isNull().alias("_q_none"),
-        F.col("h").alias("_q_text")).distinct()
-    return docs.join(
-        lost, (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == lost["_q_id"])
-        & (docs["doc_id"].isNull() == lost["_q_none"])
-        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["_q_text"]), "left_anti")
+        F.xxhash64("doc_id", "h").alias("key"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    return without(docs, F.xxhash64(F.col("doc_id").cast("long"), text), lost)

@@ -11,6 +11,8 @@ from helio.session import materialize
 
 #: Stands for a null document id where ids are compared (smaller than any id).
 NO_ID = -(2 ** 63)
+#: Bits of the bitmaps that stand in for sets of keys (2 MB).
+BITMAP = 1 << 24
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +36,42 @@ def null_safe(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
     return cond
 
 
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of ``BITMAP`` bits with one bit set for each hash in the only
+    column of ``keys``.  At most BITMAP / 64 rows, whatever the number of keys."""
+    slot = F.pmod(F.col(keys.columns[0]), F.lit(BITMAP))
+    return keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+
+
+def _marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``df`` with ``__helio_key`` and ``__helio_maybe``, true if the key (a hash) may be in
+    ``keys``.  The bitmap is broadcast: its size is fixed."""
+    tagged = df.withColumn("__helio_key", key).withColumn(
+        "__helio_slot", F.pmod("__helio_key", F.lit(BITMAP)))
+    words = F.broadcast(_bitmap(keys).toDF("__helio_word", "__helio_bits"))
+    bit = F.expr("shiftright(__helio_bits, cast(__helio_slot % 64 as int)) & 1L")
+    return tagged.join(
+        words, F.floor(F.col("__helio_slot") / 64) == F.col("__helio_word"), "left").withColumn(
+        "__helio_maybe", F.coalesce(bit == 1, F.lit(False)))
+
+
+def may_hold(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key may be among ``keys`` (a few others pass too), found
+    without a shuffle; an exact join of what is left can follow."""
+    return _marked(df, key, keys).filter("__helio_maybe").select(*[df[c] for c in df.columns])
+
+
+def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key (a hash) is not among ``keys``, exactly.  Only rows that
+    the bitmap cannot clear are shuffled."""
+    marked = _marked(df, key, keys)
+    columns = [df[c] for c in df.columns]
+    doubt = marked.filter("__helio_maybe").join(keys.toDF("__helio_lost").distinct().hint("merge"),
+                                         F.col("__helio_key") == F.col("__helio_lost"), "left_anti")
+    return marked.filter("NOT __helio_maybe").select(*columns).unionByName(doubt.select(*columns))
+
+
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str],
                    value: str, total: str) -> DataFrame:
     """Add ``total``: the sum of ``value`` over the rows before a row in its group.
