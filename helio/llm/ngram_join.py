@@ -35,14 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helio.llm.components import components
-from helio.llm.stages import documents, written
+from helio.llm.stages import documents, may_hold, without, written
 from helio.llm.textscan import mix64, shingle_hashes, text_slices, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SKETCH = 1 << 18
-SUFFIX_CLASSES = 16
-BITMAP = 1 << 24
+SUFFIX_CLASSES = 64
 
 
 def _sets(batches, k: int):
@@ -248,72 +247,51 @@ def _other_candidates(t: int):
     return run
 
 
-def _slot(col: str):
-    return F.pmod(F.xxhash64(col), F.lit(BITMAP))
-
-
-def marked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (``BITMAP`` bits) with a bit set for each id's hash."""
-    words = (ids.select(_slot("rep").alias("slot")).groupBy(
-        F.floor(F.col("slot") / 64).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow())
-    out = np.zeros(BITMAP // 64, dtype=np.int64)
-    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
-    return out
-
-
 def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(rep, c1, shingles) of the documents with the wanted ids (rep), and of a few others
-    whose hash falls on the same bit: a scan that passes over other texts unread, so that
-    no text is shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(marked(wanted))
-
+    """(rep, c1, n, classes, shingles) of the documents with the wanted ids (rep), and of a
+    few others: a scan that passes over other texts, so that no text is shuffled.
+    ``classes`` counts the shingles by hash class, for the suffix filter."""
     def scan(batches):
-        table = bits.value
-        for batch in batches:
-            slot = np.asarray(batch.column(2))
-            keep = (table[slot >> 6] >> (slot & 63)) & 1
-            chosen = batch.filter(pa.array(keep.astype(bool)))
-            for ids, sets in _sets([chosen], k):
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([set_names(s)[0] for s in sets], pa.int64()),
-                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["rep", "c1", "shingles"])
-    return (docs.dropna(subset=["doc_id"]).select("doc_id", "text", _slot("doc_id").alias("slot"))
-            .mapInArrow(scan, "rep long, c1 long, shingles array<long>"))
+        top = np.uint64(64 - SUFFIX_CLASSES.bit_length() + 1)
+        for ids, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([set_names(s)[0] for s in sets], pa.int64()),
+                 pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([np.bincount((s >> top).astype(np.int64), minlength=SUFFIX_CLASSES)
+                           for s in sets], pa.list_(pa.int64())),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["rep", "c1", "n", "classes", "shingles"])
+    chosen = may_hold(docs.dropna(subset=["doc_id"]), F.xxhash64("doc_id"),
+                      wanted.select(F.xxhash64("rep").alias("h")))
+    return chosen.mapInArrow(
+        scan, "rep long, c1 long, n long, classes array<long>, shingles array<long>")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
     """(a, b), written: representatives of the candidate pairs (of handles a, b) whose
-    whole sets are similar.  The suffix filter goes before the merge of two sets."""
-    def test(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                y = batch.column(3)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                need = -(-t * (len(x) + len(y)) // (100 + t))
-                top = np.uint64(64 - SUFFIX_CLASSES.bit_length() + 1)
-                bound = np.minimum(
-                    np.bincount((x >> top).astype(np.int64), minlength=SUFFIX_CLASSES),
-                    np.bincount((y >> top).astype(np.int64), minlength=SUFFIX_CLASSES)).sum()
-                if bound < need:
-                    continue
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * both >= t * (len(x) + len(y) - both):
-                    keep.append(i)
-            if keep:
-                yield batch.select([0, 1]).take(pa.array(keep))
-
+    whole sets are similar.  The suffix filter sees counts only; the sets of the pairs
+    that it leaves are then compared, once a pair."""
     named = classes.select("c1", "rep")
     ends = written(
         pairs.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
         .filter("x <> y").select("a", "x", "b", "y"), "candidates")
     wanted = ends.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
-    sets = written(class_sets(docs, wanted, k).dropDuplicates(["rep", "c1"]), "class-sets")
+    sets = written(class_sets(docs, wanted, k), "class-sets")
+    counts = sets.select("rep", "c1", "n", "classes")
+    bound = F.aggregate(F.zip_with("cx", "cy", lambda x, y: F.least(x, y)),
+                        F.lit(0).cast("long"), lambda a, x: a + x)
+    close = written(
+        ends.join(counts.toDF("x", "a", "nx", "cx"), ["x", "a"])
+        .join(counts.toDF("y", "b", "ny", "cy"), ["y", "b"])
+        .filter(bound * (100 + t) >= t * (F.col("nx") + F.col("ny")))
+        .select("a", "x", "b", "y").distinct(), "close")
+    full = sets.select("rep", "c1", "n", "shingles")
+    both = F.size(F.array_intersect("sx", "sy"))
     return written(
-        ends.join(sets.toDF("x", "a", "sx"), ["x", "a"]).join(sets.toDF("y", "b", "sy"), ["y", "b"])
-        .select("x", "y", "sx", "sy").mapInArrow(test, "x long, y long").toDF("a", "b"), "links")
+        close.join(full.toDF("x", "a", "nx", "sx"), ["x", "a"])
+        .join(full.toDF("y", "b", "ny", "sy"), ["y", "b"])
+        .filter(100 * both >= t * (F.col("nx") + F.col("ny") - both))
+        .select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
 
 def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id",
@@ -364,12 +342,18 @@ def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_
 
 def one_per_group(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
     """The documents (all columns) that are the smallest id of their component; of rows
-    that share that id one stays.  Documents without words or id all stay."""
+    that share that id and have words one stays.  Documents without words or id all stay."""
     near = near_documents(docs, k, t)
-    lost = near.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, docs["doc_id"] == lost["_lost"], "left_anti")
-    again = near.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(F.col("doc_id").alias("_again"))
-    marked = kept.join(again, kept["doc_id"] == again["_again"], "left")
-    return (marked.filter("_again IS NULL").unionByName(
-        marked.filter("_again IS NOT NULL").dropDuplicates(["_again"])).drop("_again"))
+    key = F.xxhash64(F.col("doc_id").cast("long"))
+    lost = near.filter("doc_id <> component_id").select(F.xxhash64("doc_id").alias("key"))
+    again = written(near.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+        F.xxhash64("doc_id").alias("key")), "repeated")
+    kept = without(docs, key, lost)
+    if not again.take(1):
+        return kept
+    name = "__helio_same"
+    repeated = may_hold(kept, key, again).withColumn(name, key).join(
+        again.toDF("__helio_again"), F.col(name) == F.col("__helio_again"), "left_semi")
+    return without(kept, key, again).unionByName(
+        repeated.dropDuplicates([name]).select(*docs.columns))
