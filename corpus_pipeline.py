@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from helio.llm import decontam, mixing, ngram_join, quality, token_planes
 from helio.llm.queries import tokenizer_path
-from helio.llm.stages import written
+from helio.llm.stages import without, written
 from helio.session import scratch_path
 
 
@@ -30,12 +30,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item.  A match depends on
     the text alone, so documents are found again by the hash of their text."""
-    named = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    lost = (decontam.contamination(named, bench, size=10).filter("n_hit > 0")
-            .select(F.col("doc_id").alias("_lost")).distinct())
-    return docs.join(lost, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lost["_lost"],
-                     "left_anti")
+    lost = (decontam.contamination(docs.select(key.alias("doc_id"), "text"), bench, size=10)
+            .filter("n_hit > 0").select("doc_id"))
+    return without(docs, key, lost)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

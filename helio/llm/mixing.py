@@ -95,33 +95,24 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2),
                     seed: str = "mix-1") -> DataFrame:
     """The mix as documents (the input's columns): each document as many times as the
     mix takes it, whole.  The document at a source's cut is taken once more if at
-    least half of its words fit.  Rows that agree in id, source and text share
-    their copies."""
-    keys = {"_m_id": F.col("doc_id").cast("long"), "_m_source": F.col("source"),
-            "_m_text": F.xxhash64("text")}
-    sized = docs.select(keys["_m_id"].alias("doc_id"), keys["_m_source"].alias("source"),
-                        keys["_m_text"].alias("_m_text"), word_count(F.col("text")).alias("size"))
-    plan = mix(sized, weights, share, max_epochs, seed)
+    least half of its words fit.  Rows that agree in id, source and text (by a 64-bit
+    hash) share their copies."""
+    key, place = "__helio_row", "__helio_place"
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").isNull(), "source", "text")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
+                        row.alias("row"), word_count(F.col("text")).alias("size"))
     times = F.col("epochs") + F.when(
         F.col("before") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)
-    plan = (plan.withColumn("_m_times", F.when(F.col("source_size") > 0, times).otherwise(1))
-            .groupBy(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_p_id"),
-                     F.col("doc_id").isNull().alias("_p_null"),
-                     F.coalesce("source", F.lit("")).alias("_p_source"),
-                     F.col("source").isNull().alias("_p_none"),
-                     F.col("_m_text").alias("_p_text"))
-            .agg(F.sum("_m_times").alias("_m_times"), F.count(F.lit(1)).alias("_m_rows")))
-    names = docs.columns
-    joined = docs.select("*", *[c.alias(n) for n, c in keys.items()]).join(
-        plan, (F.coalesce("_m_id", F.lit(-1)) == F.col("_p_id"))
-        & (F.col("_m_id").isNull() == F.col("_p_null"))
-        & (F.coalesce("_m_source", F.lit("")) == F.col("_p_source"))
-        & (F.col("_m_source").isNull() == F.col("_p_none"))
-        & (F.col("_m_text") == F.col("_p_text")))
-    same = Window.partitionBy("_p_id", "_p_null", "_p_source", "_p_none", "_p_text")
-    place = F.row_number().over(same.orderBy(F.lit(0)))
-    own = F.floor((F.col("_m_times") + F.col("_m_rows") - F.col("_m_place")) / F.col("_m_rows"))
-    return (joined.withColumn("_m_place", place)
-            .withColumn("_m_own", own.cast("int")).filter("_m_own > 0")
-            .withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_own"))))
-            .select(*[F.col(f"`{c}`") for c in names]))
+    copies = (mix(sized, weights, share, max_epochs, seed)
+              .withColumn("n", F.when(F.col("source_size") > 0, times).otherwise(1))
+              .groupBy("row").agg(F.sum("n").alias("__helio_n"),
+                                  F.count(F.lit(1)).alias("__helio_rows"))
+              .withColumnRenamed("row", "__helio_same"))
+    same = Window.partitionBy(key).orderBy(F.lit(0))
+    own = F.floor((F.col("__helio_n") + F.col("__helio_rows") - F.col(place))
+                  / F.col("__helio_rows")).cast("int")
+    return (docs.withColumn(key, row).join(copies.hint("merge"),
+                                           F.col(key) == F.col("__helio_same"))
+            .withColumn(place, F.row_number().over(same)).filter(own > 0)
+            .withColumn("__helio_copy", F.explode(F.sequence(F.lit(1), own)))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
