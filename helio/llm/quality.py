@@ -96,14 +96,13 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(texts: DataFrame) -> np.ndarray:
-    """n-gram counts of all texts (one column): tasks send at most ``BUCKETS`` rows."""
+    """n-gram counts of all texts (one column): every task sends ``BUCKETS`` rows."""
     def count(batches):
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 total += np.bincount(grams(piece.column(0))[0], minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])],
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)],
                                          names=["bucket", "n"])
     got = (texts.mapInArrow(count, "bucket long, n long").groupBy("bucket")
            .agg(F.sum("n").alias("n")).toArrow())
