@@ -285,7 +285,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: i
         .join(counts.toDF("y", "b", "ny", "cy"), ["y", "b"])
         .filter(bound * (100 + t) >= t * (F.col("nx") + F.col("ny")))
         .select("a", "x", "b", "y").distinct(), "close")
-    full = sets.select("rep", "c1", "n", "shingles")
+    # only sets of pairs that the suffix filter leaves are shuffled
+    left = close.select(F.explode(F.array("x", "y")).alias("rep")).select(F.xxhash64("rep"))
+    full = may_hold(sets.select("rep", "c1", "n", "shingles"), F.xxhash64("rep"), left)
     both = F.size(F.array_intersect("sx", "sy"))
     return written(
         close.join(full.toDF("x", "a", "nx", "sx"), ["x", "a"])
