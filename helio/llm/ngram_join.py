@@ -41,7 +41,7 @@ from helio.llm.textscan import mix64, shingle_hashes, text_slices, word_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SKETCH = 1 << 18
-SUFFIX_CLASSES = 64
+SUFFIX_CLASSES = 1024
 
 
 def _sets(batches, k: int):
@@ -247,24 +247,30 @@ def _other_candidates(t: int):
     return run
 
 
+def _class_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles per hash class; a set too large to count in 16 bits rules nothing out."""
+    top = np.uint64(64 - SUFFIX_CLASSES.bit_length() + 1)
+    counts = np.bincount((shingles >> top).astype(np.int64), minlength=SUFFIX_CLASSES)
+    return (counts if counts.max() < 2 ** 15 else np.full(SUFFIX_CLASSES, 2 ** 15 - 1)).astype(
+        np.int16)
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, c1, n, classes, shingles) of the documents with the wanted ids (rep), and of a
     few others: a scan that passes over other texts, so that no text is shuffled.
     ``classes`` counts the shingles by hash class, for the suffix filter."""
     def scan(batches):
-        top = np.uint64(64 - SUFFIX_CLASSES.bit_length() + 1)
         for ids, sets in _sets(batches, k):
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([set_names(s)[0] for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([np.bincount((s >> top).astype(np.int64), minlength=SUFFIX_CLASSES)
-                           for s in sets], pa.list_(pa.int64())),
+                 pa.array([_class_counts(s) for s in sets], pa.list_(pa.int16())),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["rep", "c1", "n", "classes", "shingles"])
     chosen = may_hold(docs.dropna(subset=["doc_id"]), F.xxhash64("doc_id"),
                       wanted.select(F.xxhash64("rep").alias("h")))
     return chosen.mapInArrow(
-        scan, "rep long, c1 long, n long, classes array<long>, shingles array<long>")
+        scan, "rep long, c1 long, n long, classes array<smallint>, shingles array<long>")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: int) -> DataFrame:
@@ -279,7 +285,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: i
     sets = written(class_sets(docs, wanted, k), "class-sets")
     counts = sets.select("rep", "c1", "n", "classes")
     bound = F.aggregate(F.zip_with("cx", "cy", lambda x, y: F.least(x, y)),
-                        F.lit(0).cast("long"), lambda a, x: a + x)
+                        F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
     close = written(
         ends.join(counts.toDF("x", "a", "nx", "cx"), ["x", "a"])
         .join(counts.toDF("y", "b", "ny", "cy"), ["y", "b"])
