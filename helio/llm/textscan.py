@@ -21,8 +21,7 @@ from pyspark import cloudpickle
 # Executors need numpy and pyarrow only: the functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_BYTES = 4 << 20
-#: Bits of a position packed under a count or size (see ``pack`` users).
+MAX_BYTES = 2 << 20
 _K1, _K2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _K3 = 0x94D049BB133111EB
 _BASE = 0x100000001B3 * 2 + 0x5851F42D4C957F2D

@@ -45,7 +45,7 @@ from helio.llm.textscan import MAX_BYTES, byte_values, mix64, text_slices, utf8_
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_IDS = 65536
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 BLOCK_SCHEMA = ("part int, block int, first long, n_ids int, kind string, planes array<binary>, "
                 "crc long, doc_id array<long>, doc_no array<long>, doc_at array<int>, "
                 "doc_len array<int>, doc_open array<boolean>")
