@@ -52,12 +52,11 @@ def _hours(ts: str, h: str) -> Column:
 
 def mean_forecast_48h(df: DataFrame, series: str = SERIES, n: int = 30, hours: int = 48,
                       noise_scale: float = 0.0, seed: int = 42) -> DataFrame:
-    """Mean of the last ``n`` rows + one noise draw per hour shared by the
+    """Mean of the last ``n`` rows (missing readings are skipped) + one noise draw per hour shared by the
     three metrics (scaled 1, 5, 4), clipped to 0–9 / 0–100 / 0–100, rounded to 2."""
     t = tail_n(df, n, series)
-    base = t.groupBy(series).agg(_nan_avg(F.col(KP)).alias("_kp"),
-                                 _nan_avg(F.col(SAT)).alias("_sat"),
-                                 _nan_avg(F.col(GPS)).alias("_gps"),
+    base = t.groupBy(series).agg(F.avg(KP).alias("_kp"), F.avg(SAT).alias("_sat"),
+                                 F.avg(GPS).alias("_gps"),
                                  F.max(TIME).alias("_last"))
     out = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("h"))
     noise = (hash_normal(F.col(series), F.col("h"), seed) * F.lit(noise_scale)
@@ -95,7 +94,7 @@ def trend_forecast_48h(df: DataFrame, series: str = SERIES, metrics: dict | None
                  _nan_max(F.col(m)).alias(f"_{m}_max")]
     base = t.groupBy(series).agg(*aggs)
     cols = {}
-    for m, scale in metrics.items():
+    for number, (m, scale) in enumerate(metrics.items()):
         trend = (F.col(f"_{m}_m7") - F.col(f"_{m}_m30")) / F.lit(23.0)
         cap = F.col(f"_{m}_max") * F.lit(1.1)
         if not noise:
@@ -103,14 +102,17 @@ def trend_forecast_48h(df: DataFrame, series: str = SERIES, metrics: dict | None
             cols[m] = F.when(x.isNull() | cap.isNull(), None).otherwise(F.least(x, cap))
         else:
             draws = F.transform(F.sequence(F.lit(1), F.lit(hours)),
-                                lambda i: hash_normal(F.col(series), i, seed) * F.lit(scale))
+                                lambda i: hash_normal(
+                                    F.col(series), i, seed + 1000 * number) * F.lit(scale))
             prev = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1),
                                           F.col(f"_{m}_last"))
             path = F.aggregate(
                 draws, F.array().cast("array<double>"),
                 lambda acc, z: F.concat(acc, F.array(
                     F.greatest(F.lit(0.0), F.least(cap, prev(acc) + trend + z)))))
-            cols[m] = F.get(path, F.col("h") - 1)
+            # least and greatest skip NULL: a missing part makes the whole path missing
+            known = F.col(f"_{m}_last").isNotNull() & trend.isNotNull() & cap.isNotNull()
+            cols[m] = F.when(known, F.get(path, F.col("h") - 1))
     out = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("h"))
     return out.select(series, "h", _hours("_last_ts", "h").alias(TIME),
                       *[cols[m].alias(f"forecast_{m}") for m in metrics])

@@ -147,9 +147,10 @@ def peak_label_expr(v: Column, cuts) -> Column:
 
 
 def storm_probability_expr(max_kp: Column, jitter: Column | float = 0.0) -> Column:
-    """min(100, int(max_kp/9·100 + jitter)), truncating toward zero."""
+    """min(100, int(max_kp/9·100 + jitter)), truncating toward zero; NULL for no peak."""
     j = jitter if isinstance(jitter, Column) else F.lit(float(jitter))
-    return F.least(F.lit(100), (max_kp / F.lit(9.0) * F.lit(100.0) + j).cast("int"))
+    value = (max_kp / F.lit(9.0) * F.lit(100.0) + j).cast("int")
+    return F.when(value.isNotNull(), F.least(F.lit(100), value))
 
 
 # -- R9 ------------------------------------------------------------------------

@@ -23,14 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helio.operators.windows import AUTO, Layout, apply_ordered, number_rows
-from helio.schema import FLARE_CLASSES, SERIES, SEVERITY_LABELS, TIME
+from helio.schema import CORR_COLUMNS, FLARE_CLASSES, SERIES, SEVERITY_LABELS, TIME
 
 ORDER = (TIME, "event_id")
 
-CORR_COLUMNS = ["sunspot_number", "f107_solar_flux", "solar_wind_speed", "imf_bz",
-                "kp_index", "dst_index", "satellite_disruption_risk", "gps_blackout_prob",
-                "flare_intensity", "proton_flux", "solar_cycle_phase"]
-
 
 def to_long(df: DataFrame, cols: Sequence[str], name: str = "feature",
             value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
@@ -235,35 +231,38 @@ def risk_histogram(df: DataFrame, cols: Sequence[str] = ("satellite_disruption_r
                    bins: int = 50) -> DataFrame:
     """Density histogram with ``bins`` equal bins between min and max (last bin closed).
 
-    Returns (feature, bin, bin_lo, bin_hi, rows, density); empty bins are omitted.
+    Returns (feature, bin, bin_lo, bin_hi, rows, density) with every bin, empty ones
+    with 0 rows; a column without values has no bins.
     """
     prm = _params(df, cols)
-    parts = []
-    for c in cols:
-        lo, hi, n = prm[c]["lo"], prm[c]["hi"], prm[c]["n"]
-        if n == 0:
-            continue
-        w = (hi - lo) / bins if hi > lo else 1.0
-        b = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1))
-        parts.append(df.where(F.col(c).isNotNull())
-                     .select(F.lit(c).alias("feature"), b.alias("bin")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    counts = long.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("rows"))
-    wcol = F.lit(None).cast("double")
-    ncol = F.lit(None).cast("double")
-    locol = F.lit(None).cast("double")
-    for c in cols:
-        lo, hi, n = prm[c]["lo"], prm[c]["hi"], prm[c]["n"]
-        w = (hi - lo) / bins if hi > lo else 1.0
-        cond = F.col("feature") == F.lit(c)
-        wcol = F.when(cond, F.lit(w)).otherwise(wcol)
-        ncol = F.when(cond, F.lit(float(n or 0))).otherwise(ncol)
-        locol = F.when(cond, F.lit(lo)).otherwise(locol)
-    return counts.select("feature", "bin", (locol + F.col("bin") * wcol).alias("bin_lo"),
-                         (locol + (F.col("bin") + 1) * wcol).alias("bin_hi"), "rows",
-                         (F.col("rows") / (ncol * wcol)).alias("density"))
+    present = [c for c in cols if prm[c]["n"]]
+    width = {c: (prm[c]["hi"] - prm[c]["lo"]) / bins if prm[c]["hi"] > prm[c]["lo"] else 1.0
+             for c in present}
+    every = F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.lit(float(prm[c]["lo"])).alias("_lo"),
+        F.lit(float(width[c])).alias("_w"), F.lit(float(prm[c]["n"])).alias("_n"),
+        F.col(c).cast("double").alias("_x")) for c in present]) if present else None
+    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    if not present:
+        return edges.where(F.lit(False)).select(
+            F.lit("").alias("feature"), "bin", *[F.lit(0.0).alias(c) for c in
+                                                 ("bin_lo", "bin_hi")],
+            F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("density"))
+    long = df.select(F.inline(every)).where(F.col("_x").isNotNull())
+    cell = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")).cast("int"),
+                   F.lit(bins - 1))
+    counts = long.groupBy(F.col("feature").alias("_f"), cell.alias("_b")).agg(
+        F.count(F.lit(1)).alias("_rows"))
+    grid = edges.select("bin", F.inline(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.lit(float(prm[c]["lo"])).alias("_lo"),
+        F.lit(float(width[c])).alias("_w"), F.lit(float(prm[c]["n"])).alias("_n"))
+        for c in present])))
+    rows = F.coalesce(F.col("_rows"), F.lit(0))
+    return grid.join(counts, (F.col("feature") == F.col("_f")) & (F.col("bin") == F.col("_b")),
+                     "left").select(
+        "feature", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_lo"),
+        (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("bin_hi"),
+        rows.alias("rows"), (rows / (F.col("_n") * F.col("_w"))).alias("density"))
 
 
 def risk_kde(df: DataFrame, cols: Sequence[str] = ("satellite_disruption_risk",
@@ -294,6 +293,10 @@ def risk_kde(df: DataFrame, cols: Sequence[str] = ("satellite_disruption_risk",
         z = (gx - F.col("x")) / F.lit(h)
         parts.append(g.select(F.lit(c).alias("feature"), "point", gx.alias("grid_x"),
                               (F.col("w") * F.exp(F.lit(-0.5) * z * z) * F.lit(norm)).alias("k")))
+    if not parts:  # no column with two different values has a density
+        return df.where(F.lit(False)).select(
+            F.lit("").alias("feature"), F.lit(0).alias("point"), F.lit(0.0).alias("grid_x"),
+            F.lit(0.0).alias("density"))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)

@@ -195,11 +195,16 @@ def sequences(df: DataFrame, col: str, look_back: int = 30, horizon: int = 2,
     """Sliding (x = next ``look_back`` values, y = the ``horizon`` after them)
     starting at every row; rows without a full y are dropped (n − look_back −
     horizon + 1 pairs per series).  Adds ``seq_no`` (0-based start position)."""
+    def values(spec: WindowSpec, start: int, n: int) -> Column:
+        # structs, so that a NULL keeps its place in the window
+        rows = F.collect_list(F.struct(F.col(col).alias("v"))).over(
+            spec.rowsBetween(start, start + n - 1))
+        return F.transform(rows, lambda r: r["v"])
+
     def build(spec: WindowSpec) -> dict[str, Column]:
         return {
-            "x": F.collect_list(F.col(col)).over(spec.rowsBetween(0, look_back - 1)),
-            "y": F.collect_list(F.col(col)).over(
-                spec.rowsBetween(look_back, look_back + horizon - 1)),
+            "x": values(spec, 0, look_back),
+            "y": values(spec, look_back, horizon),
             "seq_no": F.row_number().over(spec) - F.lit(1),
         }
     layout = resolve_layout(df, series, layout)

@@ -31,9 +31,8 @@ def _clip_sql(x: str, lo: str, hi: str) -> str:
   {round_sql(_clip_sql('kp', '0e0', '9e0'), 2)} as predicted_kp_index,
   {round_sql(_clip_sql('sat', '0e0', '100e0'), 2)} as predicted_satellite_risk,
   {round_sql(_clip_sql('gps', '0e0', '100e0'), 2)} as predicted_gps_risk
-from (select series_id, max(timestamp) as last_ts, {_nan_avg_sql('kp_index', 30)} as kp,
-             {_nan_avg_sql('satellite_disruption_risk', 30)} as sat,
-             {_nan_avg_sql('gps_blackout_prob', 30)} as gps
+from (select series_id, max(timestamp) as last_ts, avg(kp_index) as kp,
+             avg(satellite_disruption_risk) as sat, avg(gps_blackout_prob) as gps
       from tl where pos <= 30 group by series_id) b
 cross join (select range as h from range(1, 49)) hh""", TAIL))
 def q_mean_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +92,8 @@ def _peak_case(x: str, cuts) -> str:
     f"""select series_id, {", ".join(f"{round_sql(f'max_{m}')} as max_{m}" for m in METRICS)},
   {_peak_case('max_kp_index', [(7, 'Extreme'), (5, 'High'), (3, 'Moderate'), (0, 'Low')])} as kp_severity,
   {_peak_case('max_satellite_disruption_risk', [(80, 'Extreme'), (60, 'High'), (40, 'Moderate'), (0, 'Low')])} as sat_severity,
-  least(100, cast(trunc(max_kp_index / 9e0 * 100e0) as integer)) as storm_probability
+  case when max_kp_index is not null then
+    least(100, cast(trunc(max_kp_index / 9e0 * 100e0) as integer)) end as storm_probability
 from (select series_id, {", ".join(f"max(forecast_{m}) as max_{m}" for m in METRICS)}
       from fc group by series_id) p""", TREND_CTES))
 def q_forecast_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,8 @@ def q_peak_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("storm_probability", with_obs(
     """select series_id, max_kp,
-  least(100, cast(trunc(max_kp / 9e0 * 100e0) as integer)) as storm_probability
+  case when max_kp is not null then
+    least(100, cast(trunc(max_kp / 9e0 * 100e0) as integer)) end as storm_probability
 from (select series_id, max(kp_index) as max_kp from obs group by series_id) p"""))
 def q_storm_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R8 on the observed Kp peak of each series (jitter 0)."""

@@ -112,21 +112,29 @@ def q_lagged_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
                       *[F.round(c, 6).alias(c) for c in out.columns if c != "lag"])
 
 
-_HIST_SQL = """select feature, bin, {blo} as bin_lo, {bhi} as bin_hi, rows,
-  {dens} as density
-from (select l.feature, least(cast(floor((l.value - p.lo) / p.w) as integer), 49) as bin,
-             count(*) as rows, any_value(p.lo) as lo, any_value(p.w) as w, any_value(p.n) as n
-      from ({long}) l
-      join (select feature, min(value) as lo,
+_HIST_SQL = """select h.feature, h.bin, {blo} as bin_lo, {bhi} as bin_hi,
+  coalesce(c.rows, 0) as rows, {dens} as density
+from (select p.*, cast(g.range as integer) as bin
+      from (select feature, min(value) as lo,
                    case when max(value) > min(value) then (max(value) - min(value)) / 50e0
                         else 1e0 end as w, count(value) as n
-            from ({long}) x group by feature) p on l.feature = p.feature
-      where l.value is not null
-      group by l.feature, 2) h"""
+            from ({long}) x group by feature having count(value) > 0) p,
+           range(0, 50) g) h
+left join (
+  select l.feature, least(cast(floor((l.value - p.lo) / p.w) as integer), 49) as bin,
+         count(*) as rows
+  from ({long}) l
+  join (select feature, min(value) as lo,
+               case when max(value) > min(value) then (max(value) - min(value)) / 50e0
+                    else 1e0 end as w
+        from ({long}) x group by feature) p on l.feature = p.feature
+  where l.value is not null group by l.feature, 2) c
+  on c.feature = h.feature and c.bin = h.bin"""
 
 
 @register("risk_histogram", with_obs(_HIST_SQL.format(
-    blo=_r("lo + bin * w"), bhi=_r("lo + (bin + 1) * w"), dens=_r("rows / (n * w)"),
+    blo=_r("h.lo + h.bin * h.w"), bhi=_r("h.lo + (h.bin + 1) * h.w"),
+    dens=_r("coalesce(c.rows, 0) / (h.n * h.w)"),
     long=_long_sql(["satellite_disruption_risk", "gps_blackout_prob"]))))
 def q_risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.risk_histogram(observations(spark, sf_dir))

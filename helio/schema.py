@@ -174,3 +174,8 @@ LOG_COLUMNS = ["xray_flux", "proton_flux"]
 NON_FEATURES = ["timestamp", "flare_class", "severity", "satellite_disruption_risk",
                 "gps_blackout_prob", "storm_flag", "severity_enc", "year"]
 TARGETS = ["kp_index", "satellite_disruption_risk", "gps_blackout_prob"]
+
+# Columns of the correlation matrix, in display order.
+CORR_COLUMNS = ["sunspot_number", "f107_solar_flux", "solar_wind_speed", "imf_bz",
+                "kp_index", "dst_index", "satellite_disruption_risk", "gps_blackout_prob",
+                "flare_intensity", "proton_flux", "solar_cycle_phase"]

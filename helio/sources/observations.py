@@ -62,7 +62,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """NaN -> NULL for the float columns (Spark orders NaN above every number)."""
-    cols = set(columns or [c for c in FLOAT_COLUMNS if c in df.columns])
+    floats = {c for c, kind in df.dtypes if kind in ("double", "float")}
+    cols = floats & set(columns or FLOAT_COLUMNS)
     return df.select(*[
         F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in cols else F.col(c)
         for c in df.columns

@@ -25,6 +25,7 @@ from helio.functions.exprs import classify_flare, safe_float, severity_label, st
 from helio.operators import alerts, risk
 from helio.schema import FULL_OBSERVATION_SCHEMA
 from helio.session import scratch_path
+from helio.sources.observations import nan_to_null
 
 OBS_STREAM_SCHEMA = T.StructType(
     [T.StructField(f.name, T.TimestampType() if f.name == "timestamp" else f.dataType, True)
@@ -38,7 +39,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType,
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.json(path)
+    return nan_to_null(r.json(path))
 
 
 def clean_feed_stream(stream: DataFrame) -> DataFrame:

@@ -315,3 +315,91 @@ def test_knn_split_blocks_equal_single_block(spark, obs):
          for r in quality.knn_cells(obs, NUMERIC_COLUMNS, receiver_block=7, donor_block=50).collect()}
     assert a.keys() == b.keys()
     assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def _series(spark, values, col="kp_index"):
+    cols = ["kp_index", "satellite_disruption_risk", "gps_blackout_prob", "solar_wind_speed"]
+    rows = [(i, 1, datetime(2024, 1, 1) + timedelta(hours=i),
+             *[v if c == col else 10.0 for c in cols]) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "event_id long, series_id long, timestamp timestamp_ntz, "
+                                 + ", ".join(f"{c} double" for c in cols))
+
+
+@pytest.mark.parametrize("mode", ["keyed", "chunked"])
+def test_sequences_keep_nulls_in_place(spark, mode):
+    df = _series(spark, [float(i) if i not in (3, 8) else None for i in range(12)])
+    got = windows.sequences(df, "kp_index", 4, 2, layout=windows.Layout(mode)).orderBy("seq_no")
+    rows = got.collect()
+    assert [r["seq_no"] for r in rows] == list(range(7))
+    for r in rows:
+        want = [float(i) if i not in (3, 8) else None
+                for i in range(r["seq_no"], r["seq_no"] + 6)]
+        assert r["x"] + r["y"] == want
+
+
+def test_mean_forecast_skips_missing_readings(spark):
+    df = _series(spark, [2.0, None, 4.0])
+    row = forecast.mean_forecast_48h(df, hours=1).first()
+    assert row["predicted_kp_index"] == 3.0
+
+
+def test_noisy_trend_needs_every_part(spark):
+    df = _series(spark, [300.0] * 40 + [None], "solar_wind_speed")
+    rows = forecast.trend_forecast_48h(df, noise=True).collect()
+    assert all(r["forecast_solar_wind_speed"] is None for r in rows)
+    kp = [r["forecast_kp_index"] - 10.0 for r in rows]
+    sat = [r["forecast_satellite_disruption_risk"] - 10.0 for r in rows]
+    assert [k > 0 for k in kp] != [s > 0 for s in sat]
+
+
+def test_storm_probability_of_a_missing_peak(spark):
+    df = spark.createDataFrame([(1, 4.5), (2, None), (3, 12.0)], "i long, k double")
+    got = {r["i"]: r["p"] for r in df.select(
+        "i", risk.storm_probability_expr(F.col("k")).alias("p")).collect()}
+    assert got == {1: 50, 2: None, 3: 100}
+
+
+def test_best_model_ties_take_the_first_name(spark):
+    df = spark.createDataFrame([("t", m, 0.5) for m in ("Ridge", "GBT", "Linear")]
+                               + [("t", "A", None), ("u", "B", None)],
+                               "target string, model string, r2 double")
+    got = {r["target"]: r["best_model"] for r in ml.best_by_group(df).collect()}
+    assert got == {"t": "GBT", "u": "B"}
+
+
+def test_histogram_has_every_bin_and_no_column_may_be_empty(spark):
+    df = spark.createDataFrame([(0.0, None), (10.0, None), (10.0, None)], "a double, b double")
+    rows = {r["bin"]: r["rows"] for r in stats.risk_histogram(df, ("a", "b"), 5).collect()}
+    assert rows == {0: 1, 1: 0, 2: 0, 3: 0, 4: 2}
+    assert stats.risk_histogram(df.where("a > 99"), ("a", "b")).count() == 0
+    assert stats.risk_kde(df, ("b",)).count() == 0
+
+
+def test_stream_source_turns_nan_into_null(spark, tmp_path):
+    from helio.streaming import streams
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(
+        '{"event_id":1,"series_id":1,"timestamp":"2024-01-01T00:00:00.000000","kp_index":NaN}\n')
+    out = streams.read_stream(spark, str(tmp_path / "in"), streams.OBS_STREAM_SCHEMA)
+    q = (streams.stream_alerts(out).writeStream.format("memory").queryName("nan_alerts")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(60)
+    assert spark.table("nan_alerts").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from helio import session
+
+    class None_:
+        def isDefined(self):
+            return False
+
+    class Fake:
+        master = "spark://host:7077"
+        sparkContext = conf = _jsc = property(lambda self: self)
+        get = lambda self, *a: None
+        getConf = sc = lambda self: self
+        getCheckpointDir = lambda self: None_()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Fake())
