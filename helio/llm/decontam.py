@@ -32,7 +32,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helio.llm.stages import documents, written
+from helio.llm.stages import discard, documents, written
 from helio.llm.textscan import text_slices, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -248,8 +248,11 @@ def covered(spans):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0,
                   block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, item_ids) of every document."""
+    """(doc_id, n_words, n_hit, spans, item_ids) of every document, written; the index is
+    removed again (``build_index`` and ``probe`` keep one for several benchmarks)."""
     index = build_index(docs)
-    return (probe(docs.sparkSession, index, benchmark, size, slop, block_windows)
+    found = written(probe(docs.sparkSession, index, benchmark, size, slop, block_windows)
             .select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"),
-                    "spans", "item_ids"))
+                    "spans", "item_ids"), "contamination")
+    discard(index)
+    return found

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helio.llm.components import components
-from helio.llm.stages import documents, may_hold, without, written
+from helio.llm.stages import discard, documents, may_hold, without, written
 from helio.llm.textscan import mix64, shingle_hashes, text_slices, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -295,11 +295,13 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: i
     left = close.select(F.explode(F.array("x", "y")).alias("rep")).select(F.xxhash64("rep"))
     full = may_hold(sets.select("rep", "c1", "n", "shingles"), F.xxhash64("rep"), left)
     both = F.size(F.array_intersect("sx", "sy"))
-    return written(
+    links = written(
         close.join(full.toDF("x", "a", "nx", "sx"), ["x", "a"])
         .join(full.toDF("y", "b", "ny", "sy"), ["y", "b"])
         .filter(100 * both >= t * (F.col("nx") + F.col("ny") - both))
         .select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    discard(ends, sets, close)
+    return links
 
 
 def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id",
@@ -336,6 +338,7 @@ def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_
     if rest.take(1):
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
                             .unionByName(verified(texts, classes, rest, k, t)))
+    discard(found, rest)
 
     placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("rep").alias("class_id"),

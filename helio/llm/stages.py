@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helio.session import materialize
+from helio.session import scratch_path
 
 #: Stands for a null document id where ids are compared (smaller than any id).
 NO_ID = -(2 ** 63)
@@ -17,7 +17,19 @@ BITMAP = 1 << 24
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder of ``spark.checkpoint.dir``."""
-    return materialize(df, f"llm-{name}")
+    path = scratch_path(df.sparkSession, f"llm-{name}")
+    df.write.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        jvm, jsc = table.sparkSession._jvm, table.sparkSession._jsc
+        path = jvm.org.apache.hadoop.fs.Path(table.stage_path)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
