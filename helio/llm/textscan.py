@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 # Executors need numpy and pyarrow only: the functions travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_BYTES = 2 << 20
+MAX_BYTES = 1 << 20
 _K1, _K2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _K3 = 0x94D049BB133111EB
 _BASE = 0x100000001B3 * 2 + 0x5851F42D4C957F2D
@@ -75,6 +75,7 @@ def text_slices(batch: pa.RecordBatch, col: str, max_bytes: int = MAX_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, done + max_bytes, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers wait for further tasks
 
 
 def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
