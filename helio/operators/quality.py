@@ -274,7 +274,9 @@ def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
         r0 = d0.where(_any_null(cols))
         nb, nd = F.col("_nb"), F.col("_nd")
     else:
-        n_r, n_d = receivers.count(), base.count()
+        one = base.agg(F.count_if(_any_null(cols)), F.count(F.lit(1)),
+                       *[F.avg(c) for c in cols]).first()
+        n_r, n_d, means = one[0], one[1], one[2:]
         if n_r == 0:
             return df.sparkSession.createDataFrame([], schema)
         r0, d0 = receivers, base
@@ -294,8 +296,7 @@ def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
     if bc:
         n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     else:
-        n_parts = max(1, min(100_000, 2 * (max(1, math.ceil(n_r / receiver_block))
-                                           * max(1, math.ceil(n_d / donor_block)))))
+        n_parts = 2 * max(1, math.ceil(n_r / receiver_block)) * max(1, math.ceil(n_d / donor_block))
     r = r.select(*keys, "_id", *cols).repartition(n_parts, *keys)
     d = d.select(*[F.col(x).alias(x) for x in keys + ["_id"] + cols]).repartition(n_parts, *keys)
     partial = (r.groupBy(*keys)
@@ -313,8 +314,7 @@ def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
     if bc:
         missing = r0.select("_id", cells_of(lambda j, c: F.col(f"_m{j}"))).where("_miss")
     else:
-        means = base.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-        missing = receivers.select("_id", cells_of(lambda j, c: F.lit(means[c]))).where("_miss")
+        missing = receivers.select("_id", cells_of(lambda j, c: F.lit(means[j]))).where("_miss")
     cells = missing.join(imp.withColumnRenamed("rid", "_id"), ["_id", "col_no"], "left")
     return cells.select(F.col("_id").alias(id_col), "col_no", "feature",
                         F.coalesce(F.col("imp"), F.col("_mean")).alias("value"))

@@ -60,13 +60,12 @@ def storm_periods(df: DataFrame, kp: str = "kp_index", series: str = SERIES,
     island id = row number in the series − row number among storm rows.  All
     three numberings (rows, storm rows, periods) go through
     :func:`helio.operators.windows.number_rows`, so a hot series is numbered
-    without a single-task window (``Layout`` auto/chunked).  Output: series,
+    without a single-task window.  Output: series,
     period_no, start/end time, rows, peak Kp and the time of the (first) peak.
     """
-    from helio.operators.windows import AUTO, number_rows, resolve_layout
+    from helio.operators.windows import CHUNKED, number_rows
     base = df.select(series, *order, kp)
-    # one size check on the input; the storm rows and periods are subsets of it
-    layout = resolve_layout(base, series, layout or AUTO)
+    layout = layout or CHUNKED
     src = number_rows(base, series, order, "rn", layout)
     storm = number_rows(src.where(F.col(kp) >= F.lit(STORM_KP)), series, ["rn"], "srn", layout)
     islands = storm.withColumn("island", F.col("rn") - F.col("srn"))

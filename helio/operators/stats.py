@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helio.operators.windows import AUTO, Layout, apply_ordered, number_rows
+from helio.operators.windows import CHUNKED, Layout, apply_ordered, number_rows
 from helio.schema import CORR_COLUMNS, FLARE_CLASSES, SERIES, SEVERITY_LABELS, TIME
 
 ORDER = (TIME, "event_id")
@@ -187,7 +187,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = CORR_COLUMNS,
 def lagged_xcorr(df: DataFrame, x: str = "kp_index",
                  ys: Sequence[str] = ("satellite_disruption_risk", "gps_blackout_prob"),
                  max_lag: int = 14, series: str | None = SERIES, order: Sequence[str] = ORDER,
-                 layout: Layout = AUTO) -> DataFrame:
+                 layout: Layout = CHUNKED) -> DataFrame:
     """corr(x[t], y[t+lag]) for lag in [-max_lag, max_lag], pairs inside a series.
 
     One window pass adds the 2·max_lag+1 shifted copies of each y; the rows

@@ -1,13 +1,11 @@
 """Ordered-window features per series, keyed or skew-safe.
 
-Two layouts compute the same columns:
+Two layouts compute the same columns; no layout depends on the data:
 
-``auto``     (default) keyed when the largest series fits one window task,
-             chunked otherwise — see :func:`resolve_layout`.
 ``keyed``    ``Window.partitionBy(series).orderBy(ts, id)``.  One shuffle; but a
-             series is one task, so a series holding a third of the table is a
-             third of the table in one task.
-``chunked``  rows are numbered inside their series without a single-task sort
+             series is one task, so it is only for callers who know that every
+             series is small.
+``chunked``  (default) rows are numbered inside their series without a single-task sort
              (range partitioning on (series, ts, id) + per-partition offsets,
              see :func:`number_rows`), cut into chunks of ``chunk_rows`` rows,
              and each chunk gets copies of the ``behind`` rows before it and
@@ -35,30 +33,14 @@ _MID_BITS = 33  # monotonically_increasing_id = partition id << 33 | row index
 
 @dataclass(frozen=True)
 class Layout:
-    mode: str = "auto"           # "auto" | "keyed" | "chunked"
+    mode: str = "chunked"        # "chunked" | "keyed"
     chunk_rows: int = 1 << 20    # rows per chunk in chunked mode (max rows of a window task)
     partitions: int | None = None  # range partitions for numbering (None: shuffle partitions)
     broadcast_limit: int = 1 << 20  # max rows of the per-partition offset table to broadcast
 
 
 KEYED = Layout("keyed")
-AUTO = Layout("auto")
-
-
-def resolve_layout(df: DataFrame, series: str | None, layout: Layout) -> Layout:
-    """``auto``: keyed when the largest series fits one window task
-    (``chunk_rows``), otherwise chunked.  The size check is one partial
-    aggregate over the series column only (a count per series, then a max)."""
-    if layout.mode != "auto":
-        return layout
-    if series is None:
-        biggest = df.select(F.lit(1).alias("_one")).count()
-    else:
-        row = (df.groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
-                 .agg(F.max("_n").alias("_m")).first())
-        biggest = (row["_m"] if row else 0) or 0
-    mode = "chunked" if biggest > layout.chunk_rows else "keyed"
-    return Layout(mode, layout.chunk_rows, layout.partitions, layout.broadcast_limit)
+CHUNKED = Layout()
 
 
 def _series_cols(series: str | None) -> list[Column]:
@@ -66,8 +48,9 @@ def _series_cols(series: str | None) -> list[Column]:
 
 
 def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str] = ORDER,
-                name: str = "rn", layout: Layout = AUTO) -> DataFrame:
-    """Row number (1-based) inside each series in ``order``.
+                name: str = "rn", layout: Layout = CHUNKED, total: str | None = None) -> DataFrame:
+    """Row number (1-based) inside each series in ``order``; ``total`` names a column
+    for the number of rows of the series.
 
     ``keyed``: ``row_number()`` over the series window.
     ``chunked``: range-partition on (series, order) so a hot series spans many
@@ -75,14 +58,15 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
     ``monotonically_increasing_id`` (increasing along the sort), and write the
     tagged rows as a table in the shared checkpoint folder (the range bounds
     are sampled and the ids depend on partitioning, so the tagged table must
-    not be recomputed differently after an executor loss).
+    not be recomputed differently after an executor loss).  Every column of
+    ``df`` is written: select the needed ones first.
     A per-(partition, series) count table — at most partitions + series rows —
     gives each partition's offset inside its series by a running sum.
     """
-    layout = resolve_layout(df, series, layout)
     if layout.mode == "keyed":
-        w = Window.partitionBy(*_series_cols(series)).orderBy(*[F.col(c) for c in order])
-        return df.withColumn(name, F.row_number().over(w))
+        w = Window.partitionBy(*_series_cols(series))
+        out = df.withColumn(name, F.row_number().over(w.orderBy(*[F.col(c) for c in order])))
+        return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
 
     spark = df.sparkSession
     from helio.session import materialize
@@ -98,7 +82,11 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
                                      F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(*_series_cols(series)).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
+    stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    if total:
+        whole = Window.partitionBy(*_series_cols(series))
+        stats = stats.withColumn(total, F.sum("_n").over(whole))
+    stats = stats.drop("_n")
     n_stats = stats.count()
     side = F.broadcast(stats) if n_stats <= layout.broadcast_limit else stats
     join_keys = ["_pid"] + ([series] if series else [])
@@ -109,17 +97,22 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
 
 def apply_ordered(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]],
                   series: str | None = SERIES, order: Sequence[str] = ORDER,
-                  behind: int = 0, ahead: int = 0, layout: Layout = AUTO) -> DataFrame:
-    """Add the window columns ``build(spec)`` using the chosen layout."""
-    layout = resolve_layout(df, series, layout)
+                  behind: int = 0, ahead: int = 0, layout: Layout = CHUNKED,
+                  number: str | None = None, total: str | None = None) -> DataFrame:
+    """Add the window columns ``build(spec)`` using the chosen layout, and on request
+    the row's number in its series and the series' number of rows."""
     if layout.mode == "keyed":
+        if number:
+            df = number_rows(df, series, order, number, layout, total)
         spec = Window.partitionBy(*_series_cols(series)).orderBy(*[F.col(c) for c in order])
         return df.withColumns(build(spec))
 
     c_rows = layout.chunk_rows
     if behind > c_rows or ahead > c_rows:
         raise ValueError("halo wider than a chunk; raise chunk_rows")
-    numbered = number_rows(df, series, order, "_rn", layout)
+    numbered = number_rows(df, series, order, "_rn", layout, total)
+    if number:
+        numbered = numbered.withColumn(number, F.col("_rn"))
     pos = F.col("_rn") - F.lit(1)
     chunk = F.floor(pos / F.lit(c_rows)).cast("long")
     within = F.pmod(pos, F.lit(c_rows))
@@ -174,7 +167,7 @@ def combine(*builders):
 
 
 def lag_rolling_features(df: DataFrame, cols: Sequence[str], series: str | None = SERIES,
-                         order: Sequence[str] = ORDER, layout: Layout = AUTO) -> DataFrame:
+                         order: Sequence[str] = ORDER, layout: Layout = CHUNKED) -> DataFrame:
     """W1–W3 in one window pass, in the reference's column order per input column:
     lag1, lag3, roll7, roll30, std7."""
     def build(spec: WindowSpec) -> dict[str, Column]:
@@ -191,10 +184,15 @@ def lag_rolling_features(df: DataFrame, cols: Sequence[str], series: str | None
 
 def sequences(df: DataFrame, col: str, look_back: int = 30, horizon: int = 2,
               series: str | None = SERIES, order: Sequence[str] = ORDER,
-              layout: Layout = AUTO, keep: Sequence[str] = ("event_id",)) -> DataFrame:
+              layout: Layout = CHUNKED, keep: Sequence[str] = ("event_id",),
+              total: str | None = None) -> DataFrame:
     """Sliding (x = next ``look_back`` values, y = the ``horizon`` after them)
     starting at every row; rows without a full y are dropped (n − look_back −
-    horizon + 1 pairs per series).  Adds ``seq_no`` (0-based start position)."""
+    horizon + 1 pairs per series).  Adds ``seq_no`` (0-based start position).
+
+    The table is numbered once.  A pair is full by its position, so a plan that does
+    not use x and y does not build them; ``total`` names a column for the series'
+    number of pairs."""
     def values(spec: WindowSpec, start: int, n: int) -> Column:
         # structs, so that a NULL keeps its place in the window
         rows = F.collect_list(F.struct(F.col(col).alias("v"))).over(
@@ -202,36 +200,21 @@ def sequences(df: DataFrame, col: str, look_back: int = 30, horizon: int = 2,
         return F.transform(rows, lambda r: r["v"])
 
     def build(spec: WindowSpec) -> dict[str, Column]:
-        return {
-            "x": values(spec, 0, look_back),
-            "y": values(spec, look_back, horizon),
-            "seq_no": F.row_number().over(spec) - F.lit(1),
-        }
-    layout = resolve_layout(df, series, layout)
-    if layout.mode == "chunked":
-        # seq_no must be global in the series: number first, then window.
-        numbered = number_rows(df, series, order, "_seq_rn", layout)
-        def build_chunked(spec: WindowSpec) -> dict[str, Column]:
-            b = build(spec)
-            b["seq_no"] = F.col("_seq_rn") - F.lit(1)
-            return b
-        out = apply_ordered(numbered, build_chunked, series, order, 0,
-                            look_back + horizon - 1, layout).drop("_seq_rn")
-    else:
-        out = apply_ordered(df, build, series, order, 0, look_back + horizon - 1, layout)
-    out = out.where(F.size("y") == F.lit(horizon))
-    return out.select(*_series_cols(series), *keep, "seq_no", "x", "y")
+        return {"x": values(spec, 0, look_back), "y": values(spec, look_back, horizon)}
+    needed = dict.fromkeys([*([series] if series else []), *order, *keep, col])
+    out = apply_ordered(df.select(*needed), build, series, order, 0, look_back + horizon - 1,
+                        layout, "_seq_rn", "_seq_n")
+    pairs = F.col("_seq_n") - F.lit(look_back + horizon - 1)
+    out = out.withColumn("seq_no", F.col("_seq_rn") - F.lit(1)) \
+             .where(F.col("_seq_rn") <= pairs)
+    return out.select(*_series_cols(series), *keep, "seq_no", "x", "y",
+                      *([pairs.alias(total)] if total else []))
 
 
 def chronological_split(seqs: DataFrame, train_fraction: float = 0.85,
-                        series: str | None = SERIES, pos: str = "seq_no") -> DataFrame:
-    """First ``floor(fraction · n)`` sequences of each series are train."""
-    if series:
-        # one count row per series, joined back (AQE splits a skewed series' partition)
-        counts = seqs.groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
-        j = seqs.join(counts, [series])
-    else:
-        j = seqs.withColumn("_n", F.lit(seqs.count()))
-    cut = F.floor(F.col("_n") * F.lit(train_fraction))
-    return j.withColumn("split", F.when(F.col(pos) < cut, F.lit("train"))
-                        .otherwise(F.lit("validation"))).drop("_n")
+                        pos: str = "seq_no", total: str = "n_seq") -> DataFrame:
+    """First ``floor(fraction · n)`` sequences of each series are train, with n from
+    the column ``total`` that :func:`sequences` adds on request."""
+    cut = F.floor(F.col(total) * F.lit(train_fraction))
+    return seqs.withColumn("split", F.when(F.col(pos) < cut, F.lit("train"))
+                           .otherwise(F.lit("validation"))).drop(total)

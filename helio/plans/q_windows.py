@@ -15,6 +15,7 @@ from helio.sources.observations import observations
 # the halo path is what gets checked.
 W5_LAYOUT = W.Layout("chunked", chunk_rows=4096)
 
+NEEDED = ("event_id", "series_id", "timestamp", *LAG_COLUMNS)
 WIN = "partition by series_id order by timestamp, event_id"
 GWIN = "order by timestamp, event_id"
 
@@ -42,7 +43,7 @@ def _r6(cols):
 
 @register("lags", with_obs(f"select event_id, series_id, timestamp,\n  {_lags_sql(WIN)}\nfrom obs"))
 def q_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir)
+    o = observations(spark, sf_dir).select(*NEEDED)
     out = W.apply_ordered(o, W.lag_columns(LAG_COLUMNS), behind=3)
     return out.select("event_id", "series_id", "timestamp",
                       *[f"{c}_lag{n}" for c in LAG_COLUMNS for n in (1, 3)])
@@ -51,7 +52,7 @@ def q_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rolling_means", with_obs(
     f"select event_id, series_id, timestamp,\n  {_roll_sql(WIN)}\nfrom obs"))
 def q_rolling_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir)
+    o = observations(spark, sf_dir).select(*NEEDED)
     out = W.apply_ordered(o, W.rolling_mean_columns(LAG_COLUMNS), behind=29)
     return out.select("event_id", "series_id", "timestamp",
                       *_r6([f"{c}_roll{n}" for c in LAG_COLUMNS for n in (7, 30)]))
@@ -60,7 +61,7 @@ def q_rolling_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rolling_std", with_obs(
     f"select event_id, series_id, timestamp,\n  {_std_sql(WIN)}\nfrom obs"))
 def q_rolling_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir)
+    o = observations(spark, sf_dir).select(*NEEDED)
     out = W.apply_ordered(o, W.rolling_std_columns(LAG_COLUMNS), behind=6)
     return out.select("event_id", "series_id", "timestamp",
                       *_r6([f"{c}_std7" for c in LAG_COLUMNS]))
@@ -84,7 +85,7 @@ def q_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_global_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1–W3 over the whole table as one series, computed with the skew-safe
     chunk + halo layout (no single-task window)."""
-    o = observations(spark, sf_dir).drop("series_id")
+    o = observations(spark, sf_dir).select(*NEEDED).drop("series_id")
     out = W.lag_rolling_features(o, LAG_COLUMNS, series=None, layout=W5_LAYOUT)
     lag_cols = [f"{c}_lag{n}" for c in LAG_COLUMNS for n in (1, 3)]
     roll_cols = [f"{c}_roll{n}" for c in LAG_COLUMNS for n in (7, 30)]
@@ -98,5 +99,5 @@ def q_global_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
        else 'validation' end as split
 from ({_SEQ_SQL}) q"""))
 def q_chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = W.sequences(observations(spark, sf_dir), "kp_index", 30, 2)
+    seqs = W.sequences(observations(spark, sf_dir), "kp_index", 30, 2, total="n_seq")
     return W.chronological_split(seqs).select("series_id", "event_id", "seq_no", "split")

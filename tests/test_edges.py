@@ -88,7 +88,7 @@ def test_short_series_sequences(spark, n, pairs):
 
 
 def test_halo_layout_equals_keyed(spark, obs):
-    keyed = windows.lag_rolling_features(obs, ["kp_index", "imf_bz"])
+    keyed = windows.lag_rolling_features(obs, ["kp_index", "imf_bz"], layout=windows.KEYED)
     chunked = windows.lag_rolling_features(obs, ["kp_index", "imf_bz"],
                                            layout=windows.Layout("chunked", chunk_rows=32))
     cols = ["event_id", "kp_index_lag3", "kp_index_roll30", "imf_bz_std7", "imf_bz_roll7"]
@@ -193,10 +193,18 @@ def _rows(df, cols):
                   for r in df.select(cols).collect())
 
 
-def test_auto_layout_picks_chunked_for_a_hot_series(spark, obs):
-    small = windows.Layout("auto", chunk_rows=16)
-    assert windows.resolve_layout(obs, "series_id", small).mode == "chunked"
-    assert windows.resolve_layout(obs, "series_id", windows.AUTO).mode == "keyed"
+def test_the_layout_does_not_depend_on_the_data():
+    assert windows.Layout().mode == windows.CHUNKED.mode == "chunked"
+
+
+def test_split_takes_the_number_of_pairs_from_the_numbering(spark, obs):
+    seqs = windows.sequences(obs, "kp_index", 30, 2, total="n_seq")
+    for r in seqs.groupBy("series_id").agg(F.count("x").alias("n"), F.max("n_seq").alias("m"),
+                                           F.min("n_seq").alias("k")).collect():
+        assert r["n"] == r["m"] == r["k"]
+    parts = windows.chronological_split(seqs).groupBy("series_id").agg(
+        F.count_if(F.col("split") == "train").alias("train"), F.count("x").alias("n"))
+    assert all(r["train"] == int(r["n"] * 0.85) for r in parts.collect())
 
 
 def test_storm_periods_chunked_equals_keyed(spark, obs):
@@ -403,3 +411,89 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Fake())
+
+
+def _line(spark, n=200):
+    """y = 3 a − 2 b + 1 with a small fixed wobble."""
+    rows = [(i, float(i % 17), float((i * 7) % 23),
+             3.0 * (i % 17) - 2.0 * ((i * 7) % 23) + 1.0 + ((i * 13) % 5 - 2) / 10) for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, a double, b double, y double")
+
+
+SMALL = {"Random Forest": {"numTrees": 5, "maxDepth": 4},
+         "Gradient Boosting": {"maxIter": 3, "maxDepth": 3},
+         "Gradient Boosting Subsampled": {"maxIter": 3, "maxDepth": 3, "subsamplingRate": 0.8}}
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return ml.train_models(_line(spark), ["a", "b", "y"], "y", SMALL)
+
+
+def test_linear_and_ridge_equal_the_closed_form(spark, trained):
+    import numpy as np
+    _, _, fitted, feats = trained
+    assert feats == ["a", "b"]
+    train, _, _ = ml.split_vectors(_line(spark), ["a", "b"], "y")
+    rows = train.collect()
+    x = np.array([r["features"].toArray() for r in rows])
+    y = np.array([r["label"] for r in rows])
+    xc, yc = x - x.mean(0), y - y.mean()
+    for name, alpha in (("Linear Regression", 0.0), ("Ridge Regression", 1.0)):
+        want = np.linalg.solve(xc.T @ xc + alpha * np.eye(2), xc.T @ yc)
+        m = fitted[name]
+        assert np.allclose(m.coefficients.toArray(), want, atol=1e-6), name
+        assert abs(m.intercept - (y.mean() - x.mean(0) @ want)) < 1e-5
+
+
+def test_every_model_predicts_every_test_row(spark, trained):
+    scores, preds, fitted, _ = trained
+    _, test, _ = ml.split_vectors(_line(spark), ["a", "b"], "y")
+    n = test.count()
+    got = {r["model"]: r["n"] for r in preds.groupBy("model").agg(F.count("yhat").alias("n")).collect()}
+    assert got == {m: n for m in ml.MODEL_PARAMS}
+    assert {s[0] for s in scores} == set(fitted) == set(ml.MODEL_PARAMS)
+    best = ml.regression_metrics(preds).where("model = 'Linear Regression'").first()
+    assert best["r2"] > 0.99
+
+
+def test_importances_sum_to_one_and_are_ranked(spark, trained):
+    top = ml.feature_importance_top(trained[2]["Random Forest"], ["a", "b"], spark, 20).collect()
+    assert abs(sum(r["importance"] for r in top) - 1.0) < 1e-9
+    assert top[0]["importance"] >= top[1]["importance"]
+
+
+def test_model_store_reloads_the_best_model(spark, trained, tmp_path):
+    _, test, _ = ml.split_vectors(_line(spark), ["a", "b"], "y")
+    base = f"file://{tmp_path}/models"
+    for best in ("Linear Regression", "Random Forest", "Gradient Boosting"):
+        ml.save_models(trained[2], "y", best, base)
+        again = ml.load_best_model(spark, base, "y", best)
+        both = ml.predictions({"saved": trained[2][best], "reloaded": again}, test, "y")
+        assert both.groupBy("event_id").agg(F.countDistinct("yhat").alias("n")).where("n > 1").count() == 0
+    with pytest.raises(FileNotFoundError):
+        ml.load_best_model(spark, base, "absent", "Random Forest")
+
+
+def test_the_registered_models_are_full_size():
+    from helio.plans import q_ml
+    assert not hasattr(q_ml, "CHECK_PARAMS")
+    assert ml.MODEL_PARAMS["Random Forest"]["numTrees"] == 200
+    assert ml.MODEL_PARAMS["Gradient Boosting Subsampled"]["maxIter"] == 300
+
+
+def test_metrics_of_a_constant_target(spark):
+    p = spark.createDataFrame([("m", "t", 1.0, 2.0), ("m", "t", 1.0, 0.0), ("m", "t", None, 0.0)],
+                              "model string, target string, y double, yhat double")
+    r = ml.regression_metrics(p).first()
+    assert (r["mae"], r["rmse"], r["r2"], r["n"]) == (1.0, 1.0, None, 2)
+
+
+def test_model_histograms_have_every_bin(spark):
+    p = spark.createDataFrame([("m", "t", float(v), 0.0) for v in (0, 0, 10)],
+                              "model string, target string, y double, yhat double")
+    h = ml.residual_histogram(p, bins=5).orderBy("bin").collect()
+    assert [r["rows"] for r in h] == [2, 0, 0, 0, 1] and h[-1]["bin_hi"] == 10.0
+    both = ml.prediction_histograms(p, bins=5)
+    assert both.count() == 10 and both.agg(F.sum("rows")).first()[0] == 6
+    assert ml.residual_histogram(p.where("false"), bins=5).count() == 0
