@@ -188,22 +188,25 @@ def replay_window(obs: DataFrame, peaks: DataFrame, hours_before: int = 36,
 def tracked_objects(positions: DataFrame) -> DataFrame:
     """Live position rows (one per feed) ∪ the three fixed risk zones.
 
-    ``positions``: ``feed`` plus ``latitude``/``longitude`` strings.  A feed
-    whose newest record is malformed gets the fallback position.
+    ``positions``: one row per ``feed`` with a struct ``iss_position`` (or plain columns) of
+    ``latitude``/``longitude`` strings.  A feed whose newest record is malformed gets the
+    fallback position, and so does a table without any feed (feed NULL).
     """
-    lat = F.col("latitude").cast("string").try_cast("double")
-    lon = F.col("longitude").cast("string").try_cast("double")
+    at = "iss_position." if "iss_position" in positions.columns else ""
+    found = positions.select("feed", *[F.col(f"{at}{c}").cast("string").alias(c)
+                                       for c in ("latitude", "longitude")])
+    none = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields])
+    lat, lon = (F.col(c).try_cast("double") for c in ("latitude", "longitude"))
     ok = lat.isNotNull() & lon.isNotNull()
-    live = positions.select(
-        F.col("feed"),
-        F.lit(ISS_NAME).alias("satellite"),
-        F.when(ok, lat).otherwise(F.lit(ISS_FALLBACK[0])).alias("latitude"),
-        F.when(ok, lon).otherwise(F.lit(ISS_FALLBACK[1])).alias("longitude"),
-        F.when(ok, F.lit("Live Tracking")).otherwise(F.lit("Fallback Position")).alias("risk_zone"),
-        F.lit(ISS_ALTITUDE_KM).alias("altitude_km"))
-    zones = live.select("feed").distinct().select(
-        "feed", F.inline(F.array(*[F.struct(F.lit(n).alias("satellite"), F.lit(la).alias("latitude"),
-                                            F.lit(lo).alias("longitude"), F.lit(z).alias("risk_zone"),
-                                            F.lit(alt).alias("altitude_km"))
-                                   for n, la, lo, z, alt in RISK_ZONES])))
-    return live.unionByName(zones)
+
+    def place(name, latitude, longitude, zone, altitude):
+        return F.struct(F.lit(name).alias("satellite"), latitude.alias("latitude"),
+                        longitude.alias("longitude"), zone.alias("risk_zone"),
+                        F.lit(altitude).alias("altitude_km"))
+    live = place(ISS_NAME, F.when(ok, lat).otherwise(F.lit(ISS_FALLBACK[0])),
+                 F.when(ok, lon).otherwise(F.lit(ISS_FALLBACK[1])),
+                 F.when(ok, F.lit("Live Tracking")).otherwise(F.lit("Fallback Position")),
+                 ISS_ALTITUDE_KM)
+    zones = [place(n, F.lit(la), F.lit(lo), F.lit(z), alt) for n, la, lo, z, alt in RISK_ZONES]
+    return found.unionByName(none).select("feed", F.inline(F.array(live, *zones)))

@@ -124,14 +124,14 @@ def _label_dim(spark, name: str, labels: Sequence[str]) -> DataFrame:
 def severity_counts(df: DataFrame, col: str = "severity") -> DataFrame:
     """A2: rows per severity with share in %, ordered Low..Extreme (label_no).
 
-    The total is one scalar count (fixed size), so the share is a projection —
-    no window over the grouped rows.
+    The total is the sum of the label counts, so the table is read once.
     """
-    total = df.count()
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.agg(F.collect_list(F.struct(col, "rows")).alias("_per"),
+                        F.sum("rows").alias("_total")).select("_total", F.inline("_per"))
     dim = _label_dim(df.sparkSession, col, SEVERITY_LABELS)
     out = counts.join(F.broadcast(dim), col, "left").withColumn(
-        "share_pct", F.col("rows") * F.lit(100.0) / F.lit(float(total)))
+        "share_pct", F.col("rows") * F.lit(100.0) / F.col("_total"))
     return out.select("label_no", col, "rows", "share_pct")
 
 

@@ -46,8 +46,10 @@ ALERT_FEED_SCHEMA = T.StructType([
 POSITION_FEED_SCHEMA = T.StructType([
     T.StructField("feed", T.StringType()),
     T.StructField("time_tag", T.StringType()),
-    T.StructField("latitude", T.StringType()),
-    T.StructField("longitude", T.StringType()),
+    T.StructField("iss_position", T.StructType([
+        T.StructField("latitude", T.StringType()),
+        T.StructField("longitude", T.StringType()),
+    ])),
 ])
 
 
@@ -98,9 +100,9 @@ def position_records(obs: DataFrame) -> DataFrame:
     lat = ((F.col("event_id") * 7) % 1800) / F.lit(10.0) - F.lit(90.0)
     lon = ((F.col("event_id") * 11) % 3600) / F.lit(10.0) - F.lit(180.0)
     return obs.select(feed_name().alias("feed"), time_tag().alias("time_tag"),
-                      F.when(F.col("event_id") % 13 != 0, lat.cast("string"))
-                      .otherwise(F.lit("n/a")).alias("latitude"),
-                      lon.cast("string").alias("longitude"))
+                      F.struct(F.when(F.col("event_id") % 13 != 0, lat.cast("string"))
+                               .otherwise(F.lit("n/a")).alias("latitude"),
+                               lon.cast("string").alias("longitude")).alias("iss_position"))
 
 
 def land(records: DataFrame, spark: SparkSession, name: str, files: int | None = None) -> str:

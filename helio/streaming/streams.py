@@ -97,9 +97,9 @@ def run_to_table(query_df: DataFrame, spark: SparkSession, name: str,
              .trigger(availableNow=True).start())
     else:
         def upsert(batch: DataFrame, epoch: int) -> None:
-            # update mode: each micro-batch carries the changed groups; every
-            # version is appended with its epoch, the newest epoch per group wins.
-            batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
+            # update mode: each micro-batch carries the changed groups, in a folder of
+            # its own (a retried epoch replaces it); the newest epoch per group wins.
+            batch.write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
         q = (query_df.writeStream.foreachBatch(upsert)
              .option("checkpointLocation", ckpt).outputMode(mode)
              .trigger(availableNow=True).start())

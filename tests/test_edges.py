@@ -497,3 +497,37 @@ def test_model_histograms_have_every_bin(spark):
     both = ml.prediction_histograms(p, bins=5)
     assert both.count() == 10 and both.agg(F.sum("rows")).first()[0] == 6
     assert ml.residual_histogram(p.where("false"), bins=5).count() == 0
+
+
+def test_tracked_objects_nested_flat_and_empty(spark):
+    nested = spark.createDataFrame(
+        [("a", ("10.5", "-3")), ("b", ("n/a", "4")), ("c", None)],
+        "feed string, iss_position struct<latitude:string,longitude:string>")
+    got = {r["feed"]: r["risk_zone"] for r in risk.tracked_objects(nested).collect()
+           if r["altitude_km"] and r["risk_zone"] in ("Live Tracking", "Fallback Position")}
+    assert got == {"a": "Live Tracking", "b": "Fallback Position", "c": "Fallback Position"}
+    flat = nested.select("feed", "iss_position.*")
+    assert sorted(map(str, risk.tracked_objects(flat).collect())) == \
+        sorted(map(str, risk.tracked_objects(nested).collect()))
+    empty = risk.tracked_objects(nested.where("false")).collect()
+    assert len(empty) == 4 and empty[0]["risk_zone"] == "Fallback Position"
+    assert all(r["feed"] is None for r in empty)
+
+
+def test_targets_may_keep_their_units(spark, obs):
+    from helio.plans.prepare import prepare_features
+    p = prepare_features(obs, impute=False, scale_target=False)
+    assert "kp_index" in p.features and "kp_index" not in p.scaler
+    assert p.frame.agg(F.max("kp_index")).first()[0] == p.unscaled.agg(F.max("kp_index")).first()[0]
+
+
+def test_a_retried_epoch_replaces_its_rows(spark, tmp_path):
+    from helio.streaming import streams
+    spark.createDataFrame([("f", "t1", "1.5"), ("f", "t2", "2.5")],
+                          "feed string, time_tag string, kp_index string") \
+        .repartition(2).write.json(f"{tmp_path}/in")
+    src = spark.readStream.schema("feed string, time_tag string, kp_value string, kp_index string") \
+        .option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    out = streams.run_to_table(streams.stream_latest(src), spark, "epochs", mode="update")
+    rows = spark.read.parquet(out)
+    assert "_epoch" in rows.columns and rows.agg(F.max("time_tag")).first()[0] == "t2"
