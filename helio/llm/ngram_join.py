@@ -10,14 +10,20 @@ hash class of the rest (suffix filter).  Frequencies come from a count table of
 size (``SKETCH`` counters): any fixed order gives the same links, the counts only
 decide how much work finds them.
 
-Links inside a group of m near copies number m**2, so they are not all made.  The
-join runs in two rounds.  The first takes, from every list of classes that share a
+Links inside a group of m near copies number m**2, so components come first.  The
+join for them runs in two rounds.  The first takes, from every list of classes that share a
 prefix shingle, each class with the list's hub (the one with the fewest edits, by its
 prefix) and with its neighbour by that measure: two candidates a row at most.  The
 second takes all candidates whose ends the verified links of the first have not
 connected yet; no candidate is dropped for any other reason, so the components are
 those of all links.  Each pair is verified once a round against whole sets.
 
+All links are then counted.  Two linked classes are in one component, so the classes
+of a component are ordered by size, cut into blocks of bounded size, and every two
+blocks whose sizes allow a link are compared once, whole sets against whole sets (a
+matrix product over the shingles that both hold).  Links are summed in the tasks: no
+row is made for a pair.
+
 Defined results: a text with fewer than k words is one shingle of all its words; null
 texts and texts without words have no shingles and link with nothing; rows that share
 an id are one node; a null id is its own null component and links nothing; an empty
@@ -35,13 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helio.llm.components import components
-from helio.llm.stages import discard, documents, may_hold, without, written
+from helio.llm.stages import (discard, documents, may_hold, running_totals, without,
+                              written)
 from helio.llm.textscan import mix64, shingle_hashes, text_slices, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SKETCH = 1 << 18
 SUFFIX_CLASSES = 1024
+#: Shingles and classes in a block whose links are counted, and columns of a product.
+BLOCK_SHINGLES, BLOCK_CLASSES, COLUMNS = 1 << 16, 1024, 4096
 
 
 def _sets(batches, k: int):
@@ -304,20 +313,111 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, t: i
     return links
 
 
-def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every document.
+def _overlaps(x: list, y: list) -> np.ndarray:
+    """Number of shared shingles of every set of x with every set of y."""
+    flat, rows = [], []
+    for sets in (x, y):
+        flat.append(np.concatenate(sets))
+        rows.append(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    shared = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    if len(shared) == 0:
+        return out
+    for i in (0, 1):
+        code = np.minimum(np.searchsorted(shared, flat[i]), len(shared) - 1)
+        held = np.flatnonzero(shared[code] == flat[i])
+        held = held[np.argsort(code[held], kind="stable")]
+        flat[i], rows[i] = code[held], rows[i][held]
+    for at in range(0, len(shared), COLUMNS):
+        dense = []
+        for sets, code, row in zip((x, y), flat, rows):
+            lo, hi = np.searchsorted(code, (at, at + COLUMNS))
+            part = np.zeros((len(sets), min(COLUMNS, len(shared) - at)), dtype=np.float32)
+            part[row[lo:hi], code[lo:hi] - at] = 1
+            dense.append(part)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _linked_weights(t: int):
+    """(c1, c2, n_links) of the classes of a block (its links inside), or of two blocks
+    (the links between them)."""
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                blocks = []
+                for column in batch.columns:
+                    held = column[row].values
+                    blocks.append([np.asarray(held.field(c)) for c in ("c1", "c2", "weight")]
+                                  + [[np.asarray(s.values) for s in held.field("shingles")]])
+                x, y = blocks[0], blocks[-1]
+                both = _overlaps(x[3], y[3])
+                size = [np.array([len(s) for s in b[3]]) for b in (x, y)]
+                link = 100 * both >= t * (size[0][:, None] + size[1][None, :] - both)
+                if len(blocks) == 1:
+                    np.fill_diagonal(link, False)
+                    sums = [(x, link @ x[2])]
+                else:
+                    sums = [(x, link @ y[2]), (y, x[2] @ link)]
+                for (c1, c2, _, _), n in sums:
+                    some = n > 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c1[some]), pa.array(c2[some]), pa.array(n[some], pa.int64())],
+                        names=["c1", "c2", "n_links"])
+    return run
 
-    ``class_id`` is the smallest id with the same shingle set, ``component_id`` the
-    smallest id reachable by links; two sets link when their Jaccard similarity is at
-    least ``t`` percent.
-    """
-    spark = docs.sparkSession
-    texts = documents(docs, id_col, text_col)
+
+def link_counts(docs: DataFrame, classes: DataFrame, labels: DataFrame, k: int,
+                t: int) -> DataFrame:
+    """(c1, c2, n_links): the weights of all classes linked with a class, summed.  Every two
+    classes of a component that may link by size are compared once; a component of any
+    size is cut into blocks, so no task holds more than two of them."""
+    members = classes.join(labels.withColumnRenamed("id", "rep"), "rep").withColumn(
+        "cost", F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK_CLASSES)))
+    members = running_totals(members, ["component"], ["n", "c1", "c2"], "cost", "before").select(
+        "rep", "c1", "c2", "n", "weight", "component",
+        F.floor(F.col("before") / BLOCK_SHINGLES).alias("block"))
+
+    def scan(batches):
+        for ids, sets in _sets(batches, k):
+            names = [set_names(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([x[0] for x in names], pa.int64()),
+                 pa.array([x[1] for x in names], pa.int64()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["rep", "c1", "c2", "shingles"])
+    chosen = may_hold(docs.dropna(subset=["doc_id"]), F.xxhash64("doc_id"),
+                      members.select(F.xxhash64("rep").alias("h")))
+    key = ["rep", "c1", "c2"]
+    sets = chosen.mapInArrow(scan, "rep long, c1 long, c2 long, shingles array<long>")
+    blocks = written(sets.join(members, key).dropDuplicates(key).groupBy("component", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("top"), F.collect_list(
+            F.struct("c1", "c2", "weight", "shingles")).alias("members")), "blocks")
+    out = "c1 long, c2 long, n_links long"
+    inside = blocks.filter(F.size("members") > 1).select("members").mapInArrow(
+        _linked_weights(t), out)
+    ends = blocks.select("component", "block", "low", "top")
+    pairs = ends.select("component", F.col("block").alias("i"), F.col("top").alias("near")).join(
+        ends.withColumnRenamed("block", "j"), "component").filter(
+        f"i < j AND 100 * near >= {t} * low").select("component", "i", "j")
+    one = blocks.select("component", F.col("block").alias("i"), F.col("members").alias("x"))
+    two = blocks.select("component", F.col("block").alias("j"), F.col("members").alias("y"))
+    across = pairs.join(one, ["component", "i"]).join(two, ["component", "j"]).select(
+        "x", "y").mapInArrow(_linked_weights(t), out)
+    counts = written(inside.unionByName(across).groupBy("c1", "c2").agg(
+        F.sum("n_links").alias("n_links")), "link-counts")
+    discard(blocks)
+    return counts
+
+
+def _labelled(texts: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents' sets, classes, components of the classes' representatives)."""
+    spark = texts.sparkSession
     named, counts = document_sets(texts, k)
     table = spark.sparkContext.broadcast(rarity(counts))
     classes = written(named.filter("n > 0").dropna(subset=["doc_id"]).groupBy("c1", "c2").agg(
-        F.min("doc_id").alias("rep")), "classes")
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"),
+        F.countDistinct("doc_id").alias("weight")), "classes")
 
     sorted_rows = (prefix_rows(texts, k, t, table).repartition("shingle")
                    .sortWithinPartitions("shingle", "size_pos", "c1"))
@@ -339,22 +439,44 @@ def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
                             .unionByName(verified(texts, classes, rest, k, t)))
     discard(found, rest)
+    return named, classes, labels
 
+
+def _placed(named: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document with its class, its component and ``weight`` (ids in the class)."""
     placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("rep").alias("class_id"),
-        F.coalesce("component", "rep").alias("component_id"))
+        F.coalesce("component", "rep").alias("component_id"), "weight")
     return named.join(placed, (named.c1 == placed.k1) & (named.c2 == placed.k2)
                       & (named.n > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-        .alias("component_id"))
+        .alias("component_id"), "weight", "k1", "k2")
+
+
+def near_documents(docs: DataFrame, k: int = 5, t: int = 80, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, n_links) of every document.
+
+    ``class_id`` is the smallest id with the same shingle set, ``component_id`` the
+    smallest id reachable by links; two sets link when their Jaccard similarity is at
+    least ``t`` percent.  ``n_links`` counts all links of a document: the other pairs of
+    id and shingle set whose set is equal or links with its own (0 for a null id).
+    """
+    texts = documents(docs, id_col, text_col)
+    named, classes, labels = _labelled(texts, k, t)
+    counts = link_counts(texts, classes, labels, k, t).toDF("k1", "k2", "others")
+    return _placed(named, classes, labels).join(counts, ["k1", "k2"], "left").select(
+        "doc_id", "n_shingles", "class_id", "component_id",
+        F.when(F.col("doc_id").isNull() | F.col("weight").isNull(), 0).otherwise(
+            F.col("weight") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
 
 
 def one_per_group(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
     """The documents (all columns) that are the smallest id of their component; of rows
     that share that id and have words one stays.  Documents without words or id all stay."""
-    near = near_documents(docs, k, t)
+    near = _placed(*_labelled(documents(docs), k, t))
     key = F.xxhash64(F.col("doc_id").cast("long"))
     lost = near.filter("doc_id <> component_id").select(F.xxhash64("doc_id").alias("key"))
     again = written(near.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(

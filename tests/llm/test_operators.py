@@ -132,6 +132,41 @@ def test_chain_of_copies_is_one_component(spark):
     assert set(want.values()) == {0}
 
 
+def brute_links(rows, k, t):
+    """Links of every (id, set): other pairs of id and set that are equal or similar."""
+    nodes = sorted({(i, shingles(x, k)) for i, x in rows if i is not None and words(x)},
+                   key=lambda n: n[0])
+    n = Counter()
+    for x, (_, s) in enumerate(nodes):
+        for y in range(x):
+            u = nodes[y][1]
+            both = len(s & u)
+            if 100 * both >= t * (len(s) + len(u) - both):
+                n[nodes[x]] += 1
+                n[nodes[y]] += 1
+    return n
+
+
+@pytest.mark.parametrize("shingles_a_block", [1 << 16, 200])
+def test_every_link_is_counted(spark, odd, shingles_a_block, monkeypatch):
+    """Also inside a component, where the rounds for components leave most pairs out."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles_a_block)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 8)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    w = ["t%d" % i for i in range(400)]
+    rows = [(i, x) for i, x, _ in odd]
+    rows += [(100 + i, " ".join(w[i * 4:i * 4 + 120])) for i in range(20)]
+    rows += [(200 + i, " ".join(w[200:300] + ["end%d" % i])) for i in range(30)]
+    rows += [(230, rows[-1][1]), (230, rows[-2][1]), (230, rows[-2][1]), (None, rows[-1][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_documents(frame, 4, 85).collect()
+    links = brute_links(rows, 4, 85)
+    want = Counter((i, len(shingles(x, 4)), 0 if i is None else links[i, shingles(x, 4)])
+                   for i, x in rows)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == want
+    assert max(links.values()) > 25
+
+
 def test_one_per_group(spark, odd):
     docs = docs_frame(spark, odd)
     got = ngram_join.one_per_group(docs)
