@@ -18,6 +18,10 @@ second takes all candidates whose ends the verified links of the first have not
 connected yet; no candidate is dropped for any other reason, so the components are
 those of all links.  Each pair is verified once a round against whole sets.
 
+A list longer than ``LIST_ROWS`` is cut into parts, so no task gathers it: in the first
+round every part also gets the list's hub, in the second every two parts meet (unless
+the whole list is one component already).
+
 All links are then counted.  Two linked classes are in one component, so the classes
 of a component are ordered by size, cut into blocks of bounded size, and every two
 blocks whose sizes allow a link are compared once, whole sets against whole sets (a
@@ -49,6 +53,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SKETCH = 1 << 18
 SUFFIX_CLASSES = 1024
+#: Rows of a shingle's list that stay together; a longer list is cut into parts by hash.
+LIST_ROWS = 2048
 #: Shingles and classes in a block whose links are counted, and columns of a product.
 BLOCK_SHINGLES, BLOCK_CLASSES, COLUMNS = 1 << 16, 1024, 4096
 
@@ -117,12 +123,13 @@ def least_overlap(n: int, t: int) -> int:
 
 
 def prefix_rows(docs: DataFrame, k: int, t: int, table) -> DataFrame:
-    """(shingle, c1, size_pos): the rare-first prefix of every set; size_pos holds the
-    set's size (high 32 bits) and the shingle's place in the prefix (low 32)."""
+    """(shingle, c1, size_pos, doubt): the rare-first prefix of every set; size_pos holds
+    the set's size (high 32 bits) and the shingle's place in the prefix (low 32).  Only
+    where ``doubt`` is true can a list be longer than ``LIST_ROWS``."""
     def scan(batches):
         counts = table.value
         for _, sets in _sets(batches, k):
-            out, names, packed = [], [], []
+            out, names, packed, doubt = [], [], [], []
             seen = set()
             for s in sets:
                 n = len(s)
@@ -137,44 +144,78 @@ def prefix_rows(docs: DataFrame, k: int, t: int, table) -> DataFrame:
                 out.append(s[rare])
                 names.append(np.full(keep, name, dtype=np.int64))
                 packed.append((np.int64(n) << 32) + np.arange(keep, dtype=np.int64))
+                doubt.append(counts[_bucket(s[rare])] > LIST_ROWS)
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out).view(np.int64)),
-                     pa.array(np.concatenate(names)), pa.array(np.concatenate(packed))],
-                    names=["shingle", "c1", "size_pos"])
-    return docs.mapInArrow(scan, "shingle long, c1 long, size_pos long")
-
-
-def _lists(batches):
-    """Rows of sorted batches, regrouped so that no shingle's list is cut: yields
-    (shingle, c1, size, pos) arrays of whole lists with at least two classes."""
+                     pa.array(np.concatenate(names)), pa.array(np.concatenate(packed)),
+                     pa.array(np.concatenate(doubt))],
+                    names=["shingle", "c1", "size_pos", "doubt"])
+    return docs.mapInArrow(scan, "shingle long, c1 long, size_pos long, doubt boolean")
+
+
+def cut_lists(rows: DataFrame) -> DataFrame:
+    """(shingle, part, size_pos, c1, parts): the lists, those longer than ``LIST_ROWS`` cut
+    into parts by a hash of the class; every part of a cut list also holds its hub."""
+    doubt = rows.filter("doubt").select("shingle", "c1", "size_pos").distinct()
+    place, size = F.expr("size_pos & 4294967295L"), F.shiftright("size_pos", 32)
+    long = doubt.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(
+            place.alias("place"), size.alias("size"), "c1", "size_pos")).alias("hub")).filter(
+        F.col("n") > LIST_ROWS).withColumn(
+        "parts", F.ceil(F.col("n") / LIST_ROWS).cast("long"))
+    long = written(long, "long-lists")
+    columns = ["shingle", "part", "size_pos", "c1", "parts"]
+    cut = doubt.join(long.select("shingle", "parts"), "shingle", "left").withColumn(
+        "parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn(
+        "part", F.pmod(F.xxhash64("c1"), F.col("parts")))
+    hubs = long.select("shingle", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hub.size_pos", "hub.c1",
+        "parts")
+    one = F.lit(1).cast("long")
+    short = rows.filter("NOT doubt").select(
+        "shingle", (one - 1).alias("part"), "size_pos", "c1", one.alias("parts"))
+    return short.unionByName(cut.select(*columns)).unionByName(hubs)
+
+
+def _groups(batches, keys: int):
+    """Sorted batches as arrays, regrouped so that no group of rows that agree in the first
+    ``keys`` columns is cut: yields (number of the row's group, columns)."""
     held = None
     for batch in batches:
-        part = [np.asarray(batch.column(i)) for i in range(3)]
+        part = [np.asarray(c) for c in batch.columns]
         if held is not None:
             part = [np.concatenate([h, p]) for h, p in zip(held, part)]
         if len(part[0]) == 0:
             continue
-        cut = np.searchsorted(part[0], part[0][-1])  # the last list may go on
+        number = _numbers(part[:keys])
+        cut = np.searchsorted(number, number[-1])  # the last group may go on
         held = [p[cut:] for p in part]
         if cut:
-            yield from _shared([p[:cut] for p in part])
+            yield number[:cut], [p[:cut] for p in part]
     if held is not None and len(held[0]):
-        yield from _shared(held)
+        yield _numbers(held[:keys]), held
 
 
-def _shared(part):
-    shingle, c1, packed = part
-    fresh = np.ones(len(shingle), dtype=bool)  # repeats of a class within a list
-    fresh[1:] = ((shingle[1:] != shingle[:-1]) | (packed[1:] != packed[:-1])
+def _numbers(keys) -> np.ndarray:
+    new = np.zeros(len(keys[0]), dtype=np.int64)
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.cumsum(new)
+
+
+def _shared(number, part):
+    """The rows of groups with at least two classes, repeats of a class removed."""
+    _, _, packed, c1, _ = part
+    fresh = np.ones(len(number), dtype=bool)
+    fresh[1:] = ((number[1:] != number[:-1]) | (packed[1:] != packed[:-1])
                  | (c1[1:] != c1[:-1]))
-    shingle, c1, packed = shingle[fresh], c1[fresh], packed[fresh]
-    same = shingle[1:] == shingle[:-1]
-    keep = np.zeros(len(shingle), dtype=bool)
+    number, part = number[fresh], [p[fresh] for p in part]
+    same = number[1:] == number[:-1]
+    keep = np.zeros(len(number), dtype=bool)
     keep[1:] |= same
     keep[:-1] |= same
-    if keep.any():
-        yield shingle[keep], c1[keep], packed[keep] >> 32, packed[keep] & 0xFFFFFFFF
+    return number[keep], [p[keep] for p in part]
 
 
 def may_link(n_a, p_a, n_b, p_b, t: int):
@@ -187,9 +228,13 @@ def may_link(n_a, p_a, n_b, p_b, t: int):
 
 def _first_candidates(t: int):
     def run(batches):
-        for shingle, c1, size, pos in _lists(batches):
+        for rows in _groups(batches, 2):
+            number, (shingle, _, packed, c1, parts) = _shared(*rows)
+            if len(number) == 0:
+                continue
+            size, pos = packed >> 32, packed & 0xFFFFFFFF
             head = np.ones(len(shingle), dtype=bool)
-            head[1:] = shingle[1:] != shingle[:-1]
+            head[1:] = number[1:] != number[:-1]
             # a list's hub: the class whose prefix has the fewest rarer shingles before
             # the shared one, which among copies is the one with the fewest edits
             begin = np.flatnonzero(head)
@@ -205,49 +250,63 @@ def _first_candidates(t: int):
             a, b = np.minimum(c1[one], c1[two])[ok], np.maximum(c1[one], c1[two])[ok]
             pairs = np.unique(np.stack([a, b], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle), pa.array(c1), pa.array((size << 32) + pos),
-                 pa.array(np.ones(len(c1), dtype=bool))],
-                names=["a", "b", "size_pos", "is_list"])
+                [pa.array(shingle), pa.array(c1), pa.array(packed), pa.array(parts)],
+                names=["a", "b", "size_pos", "parts"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ascontiguousarray(pairs[:, 0])),
                  pa.array(np.ascontiguousarray(pairs[:, 1])),
                  pa.array(np.zeros(len(pairs), dtype=np.int64)),
-                 pa.array(np.zeros(len(pairs), dtype=bool))],
-                names=["a", "b", "size_pos", "is_list"])
+                 pa.array(np.zeros(len(pairs), dtype=np.int64))],
+                names=["a", "b", "size_pos", "parts"])
     return run
 
 
+def meetings(spread: DataFrame) -> DataFrame:
+    """(shingle, low, high, size_pos, c1, comp, part) of lists with their components: short
+    lists are one group, and of a cut list every two parts, and every part, are one.
+    A cut list that is one component altogether has nothing to add."""
+    cut = spread.filter("parts > 1").distinct()
+    mixed = cut.groupBy("shingle").agg(
+        F.min("comp").alias("least"), F.max("comp").alias("most")).filter(
+        "least <> most").select("shingle")
+    part, zero = F.pmod(F.xxhash64("c1"), F.col("parts")), F.lit(0).cast("long")
+    every = cut.join(mixed, "shingle", "left_semi").withColumn("part", part).withColumn(
+        "other", F.explode(F.sequence(zero, F.col("parts") - 1))).select(
+        "shingle", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+        "size_pos", "c1", "comp", "part")
+    return spread.filter("parts = 1").select(
+        "shingle", zero.alias("low"), zero.alias("high"), "size_pos", "c1", "comp",
+        zero.alias("part")).unionByName(every)
+
+
 def _other_candidates(t: int):
-    """All pairs of a list that pass the filters and lie in different components."""
+    """All pairs of a group that pass the filters and lie in different components (and, of
+    two parts, in different parts)."""
     def run(batches):
-        held = None
-        for batch in batches:
-            part = [np.asarray(batch.column(i)) for i in range(4)]
-            if held is not None:
-                part = [np.concatenate([h, p]) for h, p in zip(held, part)]
-            if len(part[0]) == 0:
-                continue
-            cut = np.searchsorted(part[0], part[0][-1])
-            held = [p[cut:] for p in part]
-            yield from pairs([p[:cut] for p in part])
-        if held is not None:
-            yield from pairs(held)
-
-    def pairs(part):
-        shingle, packed, c1, comp = part
+        for number, rows in _groups(batches, 3):
+            comp = rows[5]
+            begin = np.flatnonzero(np.diff(number, prepend=-1))
+            mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
+            keep = mixed[number - number[0]]
+            if keep.any():
+                yield from pairs(number[keep], [r[keep] for r in rows])
+
+    def pairs(number, rows):
+        _, low, high, packed, c1, comp, part = rows
         size, pos = packed >> 32, packed & 0xFFFFFFFF
-        n = len(shingle)
+        n = len(number)
         step = 1
-        # rows are sorted by shingle and size: partners of a row follow it directly
+        # rows are sorted by group and size: partners of a row follow it directly
         alive = np.arange(n)
         while len(alive):
             alive = alive[alive + step < n]
             other = alive + step
-            near = (shingle[alive] == shingle[other]) & (
+            near = (number[alive] == number[other]) & (
                 100 * size[alive] >= t * size[other])
             alive, other = alive[near], other[near]
             ok = (comp[alive] != comp[other]) & may_link(
                 size[alive], pos[alive], size[other], pos[other], t)
+            ok &= (low[alive] == high[alive]) | (part[alive] != part[other])
             if ok.any():
                 a, b = c1[alive[ok]], c1[other[ok]]
                 yield pa.RecordBatch.from_arrays(
@@ -419,21 +478,24 @@ def _labelled(texts: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame, D
         F.min("doc_id").alias("rep"), F.max("n").alias("n"),
         F.countDistinct("doc_id").alias("weight")), "classes")
 
-    sorted_rows = (prefix_rows(texts, k, t, table).repartition("shingle")
-                   .sortWithinPartitions("shingle", "size_pos", "c1"))
+    rows = written(prefix_rows(texts, k, t, table), "prefix")
+    sorted_rows = cut_lists(rows).repartition("shingle", "part").sortWithinPartitions(
+        "shingle", "part", "size_pos", "c1")
     found = written(sorted_rows.mapInArrow(
-        _first_candidates(t), "a long, b long, size_pos long, is_list boolean"), "lists")
-    lists = found.filter("is_list").select(F.col("a").alias("shingle"), F.col("b").alias("c1"),
-                                           "size_pos")
-    first = found.filter("NOT is_list").select("a", "b").distinct()
+        _first_candidates(t), "a long, b long, size_pos long, parts long"), "lists")
+    discard(rows)
+    lists = found.filter("parts > 0").select(F.col("a").alias("shingle"), F.col("b").alias("c1"),
+                                             "size_pos", "parts")
+    first = found.filter("parts = 0").select("a", "b").distinct()
     labels = components(verified(texts, classes, first, k, t))
 
     # a handle (c1) stands for its representative
     joined = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").groupBy("c1").agg(
         F.min(F.coalesce("component", "rep")).alias("comp"))
-    spread = lists.join(joined, "c1").select("shingle", "size_pos", "c1", "comp")
-    rest = written(spread.repartition("shingle").sortWithinPartitions(
-        "shingle", "size_pos", "c1").mapInArrow(_other_candidates(t), "a long, b long").distinct(),
+    spread = lists.join(joined, "c1").select("shingle", "size_pos", "c1", "comp", "parts")
+    group = ["shingle", "low", "high"]
+    rest = written(meetings(spread).repartition(*group).sortWithinPartitions(
+        *group, "size_pos", "c1").mapInArrow(_other_candidates(t), "a long, b long").distinct(),
         "rest")
     if rest.take(1):
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))

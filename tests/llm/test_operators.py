@@ -167,6 +167,28 @@ def test_every_link_is_counted(spark, odd, shingles_a_block, monkeypatch):
     assert max(links.values()) > 25
 
 
+def test_long_lists_are_cut(spark, monkeypatch):
+    """No group of a round holds a list that many near copies share, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 8)
+    w = ["t%d" % i for i in range(260)]
+    rows = [(i, " ".join(w[:60] + ["end%d" % i] + w[60:100])) for i in range(60)]
+    rows += [(100 + i, " ".join(w[:90] + ["x%d" % (i // 3), "y%d" % i] + w[100 + i:112 + i]))
+             for i in range(40)]
+    rows += [(200 + i, " ".join(w[i * 4:i * 4 + 120])) for i in range(20)]
+    groups = []
+    for name in ("cut_lists", "meetings"):
+        def seen(df, call=getattr(ngram_join, name), keys=1 + (name == "meetings")):
+            out = call(df)
+            groups.append(out.groupBy(*out.columns[:1 + keys]).count().agg(
+                F.max("count"), F.count(F.lit(1)), F.countDistinct("shingle")).first())
+            return out
+        monkeypatch.setattr(ngram_join, name, seen)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_documents(frame, 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_near(rows, 4, 85)
+    assert all(most <= 5 * 8 and n > shingles for most, n, shingles in groups), groups
+
+
 def test_one_per_group(spark, odd):
     docs = docs_frame(spark, odd)
     got = ngram_join.one_per_group(docs)
