@@ -8,7 +8,9 @@ is length and punctuation per block.  Ratios are smoothed over similar paths (a
 Gaussian of the steps between two paths), fused (their geometric mean) and compared
 with a share of the page's strongest path.  Blocks are selected below the nearest
 common ancestor of the chosen paths, in those of its branches that hold a chosen path,
-so headings and one-word paragraphs of the article stay.
+so headings and one-word paragraphs of the article stay.  Where <article> or <main> hold
+the strongest path and at least half the text of the chosen paths, other paths are left
+out, and the whole of the element that holds all chosen paths is taken.
 
 Pages are independent, so the work needs no shuffle: Spark deals pages to tasks.
 
@@ -198,8 +200,13 @@ def main_text(page: str, share: float = 0.15) -> str:
         weight = score * (lengths > 0)
         chosen = [p for p, s in zip(paths, weight) if s >= share * weight.max()]
     article = [p for p in chosen if "article" in p or "main" in p]
-    if article:  # the page says itself where its article is
-        chosen = article
+    if article and lengths.any():
+        # the page says itself where its article is, and the ratios agree: the strongest
+        # path and most of the chosen paths' text are there (a teaser's <article> is not)
+        held = sum(lengths[place[p]] for p in article)
+        if paths[int(weight.argmax())] in article and (
+                2 * held >= sum(lengths[place[p]] for p in chosen)):
+            chosen = article
     root = chosen[0]
     for p in chosen[1:]:
         n = 0

@@ -542,6 +542,18 @@ def test_html_of_given_pages(spark):
         assert html_extract.main_text(r.html) == text, r.page_id
 
 
+@pytest.mark.parametrize("size", [1, 6])
+def test_html_beside_teaser_articles(size):
+    """An <article> that is only a teaser does not push out the text beside it."""
+    teaser = "A teaser, short and sweet, for another page. " * size
+    body = ["Paragraph %d of the text, which goes on, and on, for a while." % i for i in range(30)]
+    page = ("<html><body><div class='text'><h1>The head</h1>" + "".join(
+        f"<p>{b}</p>" for b in body) + "</div><div>" + f"<article><p>{teaser}</p></article>" * 2
+        + "</div></body></html>")
+    text = html_extract.main_text(page)
+    assert all(b in text for b in body)
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLE_SQL))
 def test_matches_oracle(spark, key):
     df = queries.QUERIES[key](spark, SF)
