@@ -2,8 +2,10 @@
 
 Each page is read into text blocks with their root-to-leaf path of block elements.
 Elements that are never article text by their name (scripts, menus, footers, forms)
-or by a class, id or role word (adverts, comments, notices) are left out with all they
-hold.  Text length outside links and punctuation are summed per path; a path's ratio
+or by a whole class or role of cue words (adverts, comments, notices) are left out with
+all they hold.  A cue word in an id, or in part of a class, is only a hint: what such an
+element holds has no say in the choice of paths (unless it is most of the page), but
+stays where it lies inside the selected content and is not mostly links.  Text length outside links and punctuation are summed per path; a path's ratio
 is length and punctuation per block.  Ratios are smoothed over similar paths (a
 Gaussian of the steps between two paths), fused (their geometric mean) and compared
 with a share of the page's strongest path.  Blocks are selected below the nearest
@@ -41,7 +43,8 @@ OUTSIDE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q "
                    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words in a class, id or role that mark an element outside the article.
+#: A class or role of these words marks an element outside the article; one of them in an
+#: id, or among other words, is a hint.
 CUES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
     "comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr "
@@ -49,6 +52,7 @@ CUES = frozenset(
     "notification pagination pager popup promo promoted promotion recommended related replies "
     "reply respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "subscription toolbar topbar widget contentinfo complementary alert alertdialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an open <p> cannot hold.
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset footer form h1 h2 h3 h4 h5 h6 "
@@ -68,24 +72,39 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|"
 _MARK = re.compile(r"[.,;:!?。，…]")
 
 
-def outside(tag: str, attrs: str) -> bool:
-    """True for an element that holds no article text."""
+def outside(tag: str, attrs: str) -> str:
+    """"out" for an element that holds no article text, "id" or "part" for a hint (the id
+    is all cue words; a cue among other words), else empty."""
     if tag in OUTSIDE:
-        return True
+        return "out"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     if _HIDDEN.search(attrs):
-        return True
+        return "out"
+    if tag in HEADINGS:
+        return ""
+    hint = ""
     for found in _ATTR.finditer(attrs):
         value = next(v for v in found.groups()[1:] if v is not None)
-        if any(w.lower() in CUES for w in _WORD.findall(value)):
-            return True
-    return False
+        for token in value.split():
+            cues = [w.lower() in CUES for w in _WORD.findall(token)]
+            if not any(cues):
+                continue
+            if not all(cues):
+                hint = hint or "part"
+            elif found.group(1).lower() == "id":
+                hint = "id"
+            else:
+                return "out"
+    return "" if tag in INLINE else hint
 
 
 def blocks(page: str):
-    """(path, text, link_chars) of every block outside the elements left out."""
+    """(path, text, link_chars, hints) of every block outside the elements left out; hints
+    are (number, kind, path) of the elements around it that only a hint marks."""
     stack: list[tuple[str, bool]] = []  # (tag, left out)
+    hints: list[tuple[int, tuple]] = []  # (depth in the stack, hint)
+    n_hints = 0
     out, held, links, in_link = [], [], 0, 0
     skipped = 0
 
@@ -94,7 +113,7 @@ def blocks(page: str):
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             path = tuple(t for t, _ in stack if t not in INLINE)
-            out.append((path, text, min(links, len(text))))
+            out.append((path, text, min(links, len(text)), tuple(h for _, h in hints)))
         held, links = [], 0
 
     def pop(n: int):
@@ -103,6 +122,8 @@ def blocks(page: str):
             skipped -= left
             in_link -= tag == "a"
         del stack[n:]
+        while hints and hints[-1][0] >= n:
+            hints.pop()
 
     def close(names, limits) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -150,10 +171,15 @@ def blocks(page: str):
                 close(SAME[tag], LIMITS)
         if tag in VOID or m.group("attrs").rstrip().endswith("/") and tag in INLINE:
             continue
-        left = outside(tag, m.group("attrs"))
+        kind = outside(tag, m.group("attrs"))
+        left = kind == "out"
         if left and not skipped and tag in INLINE:
             flush()
         stack.append((tag, left))
+        if kind and not left:
+            hints.append((len(stack) - 1, (
+                n_hints, kind, tuple(t for t, _ in stack if t not in INLINE))))
+            n_hints += 1
         skipped += left
         in_link += tag == "a"
     if at < len(page) and not skipped:
@@ -185,10 +211,23 @@ def main_text(page: str, share: float = 0.15) -> str:
     found = blocks(page)
     if not found:
         return ""
-    paths = sorted({p for p, _, _ in found})
+    shown, links_in = {}, {}
+    for _, text, links, hints in found:
+        for hint in hints:
+            shown[hint] = shown.get(hint, 0) + len(text)
+            links_in[hint] = links_in.get(hint, 0) + links
+    whole_page = sum(len(text) for _, text, _, _ in found)
+    # a hint on most of the page says nothing, unless the id is nothing but cues
+    void = {h for h in shown if h[1] == "part" and 2 * shown[h] >= whole_page}
+    found = [(p, text, links, [h for h in hints if h not in void])
+             for p, text, links, hints in found]
+    every, found = found, [b for b in found if not b[3]]
+    if not any(len(text) > links for _, text, links, _ in found):
+        found = every = [(p, text, links, []) for p, text, links, _ in every]
+    paths = sorted({p for p, _, _, _ in found})
     place = {p: i for i, p in enumerate(paths)}
     lengths, marks, counts = (np.zeros(len(paths)) for _ in range(3))
-    for path, text, links in found:
+    for path, text, links, _ in found:
         i = place[path]
         lengths[i] += len(text) - links
         marks[i] += len(_MARK.findall(text)) * (links < len(text))
@@ -222,9 +261,18 @@ def main_text(page: str, share: float = 0.15) -> str:
     depth = len(root)
     branches = {p[:depth + 1] for p in chosen}
     whole = "article" in root or "main" in root
-    return " ".join(text for path, text, _ in found
-                    if path[:depth] == root and (whole or path[:depth + 1] in branches
-                                                 or len(path) == depth))
+    held = whole or root[-1:] not in ((), ("html",), ("body",))
+
+    def selected(path, hints) -> bool:
+        if path[:depth] != root:
+            return False
+        if not hints:
+            return whole or path[:depth + 1] in branches or len(path) == depth
+        # a hinted element inside the selected content stays if it is text
+        return all(2 * links_in[h] < shown[h] and len(h[2]) > depth and h[2][:depth] == root
+                   and (held or h[1] == "part" or h[2][-1] not in ("div", "ul", "ol"))
+                   for h in hints)
+    return " ".join(text for path, text, _, hints in every if selected(path, hints))
 
 
 def extracted(pages: DataFrame, html_col: str = "html", share: float = 0.15) -> DataFrame:

@@ -554,6 +554,28 @@ def test_html_beside_teaser_articles(size):
     assert all(b in text for b in body)
 
 
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_html_keeps_text_with_cue_words_in_names(outer):
+    """A cue word in an id, or in part of a class, does not remove text of the article."""
+    parts = ['<p>The first part, which is long enough, says a lot. And it says more, too.</p>',
+             '<section id="discussion"><p>We discuss, at some length, what was found.</p></section>',
+             '<h2 id="related-work">Related work</h2>',
+             '<p>Others, before us, found the same. They wrote it down, as we do.</p>',
+             '<div class="share-prices"><p>The prices of shares rose, and fell, again.</p></div>',
+             '<p id="search-methods">We searched, by hand, in all of the tables.</p>']
+    noise = ['<div class="share"><p>Share this, please, with friends.</p></div>',
+             '<div id="share-links"><a href="/a">Post it, now</a> <a href="/b">Mail it</a></div>',
+             '<div class="ad"><p>Buy this, now, or never.</p></div>']
+    want = " ".join(" ".join(re.sub("<[^>]*>", " ", x).split()) for x in parts)
+    inner = "".join(p + noise[i % 3] for i, p in enumerate(parts))
+    page = (f"<html><body><nav>Menu</nav><{outer}>{inner}</{outer}>"
+            '<div id="comments"><p>A reader says, well, not so much.</p></div></body></html>')
+    assert html_extract.main_text(page) == want
+    wrapped = page.replace("<body>", "<body><div class='has-sidebar'>").replace(
+        "</body>", "</div></body>")
+    assert want in html_extract.main_text(wrapped)
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLE_SQL))
 def test_matches_oracle(spark, key):
     df = queries.QUERIES[key](spark, SF)
