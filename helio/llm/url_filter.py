@@ -1,11 +1,15 @@
 """URL filter: rules, and gradient-boosted trees for the URLs that no rule judges.
 
 Labelled URLs are those that a rule judges, those whose host holds a seed word
-(blocked), and the rest as background (allowed).  The trees (``pyspark.ml``) see lexical features only: lengths, depth,
+(blocked), and reliable negatives.  A URL without rule or seed word is open, not allowed:
+trees that tell seeds from open URLs, both with equal weight, score each open URL from
+the hosts of the other fold, and only those nearer to the open ones (below 0.5) are
+reliable negatives; the others are left out of the training.  The trees (``pyspark.ml``) see lexical features only: lengths, depth,
 digit ratio, entropy, parameter counts, and suffix statistics, the smoothed share of
 blocked URLs among the rule-labelled ones with the same last, or last two, host labels.
-They are fitted on at most ``sample`` labelled URLs, chosen by hash (documented bound);
-the statistics cover all.  Everything runs in DataFrame functions.
+They are fitted on at most ``sample`` URLs, a quarter each of allowed and blocked by rule,
+seeds and open ones, chosen by hash (documented bound) and weighted to the share of their
+kind; the statistics cover all.  Everything runs in DataFrame functions.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, meets
 no rule and is judged by the trees; repeated rows get the same verdict; if the labelled
@@ -19,7 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helio.llm.stages import written
@@ -62,7 +66,8 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame, rules, seeds: Sequence[str]) -> DataFrame:
-    """page_id, url, host, path, rule, label (1 blocked, 0 allowed) and features."""
+    """page_id, url, host, path, rule, by_rule (1 blocked, 0 allowed), kind (allow or block
+    by rule, seed, open) and features."""
     blocked = [r for v, r in rules if v == "block"]
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     host, path = host_and_path(F.col("url"))
@@ -87,7 +92,8 @@ def lexical(pages: DataFrame, rules, seeds: Sequence[str]) -> DataFrame:
 
     return base.withColumns({
         "by_rule": by_rule,
-        "label": F.coalesce(by_rule, seeded.cast("double")),
+        "kind": F.when(by_rule == 1, "block").when(by_rule == 0, "allow").when(
+            seeded, "seed").otherwise("open"),
         "last": F.element_at(labels, -1),
         "two": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."),
         "url_len": size(F.col("url")), "host_len": size(F.col("host")),
@@ -107,31 +113,71 @@ def suffix_statistics(rows: DataFrame, key: str, prior: float, weight: float = 2
         .alias(f"{key}_rate"), F.log1p(F.count(F.lit(1)).cast("double")).alias(f"{key}_n"))
 
 
+def fitted(rows: DataFrame, trees: int, depth: int):
+    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
+                         maxIter=trees, maxDepth=depth, seed=7).fit(
+        rows.coalesce(2).select("label", "weight", "features"))
+
+
+def blocked_share() -> Column:
+    from pyspark.ml.functions import vector_to_array
+    return F.element_at(vector_to_array("probability"), 2)
+
+
+def reliable(some: DataFrame, trees: int) -> DataFrame:
+    """The open URLs of the sample that look more like open URLs than like seeds to trees
+    that have not seen their host."""
+    n = {r["kind"]: r["count"] for r in some.groupBy("kind").count().collect()}
+    opened = some.filter("kind = 'open'")
+    if "seed" not in n or "open" not in n:
+        return opened.limit(0)
+    rows = some.filter("kind IN ('seed', 'open')").withColumns({
+        "label": (F.col("kind") == "seed").cast("double"),
+        "weight": F.when(F.col("kind") == "seed", 1.0).otherwise(n["seed"] / n["open"])})
+    out = None
+    for fold in (0, 1):
+        others = rows.filter(F.col("fold") != fold)
+        if others.select("label").distinct().count() < 2:
+            others = rows
+        part = fitted(others, trees, 2).transform(opened.filter(F.col("fold") == fold)).filter(
+            blocked_share() < 0.5).select(*some.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]],
            seeds: Sequence[str] = SEED_WORDS, sample: int = SAMPLE, trees: int = 20,
            depth: int = 4) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, block_probability) of every page; the
     probability is null where a rule decides."""
     rows = lexical(pages, rules, seeds)
-    prior = rows.agg(F.avg("by_rule")).first()[0]
-    prior = 0.5 if prior is None else float(prior)
+    n = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    by_rules = n.get("block", 0) + n.get("allow", 0)
+    prior = n.get("block", 0) / by_rules if by_rules else 0.5
     with_stats = rows
     for key in ("last", "two"):
         stats = suffix_statistics(rows, key, prior).withColumnRenamed(key, f"_{key}")
         with_stats = (with_stats.join(stats, F.col(key) == F.col(f"_{key}"), "left")
                       .fillna({f"{key}_rate": prior, f"{key}_n": 0.0}).drop(f"_{key}"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    some = written(with_stats.orderBy(F.xxhash64("url", "page_id"))
-                   .limit(sample).select("label", *FEATURES), "labelled-urls")
-    kinds = [r["label"] for r in some.select("label").distinct().collect()]
+    order = Window.partitionBy("kind").orderBy("_order")
+    some = written(with_stats.select(
+        "kind", F.xxhash64("url", "page_id").alias("_order"),
+        F.pmod(F.xxhash64("host"), F.lit(2)).alias("fold"), *FEATURES).withColumn(
+        "_rank", F.row_number().over(order)).filter(
+        F.col("_rank") <= max(1, sample // 4)).drop("_rank", "_order"), "labelled-urls")
+    taken = {k: min(c, max(1, sample // 4)) for k, c in n.items()}
+    some = vectors.transform(some)
+    weight = F.lit(1.0)
+    for kind, count in n.items():
+        weight = F.when(F.col("kind") == kind, count / taken[kind]).otherwise(weight)
+    labelled = some.filter("kind <> 'open'").unionByName(reliable(some, trees)).withColumns({
+        "label": F.col("kind").isin("block", "seed").cast("double"), "weight": weight})
+    kinds = [r["label"] for r in labelled.select("label").distinct().collect()]
     wanted = ["page_id", "url", "host", "path", "rule"]
     if len(kinds) == 2:
-        model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees,
-                              maxDepth=depth, seed=7).fit(
-            vectors.transform(some.coalesce(2)).select("label", "features"))
-        judged_rows = model.transform(vectors.transform(with_stats))
-        from pyspark.ml.functions import vector_to_array
-        guess = F.element_at(vector_to_array("probability"), 2)
+        judged_rows = fitted(labelled, trees, depth).transform(vectors.transform(with_stats))
+        guess = blocked_share()
     else:
         judged_rows, guess = with_stats, F.lit(float(kinds[0]) if kinds else 0.0)
     allowed = [r for v, r in rules if v == "allow"]

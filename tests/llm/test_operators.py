@@ -504,6 +504,17 @@ def test_url_verdicts_of_the_trees(spark):
     assert rates[False] < 0.05 and rates[True] > 0.5
 
 
+def test_bad_hosts_without_seed_word_are_blocked(spark):
+    """URLs without rule or seed word are not taught as allowed."""
+    got = url_filter.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"),
+                            queries.RULES).filter("rule IS NULL")
+    bad = F.col("host").rlike("ads-track|cheap-pills|" + "|".join(url_filter.SEED_WORDS))
+    unseeded = F.col("host").rlike("ads-track|cheap-pills")
+    rates = {(r.b, r.u): r.share for r in got.groupBy(bad.alias("b"), unseeded.alias("u")).agg(
+        F.avg((F.col("verdict") == "block").cast("int")).alias("share")).collect()}
+    assert rates[True, True] > 0.5 and rates[True, False] > 0.5 and rates[False, False] < 0.02
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a>b}</style>
 <script>var x="</p><p>code";</script></head><body class="notice-page"><nav><ul><li><a href="/x">Menu item, one.</a>
 </ul></nav><div class="cookie-notice">We use cookies. A lot, and gladly.</div><!-- <p>gone</p> -->
