@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helio.session import scratch_path
@@ -15,10 +16,33 @@ NO_ID = -(2 ** 63)
 BITMAP = 1 << 24
 
 
+#: Bytes and rows of a batch on its way to a Python worker; Spark's own bounds are larger,
+#: and a batch is held on both sides.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+         "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Small batches for the jobs that run inside; the session's settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder of ``spark.checkpoint.dir``."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.parquet(path)
     out.stage_path = path
     return out

@@ -11,6 +11,7 @@ a hash with probability about ``d**2 / 2**65``.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -75,7 +76,15 @@ def text_slices(batch: pa.RecordBatch, col: str, max_bytes: int = MAX_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, done + max_bytes, side="right")))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()  # workers wait for further tasks
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for further tasks, with all they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
