@@ -5,19 +5,19 @@ n-grams are hashed into ``BUCKETS`` buckets: words, and runs of one to three tok
 shapes (kind, letter case, length class, "same as the token before"; marks are shapes
 themselves).  Two generative bag-of-n-grams models are counted over the whole corpus,
 one of the target texts (labelled good) and one of all raw texts.  A document's log
-importance weight is the mean log ratio target : raw of its n-grams times
-``min(n, STRENGTH)``, so that a short text stays undecided and a long one does not
-outweigh all others by its length.  Documents are then sampled without replacement by
-Gumbel top-k: the k largest of log weight + Gumbel noise.  Noise is a hash of seed, id
-and text, so reruns agree.
-
-Unless given, k is the number of documents whose log weight reaches ``floor``, the
-weight below which ``lost`` of the target's own documents lie, less ``margin``.
-
-Defined results: null and empty texts have no n-grams, weight 0 and are sampled like
-other undecided texts; a null id hashes like an id of its own; repeated rows get the
-same key and stay or go together (a tie at the cut stays whole); without target texts
-every weight is 0 and all documents stay; an empty table gives an empty result.
+importance weight is the sum of the log ratios target : raw of all its n-grams.
+Documents are then sampled without replacement by Gumbel top-k: the k largest of log
+weight + Gumbel noise.  Noise is a hash of seed, id and text, so reruns agree.
+
+k is a parameter.  ``expected_size`` gives the number of documents that the two models
+expect to be like the target: the sum of min(1, weight) over all documents.
+
+Defined results: null and empty texts have no n-grams, weight 1 (log 0) and are sampled
+like other undecided texts; a null id hashes like an id of its own; repeated rows get the
+same key and stay or go together (a tie at the cut stays whole); texts of any length are
+scored whole, in slices of a few MB of other texts at most; without target texts
+every log weight is 0 and all documents stay; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +30,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helio.llm.stages import may_hold, without, written
+from helio.llm.stages import may_hold, small_batches, without, written
 from helio.llm.textscan import byte_values, mix64, separators, text_slices, utf8_buffer
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 14
-STRENGTH = 100
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -104,8 +103,9 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
                 total += np.bincount(grams(piece.column(0))[0], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)],
                                          names=["bucket", "n"])
-    got = (texts.mapInArrow(count, "bucket long, n long").groupBy("bucket")
-           .agg(F.sum("n").alias("n")).toArrow())
+    with small_batches(texts.sparkSession):
+        got = (texts.mapInArrow(count, "bucket long, n long").groupBy("bucket")
+               .agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(BUCKETS, dtype=np.float64)
     out[np.asarray(got.column("bucket"))] = np.asarray(got.column("n"))
     return out
@@ -129,11 +129,9 @@ def weights(docs: DataFrame, ratio, extra: str = "") -> DataFrame:
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 bucket, owner = grams(piece.column(2))
-                n = np.bincount(owner, minlength=piece.num_rows)
                 total = np.bincount(owner, weights=table[bucket], minlength=piece.num_rows)
-                mean = total / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(mean * np.minimum(n, STRENGTH))],
+                    [piece.column(0), piece.column(1), pa.array(total, pa.float64())],
                     names=["doc_id", "h", "log_weight"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"),
@@ -147,9 +145,16 @@ def gumbel(seed: int):
     return -F.log(-F.log(u))
 
 
-def resampled(docs: DataFrame, target: DataFrame, k: int | None = None, lost: float = 0.01,
-              margin: float = 10.0, seed: int = 1) -> DataFrame:
-    """(doc_id, h, log_weight, gumbel_key, kept) of every document.
+def expected_size(scored: DataFrame) -> int:
+    """The number of documents like the target: the sum of min(1, weight)."""
+    like = F.exp(F.least(F.col("log_weight"), F.lit(0.0)))
+    return round(scored.agg(F.sum(like)).first()[0] or 0)
+
+
+def resampled(docs: DataFrame, target: DataFrame, k: int | None = None,
+              seed: int = 1) -> DataFrame:
+    """(doc_id, h, log_weight, gumbel_key, kept) of every document: ``kept`` marks the ``k``
+    of the sample (``expected_size`` documents unless given).
 
     ``target`` holds the ids (doc_id) of the target texts.
     """
@@ -164,11 +169,9 @@ def resampled(docs: DataFrame, target: DataFrame, k: int | None = None, lost: fl
     ratio = spark.sparkContext.broadcast(log_ratio(good, raw))
     scored = written(weights(docs, ratio).withColumn(
         "gumbel_key", F.col("log_weight") + gumbel(seed)), "weights")
+    ratio.destroy()
     if k is None:
-        own = scored.join(wanted, scored["doc_id"] == wanted["_t"], "left_semi")
-        floor = own.agg(F.percentile_approx("log_weight", lost, 10000).alias("q")).first()["q"]
-        floor = (floor if floor is not None else 0.0) - margin
-        k = scored.filter(F.col("log_weight") >= floor).count()
+        k = expected_size(scored)
     return scored.withColumn("kept", F.col("gumbel_key") >= kth_largest(scored, "gumbel_key", k))
 
 
