@@ -7,10 +7,12 @@ in a written table.  ``probe`` runs benchmark windows against every segment: a w
 whose terms are not all in the segment is out; otherwise the posting list of its
 rarest term, shifted by the term's offset, gives the possible starts, and the lists of
 the other terms are intersected with them from rare to frequent.  What remains are
-exact phrase matches (``slop`` 0), or proximity matches (every term within ``slop``
-places of its own place).  The benchmark is probed in blocks of at most about
-``block_windows`` windows, so what is sent to the tasks is bounded however large the
-benchmark is; matches of all blocks are united per document afterwards.
+exact phrase matches (``slop`` 0), or proximity matches: a run of words of one document, as
+many as the window has, with every term within ``slop`` places of its own place (the
+rarest too, so its postings give starts on both sides).  The benchmark is probed in blocks
+of at most about ``block_windows`` windows, one after the other, and a block's matches are
+written before the next is fetched, so what the driver and the tasks hold is bounded
+however large the benchmark is; matches of all blocks are united per document afterwards.
 
 Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z.  A
 window is ``size`` consecutive words of an item; a shorter, non-empty item is one
@@ -19,7 +21,9 @@ window.  Words are compared by 64-bit hashes.
 Defined results: null and empty texts have no words and no hits; items without words
 match nothing; items with a null id hit words but are not listed; rows that share an
 item id are one item with the windows of both; repeated documents are separate rows;
-an empty benchmark leaves every document clean; other columns are not read.
+a very long text is a segment of its own, whole; equally rare terms are tried in the order
+of the window; an empty benchmark leaves every document clean, and without documents the
+result is empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helio.llm.stages import discard, documents, written
-from helio.llm.textscan import text_slices, word_hashes
+from helio.llm.textscan import give_back, text_slices, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,21 +148,27 @@ def _match(names, begin, positions, doc_of, tables, slop):
         which = np.repeat(rows, count)
         place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         start = positions[begin[lists[rows, rare]][which] + place] - rare[which]
-        for turn in range(1, width):
+        if slop:  # the rarest term may be displaced itself
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            which = np.repeat(which, 2 * slop + 1)
+            which, start = np.unique(np.stack([which, start]), axis=1)
+        fits = (start >= 0) & (start + width <= n)
+        which, start = which[fits], start[fits]
+        same = doc_of[start] == doc_of[start + width - 1]
+        which, start = which[same], start[same]
+        for turn in range(0 if slop else 1, width):
             offset = order[which, turn]
             wanted = lists[which, offset]
             hit = np.zeros(len(which), dtype=bool)
             for d in range(-slop, slop + 1):
-                at = start + offset + d
-                fits = (at >= 0) & (at < n)
-                hit |= fits & (term_at[np.where(fits, at, 0)] == wanted)
+                at = np.clip(start + offset + d, 0, n - 1)
+                near = doc_of[at] == doc_of[start]
+                near &= at == start + offset + d
+                hit |= near & (term_at[at] == wanted)
             which, start = which[hit], start[hit]
-        fits = (start >= 0) & (start + width <= n)
-        which, start = which[fits], start[fits]
-        same = doc_of[start] == doc_of[start + width - 1]
-        found_at.append(start[same])
-        found_len.append(np.full(same.sum(), width))
-        found_item.append(owner[which[same]])
+        found_at.append(start)
+        found_len.append(np.full(len(start), width))
+        found_item.append(owner[which])
     return found_at, found_len, found_item
 
 
@@ -172,23 +182,29 @@ def probe(spark: SparkSession, index: DataFrame, benchmark: DataFrame, size: int
     """
     cut = written(windows(benchmark, size, id_col, text_col), "windows")
     blocks = max(1, -(-cut.count() // block_windows))
-    results = None
+    doc = F.arrays_zip(F.col("doc_id").alias("id"), F.col("n_words").alias("n"))
+    clean = index.select("segment", F.posexplode(doc).alias("doc_no", "d")).select(
+        "segment", "doc_no", "d.id", "d.n").toDF("segment", "doc_no", "doc_id", "n_words")
+    none = "array<struct<start:int,stop:int>>"
+    results = clean.select("*", F.array().cast(none).alias("spans"),
+                           F.array().cast("array<long>").alias("item_ids"))
     for b in range(blocks):
         mine = cut.filter(F.pmod(F.xxhash64("item_id", "terms"), F.lit(blocks)) == b).toArrow()
         items = np.asarray(mine.column("item_id").fill_null(-1)).astype(np.int64)
         known = np.asarray(mine.column("item_id").is_valid())
-        terms = mine.column("terms").to_pylist()
-        width = np.array([len(t) for t in terms], dtype=np.int64)
+        terms = mine.column("terms").combine_chunks()
+        flat, ends = np.asarray(terms.values).view(np.uint64), np.asarray(terms.offsets)
+        width = np.diff(ends)
         tables = []
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
-            grid = np.array([terms[r] for r in rows], dtype=np.int64).view(np.uint64)
-            tables.append((rows, grid.reshape(len(rows), w)))
+            tables.append((rows, flat[ends[:-1][rows][:, None] + np.arange(w)]))
         shared = spark.sparkContext.broadcast((items, known, tables))
-        part = index.mapInArrow(_prober(shared, slop), (
+        part = written(index.mapInArrow(_prober(shared, slop), (
             "segment long, doc_no int, doc_id long, n_words long, "
-            "spans array<struct<start:int,stop:int>>, item_ids array<long>"))
-        results = part if results is None else results.unionByName(part)
+            f"spans {none}, item_ids array<long>")), "matches")
+        shared.destroy()
+        results = results.unionByName(part)
     return results.groupBy("segment", "doc_no").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -227,13 +243,15 @@ def _prober(shared, slop: int):
                     pairs = np.unique(np.stack([doc_of[at], which], axis=1)[known[which]], axis=0)
                     for d, w in pairs.tolist():
                         named[d].append(int(items[w]))
-                n = len(ids)
+                hit = [d for d, s in enumerate(spans) if s]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment.as_py()] * n, pa.int64()),
-                     pa.array(np.arange(n), pa.int32()), pa.array(ids, pa.int64()),
-                     pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)),
-                     pa.array([sorted(set(x)) for x in named], pa.list_(pa.int64()))],
+                    [pa.array([segment.as_py()] * len(hit), pa.int64()),
+                     pa.array(hit, pa.int32()), pa.array([ids[d] for d in hit], pa.int64()),
+                     pa.array(sizes[hit], pa.int64()),
+                     pa.array([spans[d] for d in hit], pa.list_(span)),
+                     pa.array([sorted(set(named[d])) for d in hit], pa.list_(pa.int64()))],
                     names=["segment", "doc_no", "doc_id", "n_words", "spans", "item_ids"])
+            give_back()
     return run
 
 
