@@ -1,14 +1,18 @@
 """Main-text extraction by tag-path ratios.
 
-Each page is read into text blocks with their root-to-leaf path of block elements.
-Elements that are never article text by their name (scripts, menus, footers, forms)
-or by a whole class or role of cue words (adverts, comments, notices) are left out with
-all they hold.  A cue word in an id, or in part of a class, is only a hint: what such an
+Each page is read into text blocks with their root-to-leaf path of block elements, kept as
+nodes of a trie (a path is its parent and its last tag).  Elements that are never article
+text by their name (scripts, menus, footers, forms), that are hidden, or that are containers
+with a whole class or role of cue words (adverts, comments, notices) are left out with all
+they hold.  A paragraph or a run of inline text with such a class is left out only if its
+own ratio is low.  A cue word in an id, or in part of a class, is only a hint: what such an
 element holds has no say in the choice of paths (unless it is most of the page), but
-stays where it lies inside the selected content and is not mostly links.  Text length outside links and punctuation are summed per path; a path's ratio
+stays where it lies inside the selected content and is not mostly links.
+
+Text length outside links and punctuation are summed per path; a path's ratio
 is length and punctuation per block.  Ratios are smoothed over similar paths (a
-Gaussian of the steps between two paths), fused (their geometric mean) and compared
-with a share of the page's strongest path.  Blocks are selected below the nearest
+Gaussian of the steps between two paths, up to three steps), fused (their geometric mean)
+and compared with a share of the page's strongest path.  Blocks are selected below the nearest
 common ancestor of the chosen paths, in those of its branches that hold a chosen path,
 so headings and one-word paragraphs of the article stay.  Where <article> or <main> hold
 the strongest path and at least half the text of the chosen paths, other paths are left
@@ -18,8 +22,9 @@ Pages are independent, so the work needs no shuffle: Spark deals pages to tasks.
 
 Defined results: null and empty html give empty text; a page without any text outside
 the elements left out gives empty text; unclosed elements end where their parent does;
-repeated rows give the same text; an empty table gives an empty result; other columns
-are not read.
+a very long or deeply nested page takes time and memory in proportion to its length;
+repeated rows give the same text; paths of equal score are chosen together; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,11 +43,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
 OUTSIDE = frozenset(
-    "head nav header footer aside form button select option input label fieldset dialog menu "
-    "object canvas svg math audio video map".split())
+    "head nav header footer aside form button select option input fieldset dialog menu "
+    "object canvas svg audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q "
-                   "rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map "
+                   "mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small "
+                   "span strike strong sub sup time tt u var wbr".split())
 #: A class or role of these words marks an element outside the article; one of them in an
 #: id, or among other words, is a hint.
 CUES = frozenset(
@@ -65,214 +71,306 @@ _TOKEN = re.compile(
     r".*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
     r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|"
-                     r"display\s*:\s*none", re.I)
 _MARK = re.compile(r"[.,;:!?。，…]")
+#: Steps between two paths beyond which they do not smooth each other.
+REACH = 3
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Names (lower case) and values of a start tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(text):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
 
 
 def outside(tag: str, attrs: str) -> str:
-    """"out" for an element that holds no article text, "id" or "part" for a hint (the id
-    is all cue words; a cue among other words), else empty."""
+    """What an element's name and attributes say of it: "out" holds no article text, "cue" is
+    a paragraph or inline element named as such, "id" and "part" are hints (the id is all
+    cue words; a cue among other words), empty says nothing."""
     if tag in OUTSIDE:
         return "out"
     if not attrs or tag in ("html", "body", "article", "main"):
         return ""
-    if _HIDDEN.search(attrs):
+    named = attributes(attrs)
+    if "hidden" in named or re.search(r"(?:^|;)\s*display\s*:\s*none", named.get("style", ""), re.I):
         return "out"
     if tag in HEADINGS:
         return ""
     hint = ""
-    for found in _ATTR.finditer(attrs):
-        value = next(v for v in found.groups()[1:] if v is not None)
-        for token in value.split():
+    for name in ("class", "role", "id"):
+        for token in named.get(name, "").split():
             cues = [w.lower() in CUES for w in _WORD.findall(token)]
             if not any(cues):
                 continue
             if not all(cues):
                 hint = hint or "part"
-            elif found.group(1).lower() == "id":
+            elif name == "id":
                 hint = "id"
             else:
-                return "out"
+                return "cue" if tag == "p" or tag in INLINE else "out"
     return "" if tag in INLINE else hint
 
 
-def blocks(page: str):
-    """(path, text, link_chars, hints) of every block outside the elements left out; hints
-    are (number, kind, path) of the elements around it that only a hint marks."""
-    stack: list[tuple[str, bool]] = []  # (tag, left out)
-    hints: list[tuple[int, tuple]] = []  # (depth in the stack, hint)
-    n_hints = 0
-    out, held, links, in_link = [], [], 0, 0
-    skipped = 0
-
-    def flush():
-        nonlocal held, links
-        text = " ".join(html.unescape("".join(held)).split())
-        if text:
-            path = tuple(t for t, _ in stack if t not in INLINE)
-            out.append((path, text, min(links, len(text)), tuple(h for _, h in hints)))
-        held, links = [], 0
-
-    def pop(n: int):
-        nonlocal skipped, in_link
-        for tag, left in stack[n:]:
-            skipped -= left
-            in_link -= tag == "a"
-        del stack[n:]
-        while hints and hints[-1][0] >= n:
-            hints.pop()
-
-    def close(names, limits) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                pop(i)
-                return
-            if stack[i][0] in limits:
-                return
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not skipped:
-            piece = page[at:m.start()]
-            held.append(piece)
-            if in_link:
-                links += len(piece)
-        at = m.end()
-        tag = m.group("tag")
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m.group("end"):
-            if tag in INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        left = stack.pop(i)[1]
-                        skipped -= left
-                        in_link -= tag == "a"
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-                continue
-            if any(t == tag for t, _ in stack):
-                flush()
-                pop(max(i for i, (t, _) in enumerate(stack) if t == tag))
-            elif tag == "p":
-                flush()
-            continue
-        if tag not in INLINE:
-            flush()
+class Paths:
+    """A trie of root-to-leaf paths: node 0 is the root, parents come before children."""
+
+    def __init__(self):
+        self.parent, self.tag, self.depth, self._child = [0], [""], [0], {}
+
+    def child(self, node: int, tag: str) -> int:
+        found = self._child.get((node, tag))
+        if found is None:
+            found = self._child[node, tag] = len(self.parent)
+            self.parent.append(node)
+            self.tag.append(tag)
+            self.depth.append(self.depth[node] + 1)
+        return found
+
+
+class Reader:
+    """Reads a page into blocks [node, text, link chars, chars named as cues, hint]."""
+
+    def __init__(self):
+        self.paths, self.blocks = Paths(), []
+        self.hints: list[tuple[int, str, int]] = []  # (hint around it or -1, kind, node)
+        # open elements: [tag, left out, node, hint, cue, closed]; places of every tag
+        self.stack: list[list] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places of elements that are not inline
+        self.held, self.links, self.named = [], 0, 0
+        self.skipped = self.in_link = self.in_cue = 0
+        self.node, self.hint = 0, -1
+
+    def text(self, piece: str) -> None:
+        if not self.skipped:
+            self.held.append(piece)
+            shown = len(piece) - piece.count(" ") - piece.count("\n")
+            self.links += len(piece) if self.in_link else 0
+            self.named += shown if self.in_cue else 0
+
+    def flush(self) -> None:
+        raw = "".join(self.held)
+        if raw:
+            text = " ".join(html.unescape(raw).split())
+            if text:
+                shown = len(raw) - raw.count(" ") - raw.count("\n")
+                self.blocks.append([self.node, text, min(self.links, len(text)),
+                                    self.named >= shown, self.hint])
+        self.held, self.links, self.named = [], 0, 0
+
+    def _end(self, entry: list) -> None:
+        if not entry[5]:
+            entry[5] = True
+            self.skipped -= entry[1]
+            self.in_link -= entry[0] == "a"
+            self.in_cue -= entry[4]
+
+    def pop(self, n: int) -> None:
+        """Close the elements from place n on."""
+        while len(self.stack) > n:
+            entry = self.stack.pop()
+            self.places[entry[0]].pop()
+            if self.solid and self.solid[-1] == len(self.stack):
+                self.solid.pop()
+            self._end(entry)
+        if self.solid:
+            self.node, self.hint = self.stack[self.solid[-1]][2:4]
+        else:
+            self.node, self.hint = 0, -1
+
+    def place(self, names) -> int:
+        return max((self.places[t][-1] for t in names if self.places.get(t)), default=-1)
+
+    def close(self, names, limits) -> None:
+        at = self.place(names)
+        if at >= 0 and at > self.place(limits - names):
+            self.flush()
+            self.pop(at)
+
+    def start(self, tag: str, attrs: str) -> None:
+        inline = tag in INLINE
+        if not inline:
+            self.flush()
             if tag in ENDS_P:
-                close({"p"}, LIMITS)
+                self.close({"p"}, LIMITS)
             if tag in SAME:
-                close(SAME[tag], LIMITS)
-        if tag in VOID or m.group("attrs").rstrip().endswith("/") and tag in INLINE:
-            continue
-        kind = outside(tag, m.group("attrs"))
-        left = kind == "out"
-        if left and not skipped and tag in INLINE:
-            flush()
-        stack.append((tag, left))
-        if kind and not left:
-            hints.append((len(stack) - 1, (
-                n_hints, kind, tuple(t for t, _ in stack if t not in INLINE))))
-            n_hints += 1
-        skipped += left
-        in_link += tag == "a"
-    if at < len(page) and not skipped:
-        held.append(page[at:])
-    flush()
-    return out
+                self.close(SAME[tag], LIMITS)
+        if tag in VOID or attrs.rstrip().endswith("/") and inline:
+            return
+        kind = outside(tag, attrs)
+        left, cue = kind == "out", kind == "cue"
+        if left and not self.skipped and inline:
+            self.flush()
+        if not inline:
+            self.node = self.paths.child(self.node, tag)
+            if kind in ("id", "part"):
+                self.hints.append((self.hint, kind, self.node))
+                self.hint = len(self.hints) - 1
+            self.solid.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append([tag, left, self.node, self.hint, cue, False])
+        self.skipped += left
+        self.in_link += tag == "a"
+        self.in_cue += cue
+
+    def end(self, tag: str) -> None:
+        at = self.place((tag,))
+        if tag in INLINE:
+            if at > (self.solid[-1] if self.solid else -1):
+                # others around it stay open: it is only marked, unless it is the last
+                if at == len(self.stack) - 1:
+                    self.pop(at)
+                else:
+                    self._end(self.stack[at])
+                    self.stack[at][0] = ""
+                    self.places[tag].pop()
+                    self.places.setdefault("", []).append(at)
+        elif at >= 0:
+            self.flush()
+            self.pop(at)
+        elif tag == "p":
+            self.flush()
+
+    def read(self, page: str) -> "Reader":
+        at = 0
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                self.text(page[at:m.start()])
+            at = m.end()
+            tag = m.group("tag")
+            if tag is not None:
+                if m.group("end"):
+                    self.end(tag.lower())
+                else:
+                    self.start(tag.lower(), m.group("attrs"))
+        if at < len(page):
+            self.text(page[at:])
+        self.flush()
+        return self
 
 
-def path_scores(lengths, marks, counts, paths, sigma: float = 1.0) -> np.ndarray:
-    """Smoothed and fused ratios of a page's distinct paths."""
-    ratio = np.stack([lengths / counts, (1.0 + marks) / counts], axis=1)
-    steps = np.zeros((len(paths), len(paths)))
-    for i, a in enumerate(paths):
-        for j in range(i):
-            b = paths[j]
-            same = 0
-            for x, y in zip(a, b):
-                if x != y:
-                    break
-                same += 1
-            steps[i, j] = steps[j, i] = max(len(a), len(b)) - same
-    near = np.exp(-steps ** 2 / (2 * sigma ** 2)) * counts[None, :]
-    smooth = near @ ratio / near.sum(axis=1, keepdims=True)
-    return np.sqrt(smooth[:, 0] * smooth[:, 1])
+def path_scores(paths: Paths, lengths, marks, counts, sigma: float = 1.0) -> np.ndarray:
+    """Smoothed and fused ratios of all nodes that hold blocks (0 for others).
+
+    Two paths are as many steps apart as the longer one has below their common part.
+    ``below[i, r]`` sums the subtree of node i at r levels below it, so the paths that part
+    from a path at one of its next ancestors are that ancestor's sum less its branch's.
+    """
+    n = len(paths.parent)
+    parent = np.array(paths.parent)
+    # a path's weight is its number of blocks: sums of ratio times weight, and weights
+    own = np.stack([lengths, np.where(counts > 0, 1.0 + marks, 0.0), counts], axis=1)
+    below = np.zeros((n, REACH + 1, 3))
+    below[:, 0] = own
+    level = own
+    for r in range(1, REACH + 1):
+        up = np.zeros((n, 3))
+        np.add.at(up, parent[1:], level[1:])
+        below[:, r] = level = up
+    near = np.exp(-np.arange(REACH + 1) ** 2 / (2 * sigma ** 2))
+    total = np.zeros((n, 3))
+    branch, at = None, np.arange(n)
+    alive = np.ones(n, dtype=bool)
+    for up in range(REACH + 1):  # the common part ends ``up`` levels above the path
+        here = below[at].copy()
+        if branch is not None:
+            here[:, 1:] -= below[branch][:, :-1]
+        here[~alive] = 0
+        total += np.einsum("nrk,r->nk", here, near[np.maximum(np.arange(REACH + 1), up)])
+        branch, alive = at, alive & (at > 0)
+        at = parent[at]
+    weight = np.maximum(total[:, 2], 1e-300)
+    score = np.sqrt(np.maximum(total[:, 0], 0) / weight * np.maximum(total[:, 1], 0) / weight)
+    return np.where(counts > 0, score, 0.0)
 
 
 def main_text(page: str, share: float = 0.15) -> str:
     """The article's text: its blocks joined by one space."""
-    found = blocks(page)
-    if not found:
+    read = Reader().read(page)
+    every, paths, hints = read.blocks, read.paths, read.hints
+    if not every:
         return ""
-    shown, links_in = {}, {}
-    for _, text, links, hints in found:
-        for hint in hints:
-            shown[hint] = shown.get(hint, 0) + len(text)
-            links_in[hint] = links_in.get(hint, 0) + links
-    whole_page = sum(len(text) for _, text, _, _ in found)
+    n = len(paths.parent)
+    shown, links_in = [0] * len(hints), [0] * len(hints)
+    for _, text, links, _, hint in every:
+        if hint >= 0:
+            shown[hint] += len(text)
+            links_in[hint] += links
+    for h in range(len(hints) - 1, -1, -1):  # what a hint inside another holds, both hold
+        if hints[h][0] >= 0:
+            shown[hints[h][0]] += shown[h]
+            links_in[hints[h][0]] += links_in[h]
+    whole_page = sum(len(b[1]) for b in every)
     # a hint on most of the page says nothing, unless the id is nothing but cues
-    void = {h for h in shown if h[1] == "part" and 2 * shown[h] >= whole_page}
-    found = [(p, text, links, [h for h in hints if h not in void])
-             for p, text, links, hints in found]
-    every, found = found, [b for b in found if not b[3]]
-    if not any(len(text) > links for _, text, links, _ in found):
-        found = every = [(p, text, links, []) for p, text, links, _ in every]
-    paths = sorted({p for p, _, _, _ in found})
-    place = {p: i for i, p in enumerate(paths)}
-    lengths, marks, counts = (np.zeros(len(paths)) for _ in range(3))
-    for path, text, links, _ in found:
-        i = place[path]
-        lengths[i] += len(text) - links
-        marks[i] += len(_MARK.findall(text)) * (links < len(text))
-        counts[i] += 1
+    void = [kind == "part" and 2 * shown[h] >= whole_page for h, (_, kind, _) in enumerate(hints)]
+    silent = [False] * len(hints)
+    for h, (around, _, _) in enumerate(hints):
+        silent[h] = void[h] and (around < 0 or silent[around])
+    found = [b for b in every if not b[3] and (b[4] < 0 or silent[b[4]])]
+    if not any(len(b[1]) > b[2] for b in found):
+        found = every = [[*b[:3], False, -1] for b in every]
+    lengths, marks, counts = np.zeros(n), np.zeros(n), np.zeros(n)
+    for node, text, links, _, _ in found:
+        lengths[node] += len(text) - links
+        marks[node] += len(_MARK.findall(text)) * (links < len(text))
+        counts[node] += 1
+    best = 0.0
     if not lengths.any():
-        chosen = paths
+        chosen = counts > 0
     else:
-        score = path_scores(lengths, marks, counts, paths)
-        weight = score * (lengths > 0)
-        chosen = [p for p, s in zip(paths, weight) if s >= share * weight.max()]
-    article = [p for p in chosen if "article" in p or "main" in p]
-    if article and lengths.any():
+        weight = path_scores(paths, lengths, marks, counts) * (lengths > 0)
+        best = weight.max()
+        chosen = (counts > 0) & (weight >= share * best)
+    named = [False] * n  # inside <article> or <main>
+    for i in range(1, n):
+        named[i] = named[paths.parent[i]] or paths.tag[i] in ("article", "main")
+    article = chosen & np.array(named)
+    if article.any() and best and article[int(weight.argmax())] and (
+            2 * lengths[article].sum() >= lengths[chosen].sum()):
         # the page says itself where its article is, and the ratios agree: the strongest
         # path and most of the chosen paths' text are there (a teaser's <article> is not)
-        held = sum(lengths[place[p]] for p in article)
-        if paths[int(weight.argmax())] in article and (
-                2 * held >= sum(lengths[place[p]] for p in chosen)):
-            chosen = article
-    root = chosen[0]
-    for p in chosen[1:]:
-        n = 0
-        while n < min(len(root), len(p)) and root[n] == p[n]:
-            n += 1
-        root = root[:n]
-    if len(chosen) == 1 and len(root) > 1:
-        root = root[:-1]
+        chosen = article
+    inside = chosen.astype(int).tolist()  # chosen paths in a node's subtree
+    for i in range(n - 1, 0, -1):
+        inside[paths.parent[i]] += inside[i]
+    total = inside[0]
+    root = max((i for i in range(n) if inside[i] == total), key=lambda i: paths.depth[i])
+    if chosen.sum() == 1 and paths.depth[root] > 1:
+        root = paths.parent[root]
+    above, at = [], root
+    while at:
+        above.append(at)
+        at = paths.parent[at]
     for name in ("article", "main"):
-        if name in root:  # the whole element, whichever of its parts were chosen
-            root = root[:root.index(name) + 1]
+        if any(paths.tag[i] == name for i in above):  # the whole element, all its parts
+            root = [i for i in above if paths.tag[i] == name][-1]
             break
-    depth = len(root)
-    branches = {p[:depth + 1] for p in chosen}
-    whole = "article" in root or "main" in root
-    held = whole or root[-1:] not in ((), ("html",), ("body",))
-
-    def selected(path, hints) -> bool:
-        if path[:depth] != root:
-            return False
-        if not hints:
-            return whole or path[:depth + 1] in branches or len(path) == depth
+    whole = named[root]
+    held = whole or paths.tag[root] not in ("", "html", "body")
+    below, taken = [False] * n, [False] * n  # in the subtree, and in a branch that counts
+    below[root] = taken[root] = True
+    for i in range(root + 1, n):
+        up = paths.parent[i]
+        below[i] = below[up]
+        taken[i] = taken[up] and (up != root or whole or inside[i] > 0)
+    stays = [False] * len(hints)
+    for h, (around, kind, node) in enumerate(hints):
         # a hinted element inside the selected content stays if it is text
-        return all(2 * links_in[h] < shown[h] and len(h[2]) > depth and h[2][:depth] == root
-                   and (held or h[1] == "part" or h[2][-1] not in ("div", "ul", "ol"))
-                   for h in hints)
-    return " ".join(text for path, text, _, hints in every if selected(path, hints))
+        fits = void[h] or (2 * links_in[h] < shown[h] and below[node] and node != root and (
+            held or kind == "part" or paths.tag[node] not in ("div", "ul", "ol")))
+        stays[h] = fits and (around < 0 or stays[around])
+
+    def selected(node, text, links, cue, hint) -> bool:
+        if cue:
+            ratio = (len(text) - links) * (1 + len(_MARK.findall(text)))
+            return taken[node] and ratio >= (share * best) ** 2 and links < len(text)
+        if hint < 0 or silent[hint]:
+            return taken[node]
+        return below[node] and stays[hint]
+    return " ".join(b[1] for b in every if selected(*b))
 
 
 def extracted(pages: DataFrame, html_col: str = "html", share: float = 0.15) -> DataFrame:
