@@ -3,12 +3,12 @@
 Scale notes
 * Counts, means, stddevs, min/max and correlations are algebraic aggregates:
   partial aggregation per task, one small shuffle.
-* Exact quantiles do not use the ``percentile`` aggregate (its buffer keeps every
-  distinct value of a group in one task).  :func:`exact_quantiles` sorts with a
-  range-partitioned sort, numbers rows without a single task
-  (:func:`helio.operators.windows.number_rows`) and picks the two neighbours of
-  each quantile position by an equi-join with a tiny target table.  The
-  ``approx=True`` path uses ``percentile_approx`` (bounded sketch).
+* Exact quantiles (:mod:`helio.operators.quantiles`) bracket the wanted ranks with a
+  sketch and count the values inside the brackets: no sort, no shuffle of rows, no
+  written table, and a frequent value is one counter.  ``approx=True`` stops at the
+  sketch.
+* Correlations are sums of products about a common centre: every task keeps one
+  matrix of sums, and only these are shuffled.
 * Histogram and KDE parameters (min, max, n, std) come from one aggregate that
   is fetched as a single row of scalars; the per-row work is a bounded fan-out
   (×1 for bins, ×grid points for the KDE) followed by a partial aggregate.
@@ -17,14 +17,22 @@ Scale notes
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helio.operators.windows import CHUNKED, Layout, apply_ordered, number_rows
+from helio.operators.quantiles import select_quantiles
+from helio.operators.windows import CHUNKED, Layout, with_halo
 from helio.schema import CORR_COLUMNS, FLARE_CLASSES, SERIES, SEVERITY_LABELS, TIME
 
+# executors need numpy and pyarrow only: the functions of a task travel with it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ORDER = (TIME, "event_id")
 
 
@@ -49,40 +57,14 @@ def safe_corr(a, b) -> Column:
 
 # -- quantiles ---------------------------------------------------------------------
 
-def exact_quantiles(long: DataFrame, probs: Sequence[float], group: str = "feature",
-                    value: str = "value", layout: Layout | None = None) -> DataFrame:
-    """Linear-interpolated quantiles (pandas/``quantile_cont`` rule) per group.
-
-    Returns (group, p, q).  NULL values are ignored; an all-NULL group gives none.
-    """
-    layout = layout or Layout("chunked")
-    vals = long.where(F.col(value).isNotNull()).select(group, value)
-    counts = vals.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = number_rows(vals, group, [value], "_rn", layout)
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    # target positions per group: at most 2 x len(probs) rows per group
-    tgt = (counts.select(group, "_n", F.explode(p_arr).alias("p"))
-           .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
-           .withColumn("_lo", F.floor("_h") + 1)
-           .withColumn("_hi", F.ceil("_h") + 1))
-    need = tgt.select(group, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rn"))
-    # ``need`` has at most groups x 2·len(probs) rows, and the groups are the
-    # columns named by the caller: a bound fixed by the arguments, so it is
-    # broadcast and the numbered rows are filtered where they are (no shuffle).
-    picked = numbered.join(F.broadcast(need.distinct()), [group, "_rn"]).select(group, "_rn", value)
-    lo = picked.select(group, F.col("_rn").alias("_lo"), F.col(value).alias("_vlo"))
-    hi = picked.select(group, F.col("_rn").alias("_hi"), F.col(value).alias("_vhi"))
-    res = tgt.join(lo, [group, "_lo"]).join(hi, [group, "_hi"])
-    frac = F.col("_h") - F.floor("_h")
-    # (ceil − h)·lower + (h − floor)·upper: the interpolation rule of Spark's
-    # ``percentile`` (DuckDB's ``quantile_cont`` can differ in the last bit)
-    q = (F.ceil("_h") - F.col("_h")) * F.col("_vlo") + frac * F.col("_vhi")
-    return res.select(group, "p", F.when(frac == 0, F.col("_vlo")).otherwise(q).alias("q"))
-
-
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Quantiles of several columns as (feature, p, q)."""
+    """Quantiles of several columns as (feature, p, q): linearly interpolated (the rule of
+    pandas and ``quantile_cont``), NULL values ignored, none for a column of NULLs.
+
+    ``approx`` takes the values of a sketch.  The exact ones are found by a few
+    aggregates; as many rows come back as columns and probabilities are asked for.
+    """
     if approx:
         aggs = [F.percentile_approx(F.col(c), list(probs), accuracy).alias(c) for c in cols]
         wide = df.agg(*aggs)
@@ -91,7 +73,10 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 .select("feature", F.posexplode("qs").alias("i", "q"))
                 .select("feature", F.get(F.array(*[F.lit(float(p)) for p in probs]), "i")
                         .alias("p"), "q"))
-    return exact_quantiles(to_long(df, cols), probs)
+    found = select_quantiles(df, cols, probs)
+    return df.sparkSession.createDataFrame(
+        [(c, float(p), q) for c, qs in found.items() for p, q in zip(probs, qs)],
+        "feature string, p double, q double")
 
 
 # -- A1 --------------------------------------------------------------------------
@@ -153,23 +138,66 @@ def storm_prob_by_flare(df: DataFrame, cls: str = "flare_class",
 
 # -- A5 ----------------------------------------------------------------------------
 
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _centres(df: DataFrame, cols: Sequence[str]) -> list[float]:
+    """One value per column near its mean, to take sums about (one row of scalars)."""
+    row = df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()
+    return [v if v is not None and math.isfinite(v) else 0.0 for v in row]
+
+
+def _corr_of_sums() -> Column:
+    """Pearson correlation from sums about any centre; NULL if a side does not vary (up to
+    rounding) or fewer than two rows have both."""
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in _SUMS)
+
+    def spread(ss, s):
+        left = ss - F.try_divide(s * s, n)
+        return F.when(left > ss * 1e-12, left)
+    return F.when(n > 1, (sxy - F.try_divide(sx * sy, n)) / (
+        F.sqrt(spread(sxx, sx)) * F.sqrt(spread(syy, sy))))
+
+
+def _pair_sums(centres: Sequence[float]):
+    """Batches of k columns to one row of sums per pair of columns and task: products of
+    the value matrix and the matrix of present cells give all pairs at once."""
+    k = len(centres)
+
+    def run(batches):
+        n, s, ss, p = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x = x - np.asarray(centres)
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(np.float64)
+            n += m.T @ m
+            s += x.T @ m        # s[i, j]: sum of column i where column j is present
+            ss += (x * x).T @ m
+            p += x.T @ x
+        i, j = np.tril_indices(k)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32())] + [
+                pa.array(v) for v in (n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], p[i, j])],
+            names=["i", "j", *_SUMS])
+    return run
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = CORR_COLUMNS,
                        lower_only: bool = False) -> DataFrame:
     """A5: pairwise-complete Pearson correlations, long form (col_a, col_b, corr).
 
-    Each row is expanded to its ``k(k+1)/2`` column pairs (bounded fan-out,
-    inside the task) and one grouped aggregate with ``k(k+1)/2`` groups
-    computes every correlation; partial aggregation keeps the shuffle at one
-    buffer per pair and task.  (One wide aggregate of 66 correlations is ~5x
-    slower: its generated code exceeds the JIT's method-size limits.)
-    All ``k²`` cells, or the strict lower triangle when ``lower_only``.
-    Constant columns give NULL.
+    Every task keeps the sums and products of its rows for all pairs of columns in four
+    ``k x k`` matrices and sends ``k(k+1)/2`` rows, which are added up per pair.  Sums
+    are taken about the columns' means, so large offsets cost no digits.
+    All ``k²`` cells, or the strict lower triangle when ``lower_only``.  Constant columns
+    give NULL; NULL and NaN cells are missing.
     """
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                             F.col(cols[i]).cast("double").alias("x"),
-                             F.col(cols[j]).cast("double").alias("y")) for i, j in pairs])
-    tri = df.select(F.inline(arr)).groupBy("i", "j").agg(safe_corr("x", "y").alias("corr"))
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = data.mapInArrow(_pair_sums(_centres(df, cols)), "i int, j int, " + ", ".join(
+        f"{c} double" for c in _SUMS))
+    tri = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS]).select(
+        "i", "j", _corr_of_sums().alias("corr"))
     names = F.array(*[F.lit(c) for c in cols])
     cells = tri.select(F.inline(F.array(
         F.struct(F.col("i").alias("a"), F.col("j").alias("b"), F.col("corr")),
@@ -184,33 +212,72 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = CORR_COLUMNS,
 
 # -- A6 ----------------------------------------------------------------------------
 
+def _lag_sums(max_lag: int, centres: Sequence[float]):
+    """Rows (group, number, halo, x, ys...) in order to the sums of x[t], y[t + lag] per lag
+    and y.  A pair is counted where its t is not a copy."""
+    n_y = len(centres) - 1
+
+    def run(batches):
+        sums = np.zeros((2 * max_lag + 1, n_y, len(_SUMS)))
+        held = None
+
+        def add(lag, x, ys, use):
+            for y in range(n_y):
+                both = use & ~np.isnan(x) & ~np.isnan(ys[y])
+                a, b = x[both], ys[y][both]
+                sums[lag + max_lag, y] += (
+                    len(a), a.sum(), b.sum(), (a * a).sum(), (b * b).sum(), (a * b).sum())
+
+        for batch in batches:
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            part[3:] = [v - c for v, c in zip(part[3:], centres)]
+            old = 0 if held is None else len(held[0])
+            if old:
+                part = [np.concatenate([h, p]) for h, p in zip(held, part)]
+            group, number, halo, x, *ys = part
+            core = ~halo.astype(bool)
+            for lag in range(min(max_lag, len(x) - 1) + 1):
+                i = np.arange(max(0, old - lag), len(x) - lag)  # the later row is new
+                j = i + lag
+                near = (group[i] == group[j]) & (number[j] - number[i] == lag)
+                add(lag, x[i], [y[j] for y in ys], near & core[i])
+                if lag:
+                    add(-lag, x[j], [y[i] for y in ys], near & core[j])
+            keep = max(0, len(x) - max_lag)
+            held = [p[keep:] for p in part]
+        lag, y = (a.ravel() for a in np.indices((2 * max_lag + 1, n_y)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lag - max_lag, pa.int32()), pa.array(y, pa.int32())] + [
+                pa.array(sums[lag, y, s]) for s in range(len(_SUMS))],
+            names=["lag", "y", *_SUMS])
+    return run
+
+
 def lagged_xcorr(df: DataFrame, x: str = "kp_index",
                  ys: Sequence[str] = ("satellite_disruption_risk", "gps_blackout_prob"),
                  max_lag: int = 14, series: str | None = SERIES, order: Sequence[str] = ORDER,
                  layout: Layout = CHUNKED) -> DataFrame:
     """corr(x[t], y[t+lag]) for lag in [-max_lag, max_lag], pairs inside a series.
 
-    One window pass adds the 2·max_lag+1 shifted copies of each y; the rows
-    are then exploded by lag (bounded ×29 fan-out) into a 29-group corr aggregate.
+    Rows are dealt to chunks with ``max_lag`` copied rows on both sides.  A task goes
+    through its chunks once, adds the products of the rows that are ``lag`` places apart,
+    and sends one row of sums per lag and y.  Lags without a pair give NULL.
     """
-    lags = list(range(-max_lag, max_lag + 1))
-
-    def build(spec):
-        out = {}
-        for y in ys:
-            for L in lags:
-                name = f"_{y}_{L + max_lag}"
-                out[name] = (F.lead(F.col(y), L).over(spec) if L > 0 else
-                             F.lag(F.col(y), -L).over(spec) if L < 0 else F.col(y))
-        return out
-
-    shifted = apply_ordered(df.select(*([series] if series else []), *order, x, *ys), build,
-                            series, order, behind=max_lag, ahead=max_lag, layout=layout)
-    arr = F.array(*[F.struct(F.lit(L).alias("lag"),
-                             *[F.col(f"_{y}_{L + max_lag}").alias(y) for y in ys])
-                    for L in lags])
-    long = shifted.select(F.col(x), F.inline(arr))
-    return long.groupBy("lag").agg(*[safe_corr(x, y).alias(f"xcorr_{y}") for y in ys])
+    cols = [x, *ys]
+    slim = df.select(*([series] if series else []), *order,
+                     *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    spread = with_halo(slim, series, order, max_lag, max_lag, layout)
+    group = F.xxhash64(*([series] if series else []), F.col("_chunk"))
+    rows = spread.select(group.alias("_group"), F.col("_rn").cast("long").alias("_rn"), "_halo",
+                         *[f"_v{i}" for i in range(len(cols))])
+    sums = rows.repartition("_group").sortWithinPartitions("_group", "_rn").mapInArrow(
+        _lag_sums(max_lag, _centres(df, cols)), "lag int, y int, " + ", ".join(
+            f"{c} double" for c in _SUMS))
+    total = sums.groupBy("lag", "y").agg(*[F.sum(c).alias(c) for c in _SUMS]).withColumn(
+        "corr", _corr_of_sums())
+    return total.groupBy("lag").agg(*[
+        F.max(F.when(F.col("y") == i, F.col("corr"))).alias(f"xcorr_{y}")
+        for i, y in enumerate(ys)])
 
 
 # -- A7, A8 ---------------------------------------------------------------------

@@ -1,11 +1,11 @@
 """Ordered-window features per series, keyed or skew-safe.
 
-Two layouts compute the same columns; no layout depends on the data:
+Two layouts compute the same columns:
 
 ``keyed``    ``Window.partitionBy(series).orderBy(ts, id)``.  One shuffle; but a
              series is one task, so it is only for callers who know that every
              series is small.
-``chunked``  (default) rows are numbered inside their series without a single-task sort
+``chunked``  (default, see below) rows are numbered inside their series without a single-task sort
              (range partitioning on (series, ts, id) + per-partition offsets,
              see :func:`number_rows`), cut into chunks of ``chunk_rows`` rows,
              and each chunk gets copies of the ``behind`` rows before it and
@@ -15,6 +15,12 @@ Two layouts compute the same columns; no layout depends on the data:
              are dropped afterwards, so the result equals the keyed one.
 
 A frame of ``rowsBetween(-k, j)`` needs ``behind >= k`` and ``ahead >= j``.
+
+A chunk is the bound on what one window group holds.  Where no series has more rows than
+a chunk (one count per series says so, and only the largest comes back), every series
+is a chunk already: the keyed window holds the same rows per group without numbering,
+and is used then.  ``Layout(measure=False)`` leaves the count out, for inputs that are dear
+to read twice.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ class Layout:
     chunk_rows: int = 1 << 20    # rows per chunk in chunked mode (max rows of a window task)
     partitions: int | None = None  # range partitions for numbering (None: shuffle partitions)
     broadcast_limit: int = 1 << 20  # max rows of the per-partition offset table to broadcast
+    measure: bool = True         # look whether every series fits a chunk
 
 
 KEYED = Layout("keyed")
@@ -95,24 +102,26 @@ def number_rows(df: DataFrame, series: str | None = SERIES, order: Sequence[str]
     return out.drop("_pid", "_mid", "_first", "_off")
 
 
-def apply_ordered(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]],
-                  series: str | None = SERIES, order: Sequence[str] = ORDER,
-                  behind: int = 0, ahead: int = 0, layout: Layout = CHUNKED,
-                  number: str | None = None, total: str | None = None) -> DataFrame:
-    """Add the window columns ``build(spec)`` using the chosen layout, and on request
-    the row's number in its series and the series' number of rows."""
-    if layout.mode == "keyed":
-        if number:
-            df = number_rows(df, series, order, number, layout, total)
-        spec = Window.partitionBy(*_series_cols(series)).orderBy(*[F.col(c) for c in order])
-        return df.withColumns(build(spec))
+def measured(df: DataFrame, series: str | None, layout: Layout) -> Layout:
+    """The keyed layout if it is asked for, or if no series is longer than a chunk."""
+    if layout.mode == "keyed" or not (layout.measure and series):
+        return layout
+    longest = df.groupBy(series).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return KEYED if (longest or 0) <= layout.chunk_rows else layout
 
+
+def with_halo(df: DataFrame, series: str | None = SERIES, order: Sequence[str] = ORDER,
+              behind: int = 0, ahead: int = 0, layout: Layout = CHUNKED,
+              total: str | None = None) -> DataFrame:
+    """The rows numbered in their series (``_rn``) and dealt to chunks (``_chunk``), with copies
+    (``_halo``) of the ``behind`` rows before and the ``ahead`` rows after each chunk."""
     c_rows = layout.chunk_rows
     if behind > c_rows or ahead > c_rows:
         raise ValueError("halo wider than a chunk; raise chunk_rows")
+    layout = measured(df, series, layout)
     numbered = number_rows(df, series, order, "_rn", layout, total)
-    if number:
-        numbered = numbered.withColumn(number, F.col("_rn"))
+    if layout.mode == "keyed":
+        return numbered.withColumns({"_chunk": F.lit(0).cast("long"), "_halo": F.lit(False)})
     pos = F.col("_rn") - F.lit(1)
     chunk = F.floor(pos / F.lit(c_rows)).cast("long")
     within = F.pmod(pos, F.lit(c_rows))
@@ -125,12 +134,27 @@ def apply_ordered(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]
     if ahead:
         copies.append(F.when((within < F.lit(ahead)) & (chunk > 0),
                              F.struct((chunk - 1).alias("_chunk"), F.lit(True).alias("_halo"))))
-    exploded = numbered.withColumn("_copy", F.explode(F.filter(F.array(*copies),
-                                                               lambda x: x.isNotNull())))
-    exploded = exploded.withColumn("_chunk", F.col("_copy._chunk")) \
-                       .withColumn("_halo", F.col("_copy._halo")).drop("_copy")
+    return numbered.select("*", F.inline(F.filter(F.array(*copies), lambda x: x.isNotNull())))
+
+
+def apply_ordered(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]],
+                  series: str | None = SERIES, order: Sequence[str] = ORDER,
+                  behind: int = 0, ahead: int = 0, layout: Layout = CHUNKED,
+                  number: str | None = None, total: str | None = None) -> DataFrame:
+    """Add the window columns ``build(spec)`` using the chosen layout, and on request
+    the row's number in its series and the series' number of rows."""
+    if max(behind, ahead) <= layout.chunk_rows:
+        layout = measured(df, series, layout)
+    if layout.mode == "keyed":
+        if number:
+            df = number_rows(df, series, order, number, layout, total)
+        spec = Window.partitionBy(*_series_cols(series)).orderBy(*[F.col(c) for c in order])
+        return df.withColumns(build(spec))
+    spread = with_halo(df, series, order, behind, ahead, layout, total)
+    if number:
+        spread = spread.withColumn(number, F.col("_rn"))
     spec = Window.partitionBy(*_series_cols(series), F.col("_chunk")).orderBy("_rn")
-    out = exploded.withColumns(build(spec))
+    out = spread.withColumns(build(spec))
     return out.where(~F.col("_halo")).drop("_chunk", "_halo", "_rn")
 
 
