@@ -5,21 +5,26 @@ each and are fetched as a single row of scalars — two numbers per column, a
 fixed size whatever the table size — then applied as literals in one
 projection.
 
-KNN imputation (Q1) is a distributed blocked nested loop:
-receivers (rows with a missing cell) are hashed into blocks of at most
-``receiver_block`` rows, donors into parts of about ``donor_block`` rows; each
-(block, part) pair is one ``cogroup`` task that computes the NaN-Euclidean
-distances in NumPy and keeps only the 5 nearest donors per missing cell.  No
+KNN imputation (Q1) is exact and prunes.  The columns that vary most span a grid, cut
+at quantiles, with a bin of its own for rows that miss the column.  A receiver (a row with
+a missing cell) first meets the donors of its own grid cell, which bounds the distance
+of its k-th neighbour from above; then only those cells whose distance from it, over the
+grid's columns alone, does not exceed that bound (a partial sum of squares is a lower
+bound, also after scaling by the share of present columns).  A meeting of a cell's
+receivers and donors is one ``cogroup`` task, which computes the NaN-Euclidean
+distances in NumPy and keeps the 5 nearest donors per missing cell.  Hot cells are cut
+into blocks of ``receiver_block`` and parts of ``donor_block`` rows, so no
 task holds more than one block and one part, nothing goes through the driver,
-and the shuffle carries at most 5 candidates per (missing cell, donor part).
-A final ``row_number() <= k`` over (receiver, column) — at most 5 x parts rows
-per group — picks the neighbours.  Ties are broken by donor id.
+and the shuffle carries at most 5 candidates per (missing cell, part).
+A final ``row_number() <= k`` over (receiver, column) picks the neighbours.  Ties are
+broken by donor id.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 
 from helio.operators.stats import quantile_table
 from helio.schema import NUMERIC_COLUMNS, SERIES
+from helio.session import materialize
 
 # The grouped KNN function runs in executor Python workers, which need not have
 # this package installed: pickle this module's functions by value so they are
@@ -239,27 +245,154 @@ def _knn_partial_fn(cols: Sequence[str], k: int):
     return fn
 
 
+def _meet(r: DataFrame, d: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int,
+          n_parts: int) -> DataFrame:
+    """The k nearest donors (per group) of every missing cell of the receivers.
+
+    Both sides are hash partitioned on the same long keys into an explicit number of
+    partitions: a group is small in bytes but heavy in CPU, and a user-numbered repartition
+    is not coalesced by AQE, so the groups stay spread over the cores instead of being
+    packed into a few tasks.  Fresh aliases on the donor side keep the cogroup keys
+    distinct attributes (both sides come from one table)."""
+    keys = list(keys)
+    r = r.select(*keys, "_id", *cols).repartition(n_parts, *keys)
+    d = d.select(*[F.col(x).alias(x) for x in keys + ["_id", *cols]]).repartition(n_parts, *keys)
+    return r.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(
+        _knn_partial_fn(cols, k), _PARTIAL_SCHEMA)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Cuts per column; bin i of a column holds [cut i-1, cut i), the last bin rows without it."""
+    cuts: dict[str, list[float]]
+
+    def bins(self, c: str) -> int:
+        return len(self.cuts[c]) + 1
+
+    def bin_of(self, c: str) -> Column:
+        place = sum((F.col(c) >= F.lit(x)).cast("int") for x in self.cuts[c]) + F.lit(0)
+        return F.when(F.col(c).isNull(), self.bins(c)).otherwise(place)
+
+    def cell(self, bins: dict[str, Column]) -> Column:
+        out = F.lit(0).cast("long")
+        for c in self.cuts:
+            out = out * (self.bins(c) + 1) + bins[c]
+        return out
+
+    def gaps(self, c: str) -> Column:
+        """Every bin with the squared distance of the row's value from it, 0 if the row or
+        the bin has no value."""
+        low = [-math.inf, *self.cuts[c]]
+        high = [*self.cuts[c], math.inf]
+        out = []
+        for i in range(self.bins(c)):
+            away = F.greatest(F.lit(low[i]) - F.col(c), F.col(c) - F.lit(high[i]), F.lit(0.0))
+            out.append(F.struct(F.lit(i).alias("bin"), F.when(
+                F.col(c).isNull(), 0.0).otherwise(away * away).alias("gap")))
+        out.append(F.struct(F.lit(self.bins(c)).alias("bin"), F.lit(0.0).alias("gap")))
+        return F.array(*out)
+
+
+def _grid(base: DataFrame, spread: dict[str, float], n: int, dims: int, cell_rows: int) -> Grid:
+    """A grid over the ``dims`` columns that vary most, of about ``n / cell_rows`` cells."""
+    chosen = sorted((c for c in spread if spread[c]), key=lambda c: -spread[c])[:dims]
+    per = round((n / cell_rows) ** (1 / len(chosen))) if chosen else 1
+    if per < 2:
+        return Grid({})
+    cuts = base.agg(*[F.percentile_approx(c, [i / per for i in range(1, per)], 1000)
+                      for c in chosen]).first()
+    return Grid({c: sorted(set(qs)) for c, qs in zip(chosen, cuts)})
+
+
+def _met(visits: DataFrame, donors: DataFrame, cols: Sequence[str], k: int, receiver_block: int,
+         donor_block: int, report: dict | None) -> DataFrame:
+    """The nearest donors of the receivers in the cells that they visit (column ``_cell``)."""
+    sizes = (visits.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nr"))
+             .join(donors.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nd")), "_cell")
+             .select("_cell", F.ceil(F.col("_nr") / receiver_block).cast("long").alias("_blocks"),
+                     F.ceil(F.col("_nd") / donor_block).cast("long").alias("_parts"),
+                     (F.col("_nr") * F.col("_nd")).alias("_pairs")))
+    sizes = materialize(sizes, "knn-cells")  # one row per cell
+    groups, pairs = sizes.agg(F.sum(F.col("_blocks") * F.col("_parts")), F.sum("_pairs")).first()
+    if report is not None:
+        report["pairs"] = report.get("pairs", 0) + (pairs or 0)
+    zero, one = F.lit(0).cast("long"), F.lit(1)
+    r = (visits.join(sizes, "_cell").withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+         .withColumn("_dp", F.explode(F.sequence(zero, F.col("_parts") - one))))
+    d = (donors.join(sizes, "_cell")
+         .withColumn("_dp", F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_parts")))
+         .withColumn("_blk", F.explode(F.sequence(zero, F.col("_blocks") - one))))
+    cores = visits.sparkSession.sparkContext.defaultParallelism
+    return _meet(r, d, ["_cell", "_blk", "_dp"], cols, k, max(1, min(groups or 1, max(
+        2 * cores, (groups or 1) // 8))))
+
+
+def _pruned_neighbours(base: DataFrame, cols: Sequence[str], k: int, n_d: int,
+                       spread: dict[str, float], have: dict[str, int], receiver_block: int,
+                       donor_block: int, dims: int, cell_rows: int,
+                       report: dict | None) -> DataFrame:
+    """Candidates that hold the ``k`` nearest donors of every missing cell."""
+    grid = _grid(base, spread, n_d, dims, cell_rows)
+    bins = {c: grid.bin_of(c) for c in grid.cuts}
+    donors = materialize(base.withColumn("_cell", grid.cell(bins)), "knn-donors")
+    receivers = donors.where(_any_null(cols)).drop("_cell")
+    # a row's own cells: its bins, and every bin that holds values where it has none
+    own = receivers
+    for i, c in enumerate(grid.cuts):
+        own = own.withColumn(f"_b{i}", F.explode(F.when(
+            F.col(c).isNull(), F.sequence(F.lit(0), F.lit(grid.bins(c) - 1))).otherwise(
+            F.array(bins[c]))))
+    placed = {c: F.col(f"_b{i}") for i, c in enumerate(grid.cuts)}
+    first = materialize(_met(own.select("_id", *cols, grid.cell(placed).alias("_cell")), donors,
+                             cols, k, receiver_block, donor_block, report), "knn-first")
+    if not grid.cuts:
+        return first
+    w = Window.partitionBy("rid", "col_no").orderBy("d2", "donor")
+    kth = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k).groupBy(
+        F.col("rid").alias("_id")).agg(F.max("d2").alias("_bound"), F.count(F.lit(1)).alias("_got"))
+    # cells of a column without any donor have nothing to find
+    wanted = sum(F.col(c).isNull().cast("int") for c in cols if have[c])
+    seen = sum(F.col(c).isNotNull().cast("int") for c in cols)
+    # a distance is at least columns / present columns times the squared gaps; rounding is
+    # far below the margin
+    limit = F.when(F.col("_got") == wanted, F.col("_bound")).otherwise(F.lit(math.inf)) * (
+        seen / F.lit(float(len(cols)))) * (1 + 1e-9)
+    more = receivers.join(kth, "_id", "left").withColumn("_limit", limit).withColumn(
+        "_sum", F.lit(0.0)).withColumn("_seen", F.lit(True))
+    for i, c in enumerate(grid.cuts):
+        more = more.withColumn("_g", F.explode(F.filter(grid.gaps(c), lambda g: g["gap"] + F.col(
+            "_sum") <= F.col("_limit")))).withColumns({
+                f"_b{i}": F.col("_g.bin"), "_sum": F.col("_sum") + F.col("_g.gap"),
+                "_seen": F.col("_seen") & F.when(F.col(c).isNull(), F.col("_g.bin") < grid.bins(
+                    c)).otherwise(F.col("_g.bin") == bins[c])})
+    visits = more.where(~F.col("_seen")).select("_id", *cols, grid.cell(placed).alias("_cell"))
+    return first.unionByName(_met(materialize(visits, "knn-visits"), donors, cols, k,
+                                  receiver_block, donor_block, report))
+
+
 def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
               id_col: str = "event_id", receiver_block: int = 2048,
-              donor_block: int = 8192, block_cols: Sequence[str] | None = None) -> DataFrame:
+              donor_block: int = 8192, block_cols: Sequence[str] | None = None,
+              dims: int = 4, cell_rows: int = 512, report: dict | None = None) -> DataFrame:
     """Imputed value of every missing cell: (id, col_no, feature, value).
 
     Mean of the ``k`` nearest donors that have the column, by NaN-Euclidean
     distance over the columns present in both rows (scaled by
-    columns / present); a cell without any donor gets the column mean.
+    columns / present); a cell without any donor gets the column mean.  ``dims`` columns
+    span the pruning grid, of about one cell per ``cell_rows`` rows; they do not change the
+    result.  ``report`` is filled with ``pairs`` (compared) and ``all_pairs``.
 
     ``block_cols`` (e.g. ``["series_id"]``): impute each block as its own
     table — donors and the fallback mean come from the receiver's block.  The
     block/part counts are then sized per block (one row per block joined
     back), so a small block is one task and a hot block is split into
-    ``receiver_block`` x ``donor_block`` pieces like the whole table.
+    ``receiver_block`` x ``donor_block`` pieces, all pairs of which meet.
     """
     cols = list(cols)
     bc = list(block_cols or [])
     base = df.select(F.col(id_col).cast("long").alias("_id"), *[F.col(b) for b in bc],
                      *[F.col(c).cast("double").alias(c) for c in cols])
     receivers = base.where(_any_null(cols))
-    schema = f"{id_col} long, col_no int, feature string, value double"
     if bc:
         # one row per block: piece counts and the block's column means
         sizes = (base.groupBy(*bc).agg(
@@ -272,36 +405,24 @@ def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
                              .cast("long")))
         d0 = base.join(sizes, bc)
         r0 = d0.where(_any_null(cols))
-        nb, nd = F.col("_nb"), F.col("_nd")
+        r = (r0.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_nb")))
+               .withColumn("_dp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nd") - 1))))
+        d = (d0.withColumn("_dp", F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_nd")))
+               .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))))
+        partial = _meet(r, d, bc + ["_blk", "_dp"], cols, k,
+                        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     else:
         one = base.agg(F.count_if(_any_null(cols)), F.count(F.lit(1)),
-                       *[F.avg(c) for c in cols]).first()
-        n_r, n_d, means = one[0], one[1], one[2:]
+                       *[f(c) for c in cols for f in (F.avg, F.stddev_samp, F.count)]).first()
+        n_r, n_d, means = one[0], one[1], one[2::3]
         if n_r == 0:
-            return df.sparkSession.createDataFrame([], schema)
-        r0, d0 = receivers, base
-        nb = F.lit(max(1, math.ceil(n_r / receiver_block)))
-        nd = F.lit(max(1, math.ceil(n_d / donor_block)))
-    r = (r0.withColumn("_blk", F.pmod(F.xxhash64("_id"), nb))
-           .withColumn("_dp", F.explode(F.sequence(F.lit(0).cast("long"), nd - 1))))
-    d = (d0.withColumn("_dp", F.pmod(F.xxhash64("_id", F.lit(7)), nd))
-           .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), nb - 1))))
-    keys = bc + ["_blk", "_dp"]
-    # Both sides are hash partitioned on the same long keys into an explicit
-    # number of partitions: a (block, part) group is small in bytes but heavy
-    # in CPU, and a user-numbered repartition is not coalesced by AQE, so the
-    # groups stay spread over the cores instead of being packed into a few
-    # tasks.  Fresh aliases on the donor side keep the cogroup keys distinct
-    # attributes (both sides come from one table).
-    if bc:
-        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    else:
-        n_parts = 2 * max(1, math.ceil(n_r / receiver_block)) * max(1, math.ceil(n_d / donor_block))
-    r = r.select(*keys, "_id", *cols).repartition(n_parts, *keys)
-    d = d.select(*[F.col(x).alias(x) for x in keys + ["_id"] + cols]).repartition(n_parts, *keys)
-    partial = (r.groupBy(*keys)
-               .cogroup(d.groupBy(*keys))
-               .applyInPandas(_knn_partial_fn(cols, k), _PARTIAL_SCHEMA))
+            return df.sparkSession.createDataFrame(
+                [], f"{id_col} long, col_no int, feature string, value double")
+        if report is not None:
+            report["all_pairs"] = n_r * n_d
+        partial = _pruned_neighbours(
+            base, cols, k, n_d, dict(zip(cols, one[3::3])), dict(zip(cols, one[4::3])),
+            receiver_block, donor_block, dims, cell_rows, report)
     w = Window.partitionBy("rid", "col_no").orderBy("d2", "donor")
     top = partial.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     imp = top.groupBy("rid", "col_no").agg(F.avg("val").alias("imp"))
