@@ -159,25 +159,27 @@ def replay_window(obs: DataFrame, peaks: DataFrame, hours_before: int = 36,
                   peak_ts: str = "peak_ts", peak_id: str = "period_no") -> DataFrame:
     """Observations in [peak − 36 h, peak + 36 h) of each storm peak, with the hour index.
 
-    Interval join done as an equi-join on (series, hour bucket): each peak emits
-    its 73 covering hour buckets (bounded fan-out), each observation its own
-    bucket, and a residual range filter keeps the exact interval.  Output size
-    is proportional to the real matches, never to series size x peaks.
+    Time is cut into buckets as long as the window, so every window lies in two
+    neighbouring ones: a peak is two rows, an observation one, and an equi-join on (series,
+    bucket) with an exact range filter finds the pairs.  What is shuffled is the
+    observations and two rows per peak, whether windows overlap or not, and at most about
+    half of the joined pairs are filtered out again.
     """
     span = hours_before + hours_after
-    p = (peaks.select(F.col(series).alias("p_series"), F.col(peak_id).alias("p_id"),
-                      F.col(peak_ts).alias("p_ts"))
-              .withColumn("p_lo", F.col("p_ts") - F.make_interval(hours=F.lit(hours_before)))
-              .withColumn("hb", F.explode(F.sequence(
-                  F.floor(F.unix_micros(F.col("p_lo").cast("timestamp")) / F.lit(3_600_000_000)),
-                  F.floor(F.unix_micros(F.col("p_lo").cast("timestamp")) / F.lit(3_600_000_000))
-                  + F.lit(span)))))
-    o = obs.withColumn("hb", F.floor(F.unix_micros(F.col(ts).cast("timestamp"))
-                                     / F.lit(3_600_000_000)))
-    j = o.join(p, (o[series] == p["p_series"]) & (o["hb"] == p["hb"]))
-    diff_us = (F.unix_micros(F.col(ts).cast("timestamp"))
-               - F.unix_micros(F.col("p_lo").cast("timestamp")))
-    j = j.where((diff_us >= 0) & (diff_us < F.lit(span * 3_600_000_000)))
+    width = F.lit(span * 3_600_000_000)
+
+    def micros(c) -> Column:
+        return F.unix_micros(c.cast("timestamp"))
+    low = F.col("p_ts") - F.make_interval(hours=F.lit(hours_before))
+    p = peaks.select(F.col(series).alias("p_series"), F.col(peak_id).alias("p_id"),
+                     F.col(peak_ts).alias("p_ts")).withColumn("p_lo", micros(low))
+    first = F.floor(F.col("p_lo") / width)
+    p = p.withColumn("_bucket", F.explode(F.array(first, first + 1)))
+    o = obs.select(series, ts, *[c for c in (KP, SAT, GPS) if c in obs.columns],
+                   F.floor(micros(F.col(ts)) / width).alias("_bucket"))
+    j = o.join(p, (o[series] == p["p_series"]) & (o["_bucket"] == p["_bucket"]))
+    diff_us = micros(F.col(ts)) - F.col("p_lo")
+    j = j.where((diff_us >= 0) & (diff_us < width))
     return j.select(F.col("p_series").alias(series), F.col("p_id").alias(peak_id),
                     F.col("p_ts").alias(peak_ts), F.col(ts),
                     F.floor(diff_us / F.lit(3_600_000_000)).cast("int").alias("hour"),

@@ -54,32 +54,69 @@ def storm_days(df: DataFrame, kp: str = "kp_index", series: str | None = None) -
 
 
 def storm_periods(df: DataFrame, kp: str = "kp_index", series: str = SERIES,
-                  order: Sequence[str] = ORDER, layout=None) -> DataFrame:
+                  order: Sequence[str] = ORDER, pieces: int | None = None) -> DataFrame:
     """K4: contiguous stretches with Kp >= 5 (gaps and islands).
 
-    island id = row number in the series − row number among storm rows.  All
-    three numberings (rows, storm rows, periods) go through
-    :func:`helio.operators.windows.number_rows`, so a hot series is numbered
-    without a single-task window.  Output: series,
-    period_no, start/end time, rows, peak Kp and the time of the (first) peak.
+    Rows are range-partitioned on (series, order) and written once, so a hot series is many
+    *pieces*.  Stretches are found inside every piece of a series; a table with one row per
+    (series, piece) then says whether a stretch goes on from the piece before, and in which
+    piece it began, so that parts of one stretch get one key and are merged by a second
+    aggregate.  No window holds more than a piece, or a series' pieces.  Output: series,
+    period_no, start/end time, rows, peak Kp and the time of the (first) peak.  A row with
+    NULL Kp ends a stretch; a NULL series is a series of its own; rows that tie in ``order``
+    stand in some order.
     """
-    from helio.operators.windows import CHUNKED, number_rows
+    from helio.session import materialize
     base = df.select(series, *order, kp)
-    layout = layout or CHUNKED
-    src = number_rows(base, series, order, "rn", layout)
-    storm = number_rows(src.where(F.col(kp) >= F.lit(STORM_KP)), series, ["rn"], "srn", layout)
-    islands = storm.withColumn("island", F.col("rn") - F.col("srn"))
-    per = islands.groupBy(series, "island").agg(
-        F.min(F.col(order[0])).alias("start_ts"),
-        F.max(F.col(order[0])).alias("end_ts"),
-        F.count(F.lit(1)).alias("rows"),
-        F.max(kp).alias("peak_kp"),
-        F.min_by(F.col(order[0]), F.struct(-F.col(kp), F.col("rn"))).alias("peak_ts"),
-        F.min("rn").alias("start_rn"),
-    )
-    per = number_rows(per, series, ["start_rn"], "period_no", layout)
-    return per.select(series, F.col("period_no").cast("int").alias("period_no"), "start_ts",
-                      "end_ts", "rows", "peak_kp", "peak_ts")
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(base.repartitionByRange(n, series, *order).withColumn(
+        "_piece", F.spark_partition_id()), "storm-pieces")
+    time = F.col(order[0])
+    w = Window.partitionBy(series, "_piece").orderBy(*order)
+    storm = F.coalesce(F.col(kp) >= F.lit(STORM_KP), F.lit(False))
+    rows = placed.withColumn("_storm", storm).withColumn(
+        "_begins", F.col("_storm") & ~F.coalesce(F.lag("_storm").over(w), F.lit(False))).withColumns({
+            "_island": F.sum(F.col("_begins").cast("int")).over(w),
+            "_first": F.row_number().over(w) == 1})
+
+    by_piece = Window.partitionBy(series).orderBy("_piece")
+    seen = rows.groupBy(series, "_piece").agg(
+        F.max("_island").alias("_n"), F.min("_storm").alias("_all"),
+        F.max_by("_storm", F.struct(*order)).alias("_ends"),
+        F.max(F.col("_first") & F.col("_storm")).alias("_head"))
+    seen = seen.withColumn("_on", F.col("_head") & F.coalesce(
+        F.lag("_ends").over(by_piece), F.lit(False)))
+    # the piece in which the stretch at a piece's end began
+    tail = F.last(F.when(~(F.col("_all") & F.col("_on")), F.col("_piece")),
+                  ignorenulls=True).over(by_piece)
+    seen = seen.withColumn("_tail", tail).withColumns({
+        "_from": F.lag("_tail").over(by_piece),
+        "_before": F.coalesce(F.sum(F.col("_n") - F.col("_on").cast("int")).over(
+            by_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    seen = seen.select(F.col(series).alias("_s"), F.col("_piece").alias("_p"), "_on", "_from",
+                       "_before")
+
+    parts = rows.where("_storm").groupBy(series, "_piece", "_island").agg(
+        F.min(time).alias("start_ts"), F.max(time).alias("end_ts"),
+        F.count(F.lit(1)).alias("rows"), F.max(kp).alias("peak_kp"),
+        F.min_by(F.struct(time.alias("t")), F.struct(-F.col(kp), *order)).alias("_at"))
+    goes_on = F.col("_on") & (F.col("_island") == 1)
+    parts = parts.join(seen, parts[series].eqNullSafe(seen["_s"]) & (
+        F.col("_piece") == F.col("_p"))).withColumns({
+            "_no": F.when(~goes_on, F.col("_before") + F.col("_island") - F.col("_on").cast("int")),
+            "_start": F.when(goes_on, F.col("_from")).otherwise(F.col("_piece"))})
+    # a stretch that goes on carries on the last number given in the piece where it began
+    last = seen.select(F.col("_s").alias("_s2"), F.col("_p").alias("_p2"),
+                       F.lead("_before").over(Window.partitionBy("_s").orderBy("_p")).alias(
+                           "_last"))
+    going = parts.join(last, parts[series].eqNullSafe(last["_s2"]) & (
+        F.col("_start") == F.col("_p2")), "left")
+    number = F.coalesce("_no", "_last").cast("int")
+    return going.groupBy(series, number.alias("period_no")).agg(
+        F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"),
+        F.sum("rows").alias("rows"), F.max("peak_kp").alias("peak_kp"),
+        F.min_by("_at", F.struct(-F.col("peak_kp"), F.col("_at.t"))).alias("_at")).select(
+        series, "period_no", "start_ts", "end_ts", "rows", "peak_kp", F.col("_at.t").alias("peak_ts"))
 
 
 def dst_severe(df: DataFrame, dst: str = "dst_index") -> DataFrame:
