@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helio.operators import alerts, risk, select
-from helio.plans.q_alerts import HITS_CTES
+from helio.plans.q_alerts import HITS_CTES, SEVERITY_OF_LEVEL_CASE
 from helio.plans.registry import register, round_sql, sql_str, with_obs
 from helio.schema import (FULL_OBSERVATION_SCHEMA, ISS_ALTITUDE_KM, ISS_FALLBACK, ISS_NAME,
                           RISK_ZONES)
 from helio.session import scratch_path
 from helio.sources import feeds as S
-from helio.sources.observations import observations, scan_observations, sink_observations
+from helio.sources.observations import (observations, scan_observations,
+                                        scan_with_quarantine, sink_observations)
 
 FEED = "'station-' || cast(series_id as varchar)"
 TAG = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -80,13 +82,25 @@ def q_feed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.feed_alerts(S.read_feed(spark, path, S.ALERT_FEED_SCHEMA))
 
 
+_POLL = """select *, row_number() over (partition by feed order by time_tag desc) as pos
+      from (select feed, time_tag, case when event_id % 997 = 5 then 'n/a'
+                   when event_id % 17 <> 0 then cast(kp_index as varchar) end as given
+            from (select *, {feed} as feed, {tag} as time_tag from obs) o) f""".format(
+    feed=FEED, tag=TAG)
+
+
 @register("feed_kp_last60", with_obs(
-    """select feed, pos, strptime(time_tag, '%Y-%m-%dT%H:%M:%S.%f') as timestamp,
-  try_cast(kp_index as double) as kp_index
-from (select *, row_number() over (partition by feed order by time_tag desc) as pos from kpf) r
-where pos <= 60 and try_cast(kp_index as double) is not null""", KP_FEED_CTE))
+    f"""select feed, pos, strptime(time_tag, '%Y-%m-%dT%H:%M:%S.%f') as timestamp,
+  cast(coalesce(given, '0') as double) as kp_index
+from (select *, bool_and(try_cast(coalesce(given, '0') as double) is not null)
+               over (partition by feed) as holds
+      from ({_POLL}) r where pos <= 60) p where holds"""))
 def q_feed_kp_last60(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = S.land(S.kp_records(observations(spark, sf_dir)), spark, "feed-kp60")
+    """Polls of 60 records; some hold a value that cannot be read, which voids them."""
+    obs = observations(spark, sf_dir)
+    records = S.kp_records(obs.withColumn("kp_index", F.when(
+        F.col("event_id") % 997 == 5, "n/a").otherwise(F.col("kp_index").cast("string"))))
+    path = S.land(records, spark, "feed-kp60")
     return S.feed_kp_last60(S.read_feed(spark, path, S.KP_FEED_SCHEMA), 60, "kp_index")
 
 
@@ -123,33 +137,77 @@ def q_tracked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- S7 -------------------------------------------------------------------------------
 
+_LINES = "\n      union all ".join(
+    f"select series_id, {i} as line, {sql_str(label)} as metric, " + (
+        column if column in ("flare_class", "overall_severity") else "cast(" + round_sql(
+            column if places is None else round_sql(column, places), 3) + " as varchar)")
+    + " as value from lo" for i, (label, column, places) in enumerate(S.REPORT_LINES))
+
+
 @register("report_rows", with_obs(
-    f"""select series_id, 'PREDICTIONS' as section, line, null as level, metric,
-  cast({round_sql('value', 3)} as varchar) as value, null as threshold, null as message
-from (select series_id, 0 as line, 'kp_index' as metric, kp_index as value from lo
-      union all select series_id, 1, 'satellite_disruption_risk', satellite_disruption_risk from lo
-      union all select series_id, 2, 'gps_blackout_prob', gps_blackout_prob from lo
-      union all select series_id, 3, 'solar_wind_speed', solar_wind_speed from lo
-      union all select series_id, 4, 'flare_intensity', flare_intensity from lo
-      union all select series_id, 5, 'composite_risk', composite_risk from lo) p
+    f"""select series_id, 'PREDICTIONS' as section, line, null as level, metric, value,
+  null as threshold, null as message
+from ({_LINES}) p
 union all
 select h.series_id, 'ACTIVE ALERTS', 100 + row_number() over (partition by h.event_id
          order by h.level_rank desc, h.metric_no), h.level, h.metric, cast(h.value as varchar),
        cast(h.threshold as varchar), h.message
 from hits h join lo on h.event_id = lo.event_id""",
     HITS_CTES + """,
-lo as (select *, case when raw is null then null else greatest(0e0, least(100e0, raw)) end as composite_risk
+lo as (select x.*, case when raw is null then null else greatest(0e0, least(100e0, raw)) end as composite_risk,
+              """ + SEVERITY_OF_LEVEL_CASE + """ as overall_severity
        from (select *, row_number() over (partition by series_id order by timestamp desc, event_id desc) as pick,
                     0e0 + 0.30 * (kp_index / 9e0 * 100e0) + 0.25 * satellite_disruption_risk
                     + 0.20 * gps_blackout_prob + 0.15 * ((solar_wind_speed - 280e0) / 620e0 * 100e0)
-                    + 0.10 * (flare_intensity / 5e0 * 100e0) as raw from obs) x where pick = 1)"""))
+                    + 0.10 * (flare_intensity / 5e0 * 100e0) as raw from obs) x
+       left join (select event_id, max(level_rank) as top_level_rank from hits group by event_id) g
+         on g.event_id = x.event_id
+       where pick = 1)"""))
 def q_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per series, the latest observation's report; also written as a partitioned CSV."""
+    """Per series, the latest observation's report, written as CSV and read back."""
     latest = select.latest_observation(observations(spark, sf_dir)) \
         .withColumn("composite_risk", risk.composite_risk_expr())
-    rows = S.report_rows(latest, alerts.threshold_alerts(latest),
-                         metrics=["kp_index", "satellite_disruption_risk", "gps_blackout_prob",
-                                  "solar_wind_speed", "flare_intensity", "composite_risk"])
+    latest = alerts.with_overall_severity(latest)
     out = scratch_path(spark, "report-csv")
-    S.write_report(rows, out)
-    return rows.withColumn("line", F.col("line").cast("long"))
+    S.write_report(S.report_rows(latest, alerts.threshold_alerts(latest)), out)
+    return S.read_report(spark, out)
+
+
+# -- S1, damaged input ---------------------------------------------------------------------
+
+_DAMAGE = {7: "too few fields", 11: "no number"}
+
+
+@register("quarantine_observations", with_obs(
+    f"""select case when event_id % 50 in ({", ".join(map(str, _DAMAGE))}) then 'quarantine'
+         else 'table' end as kept_in, count(*) as rows, sum(event_id) as id_sum,
+  sum(case when event_id % 50 in ({", ".join(map(str, _DAMAGE))}) then 0 else 1
+      end * cast(kp_index is not null as integer)) as kp_values,
+  count(distinct case when event_id % 50 in ({", ".join(map(str, _DAMAGE))})
+        then event_id end) as records
+from obs group by 1"""))
+def q_quarantine_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th row's line is cut off, another 50th holds a word for a number; the scan
+    keeps the other rows as they are and the damaged lines as text."""
+    names = ["event_id", *[n for n in FULL_OBSERVATION_SCHEMA.fieldNames() if n != "event_id"]]
+    obs = observations(spark, sf_dir).select(*names)
+    short, wordy = _DAMAGE
+    at = F.col("event_id") % 50
+    # text as a writer would leave it: the id, and fields that need no quotes
+    fields = [F.coalesce(F.when((at == wordy) & F.lit(n == "kp_index"), "oops").otherwise(
+        F.col(n).cast("string")), F.lit("")) for n in names]
+    line = F.when(at == short, F.concat_ws(",", *fields[:5])).otherwise(F.concat_ws(",", *fields))
+    path = scratch_path(spark, "observations-damaged")
+    obs.select(line.alias("value")).write.text(path)
+    schema = T.StructType([FULL_OBSERVATION_SCHEMA[n] for n in names])
+    good, bad = scan_with_quarantine(spark, path, schema, header=False,
+                                     time_format="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    ids = bad.select(F.split_part("record", F.lit(","), F.lit(1)).cast("long").alias("event_id"),
+                     "record")
+    every = good.select(F.lit("table").alias("kept_in"), "event_id", "kp_index",
+                        F.lit(None).cast("string").alias("record")).unionByName(
+        ids.select(F.lit("quarantine").alias("kept_in"), "event_id",
+                   F.lit(None).cast("double").alias("kp_index"), "record"))
+    return every.groupBy("kept_in").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("id_sum"),
+        F.count("kp_index").alias("kp_values"), F.countDistinct("record").alias("records"))

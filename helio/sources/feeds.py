@@ -161,37 +161,77 @@ def feed_alerts(feed: DataFrame, n: int = 5) -> DataFrame:
 
 def feed_kp_last60(feed: DataFrame, n: int = 60, value_col: str = "kp",
                    strict: bool = False) -> DataFrame:
-    """Last ``n`` records of each feed as (timestamp, kp) with incomplete rows dropped.
-
-    ``strict=True`` keeps the reference's all-or-nothing rule: one unparsable
-    value fails the whole read (ANSI cast) instead of giving NULL.  Bounded
-    per feed: ``row_number() <= n`` is planned with a partial group limit.
+    """The last ``n`` records of each feed (its poll) as (feed, pos, timestamp, kp_index).
+
+    A poll is all or nothing: one value or time that cannot be read voids it, and the feed
+    has no rows then.  An absent value is 0; a record without a time, or whose value is
+    not a number by name (NaN), is left out of a poll that holds.  (An explicit null reads
+    like an absent value here.)  ``strict=True`` fails the job instead of voiding a poll.
+    Bounded per feed: ``row_number() <= n`` is planned with a partial group limit, and the
+    poll's verdict is taken over the same at most ``n`` rows.  Records of one time stand in
+    some order.
     """
     from pyspark.sql import Window
     w = Window.partitionBy("feed").orderBy(F.col("time_tag").desc())
     recent = feed.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+    given = F.coalesce(F.col(value_col).cast("string"), F.lit("0"))
+    if strict:
+        recent = recent.withColumn("_given", given)
+        return recent.select(
+            "feed", "pos", F.to_timestamp("time_tag", F.lit(TIME_TAG_FORMAT)).cast("timestamp_ntz")
+            .alias("timestamp"), strict_float("_given").alias("kp_index")).where(
+            ~F.isnan("kp_index")).dropna()
     ts = F.try_to_timestamp(F.col("time_tag"), F.lit(TIME_TAG_FORMAT)).cast("timestamp_ntz")
-    val = strict_float(value_col) if strict else F.col(value_col).try_cast("double")
-    return recent.select("feed", "pos", ts.alias("timestamp"), val.alias("kp_index")).dropna()
+    read = recent.select("feed", "pos", "time_tag", ts.alias("timestamp"),
+                         given.try_cast("double").alias("kp_index"))
+    fits = F.col("kp_index").isNotNull() & (F.col("time_tag").isNull()
+                                            | F.col("timestamp").isNotNull())
+    return read.withColumn("_holds", F.min(fits).over(Window.partitionBy("feed"))).where(
+        F.col("_holds") & F.col("timestamp").isNotNull() & ~F.isnan("kp_index")).select(
+        "feed", "pos", "timestamp", "kp_index")
 
 
 # -- S7 report sink --------------------------------------------------------------
 
-REPORT_METRICS = ["kp_index", "satellite_disruption_risk", "gps_blackout_prob",
-                  "solar_wind_speed", "flare_intensity", "composite_risk", "mission_score",
-                  "failure_score", "storm_probability"]
+#: Lines of a report: label, column, and decimals of the value before the report's own 3
+#: (None: text, or as it is).  Fixed values.
+REPORT_LINES = [
+    ("Kp Index", "kp_index", None),
+    ("Sunspot Number", "sunspot_number", None),
+    ("Solar Wind Speed (km/s)", "solar_wind_speed", None),
+    ("IMF Bz (nT)", "imf_bz", None),
+    ("Satellite Disruption Risk", "satellite_disruption_risk", None),
+    ("GPS Blackout Probability", "gps_blackout_prob", None),
+    ("Composite Risk Score", "composite_risk", 2),
+    ("Overall Severity", "overall_severity", None),
+    ("Flare Class", "flare_class", None),
+]
+REPORT_SCHEMA = ("section string, line long, level string, metric string, value string, "
+                 "threshold string, message string")
 
 
 def report_rows(predictions: DataFrame, alerts: DataFrame, key: str = SERIES,
-                metrics: Sequence[str] = REPORT_METRICS) -> DataFrame:
-    """The report as rows — PREDICTIONS (metric, value rounded to 3) then
-    ALERTS (level, metric, value, threshold, message), per ``key``."""
-    pm = [m for m in metrics if m in predictions.columns]
+                lines: Sequence[tuple] = REPORT_LINES) -> DataFrame:
+    """The report as rows — PREDICTIONS (metric, value) in the order of ``lines``, then
+    ALERTS (level, metric, value, threshold, message), per ``key``.
+
+    Numbers are rounded to 3 decimals, texts are kept as they are; a missing value is a
+    line with NULL.  Every column that ``lines`` names must be there.
+    """
+    kinds = dict(predictions.dtypes)
+
+    def value(column: str, places: int | None):
+        if kinds[column] == "string":
+            return F.col(column)
+        number = F.col(column).cast("double")
+        number = number if places is None else F.round(number, places)
+        return F.round(number, 3).cast("string")
     pred = predictions.select(key, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("line"), F.lit(m).alias("metric"),
-                 F.round(F.col(m).cast("double"), 3).cast("string").alias("value"))
-        for i, m in enumerate(pm)]))).withColumn("section", F.lit("PREDICTIONS"))
-    al = alerts.select(key, (F.lit(100) + F.col("alert_rank")).alias("line"), "metric",
+        F.struct(F.lit(i).cast("long").alias("line"), F.lit(label).alias("metric"),
+                 value(column, places).alias("value"))
+        for i, (label, column, places) in enumerate(lines)]))).withColumn(
+        "section", F.lit("PREDICTIONS"))
+    al = alerts.select(key, (F.lit(100) + F.col("alert_rank")).cast("long").alias("line"), "metric",
                        F.col("value").cast("string").alias("value"), "level",
                        F.col("threshold").cast("string").alias("threshold"), "message") \
                .withColumn("section", F.lit("ACTIVE ALERTS"))
@@ -200,5 +240,12 @@ def report_rows(predictions: DataFrame, alerts: DataFrame, key: str = SERIES,
 
 
 def write_report(rows: DataFrame, path: str, key: str = SERIES) -> None:
-    """Partitioned CSV report sink (one folder per key)."""
-    rows.write.mode("overwrite").partitionBy(key).option("header", True).csv(path)
+    """CSV report sink: the lines of a key stand together, in order, in files as large as
+    the partitions (not a folder per key)."""
+    rows.repartitionByRange(key, "line").sortWithinPartitions(key, "line").write.mode(
+        "overwrite").option("header", True).csv(path)
+
+
+def read_report(spark: SparkSession, path: str, key: str = SERIES,
+                key_type: str = "long") -> DataFrame:
+    return spark.read.schema(f"{key} {key_type}, {REPORT_SCHEMA}").option("header", True).csv(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helio.schema import FLOAT_COLUMNS, OBSERVATION_SCHEMA, TIME
 
@@ -92,6 +93,31 @@ def scan_observations(spark: SparkSession, path: str, fmt: str = "csv",
     return nan_to_null(df)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def scan_with_quarantine(spark: SparkSession, path: str, schema=OBSERVATION_SCHEMA,
+                         header: bool = True, time_format: str = CSV_TIME_FORMAT):
+    """S1 for input that may be damaged: (good rows, quarantined lines) of a CSV table.
+
+    A line that does not fit the schema (a field that cannot be read as its type, too few or
+    too many fields) is not half a row of NULLs in the table but a row (file, record) of the
+    quarantine, with its text as it stands.  An empty field is NULL and no damage.  The
+    lines are parsed once, with all columns, and both parts read the written result.
+    """
+    from helio.session import materialize
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    lines = materialize(
+        spark.read.schema(full).option("header", header)
+        .option("timestampNTZFormat", time_format).option("nanValue", "NaN")
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path).withColumn("_file", F.input_file_name()), "scanned")
+    good = nan_to_null(lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file"))
+    bad = lines.where(F.col(CORRUPT).isNotNull()).select(
+        F.col("_file").alias("file"), F.col(CORRUPT).alias("record"))
+    return good, bad
+
+
 def sink_observations(df: DataFrame, path: str, fmt: str = "csv",
                       partition_by: list[str] | None = None) -> None:
     """Write the full table (CSV with header, or Parquet), one task per partition."""

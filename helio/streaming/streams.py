@@ -3,13 +3,17 @@
 * T1 ``stream_feed``: file-source stream with an explicit schema, cleaned with P7.
 * T2 ``stream_dedup``: polls are full snapshots, so consecutive files repeat
   records; ``dropDuplicatesWithinWatermark`` keeps the first copy of each
-  (feed, time) and the watermark bounds the dedup state.
+  (feed, time).  The state is carried from trigger to trigger and over restarts, and the
+  watermark evicts it; a record that arrives after the watermark has passed it is
+  dropped.
 * T3 ``stream_alerts``: threshold alerts per record.  The thresholds compile to
   CASE expressions, so this is a stateless projection (append mode) — no
   stream–static join and no state store.
 * T4 ``stream_risk``: composite / mission / failure scores and labels (stateless).
 * T5 ``stream_latest``: newest reading per feed, ``max_by`` in a grouped
-  aggregation (update mode; state is one row per feed).
+  aggregation (update mode; state is one row per feed).  Its sink is a keyed table: every
+  epoch writes a new version with the changed keys replaced, Spark's commit marker makes
+  the version the table at one instant, and older versions are removed.
 
 Every query writes through a checkpoint location in the shared checkpoint
 folder, so a restarted query resumes exactly where it stopped.
@@ -84,24 +88,71 @@ def stream_latest(clean: DataFrame) -> DataFrame:
 
 
 def run_to_table(query_df: DataFrame, spark: SparkSession, name: str,
-                 mode: str = "append") -> str:
+                 mode: str = "append", key: str = "feed", out: str | None = None) -> str:
     """Run a streaming DataFrame until the landed input is consumed
-    (``availableNow``) into a Parquet table (append) or via ``foreachBatch``
-    (update/complete), and return the table path.  Checkpoints live in the
-    shared checkpoint folder."""
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    (``availableNow``) into a Parquet table (append) or a keyed table (update: one
+    row per ``key``, see :func:`keyed_table`), and return the table's path.
+
+    ``out`` (a path returned before) carries on a run: the checkpoint beside it says
+    what has been consumed, and the state and the table go on from there.
+    """
+    out = out or scratch_path(spark, f"{name}-out")
+    writer = query_df.writeStream.option("checkpointLocation", f"{out}-ckpt").outputMode(mode)
     if mode == "append":
-        q = (query_df.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", ckpt).outputMode("append")
-             .trigger(availableNow=True).start())
+        writer = writer.format("parquet").option("path", out)
     else:
-        def upsert(batch: DataFrame, epoch: int) -> None:
-            # update mode: each micro-batch carries the changed groups, in a folder of
-            # its own (a retried epoch replaces it); the newest epoch per group wins.
-            batch.write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
-        q = (query_df.writeStream.foreachBatch(upsert)
-             .option("checkpointLocation", ckpt).outputMode(mode)
-             .trigger(availableNow=True).start())
+        writer = writer.foreachBatch(lambda batch, epoch: upsert(batch, epoch, out, key))
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     return out
+
+
+# -- keyed tables --------------------------------------------------------------------
+
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Committed versions of a keyed table: number -> folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return {}
+    out = {}
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("version=") and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            out[int(name.split("=")[1])] = str(status.getPath())
+    return out
+
+
+def upsert(batch: DataFrame, epoch: int, path: str, key: str = "feed") -> None:
+    """Write version ``epoch`` of a keyed table: the version before it, with the rows of the
+    batch's keys replaced.
+
+    The writer's ``_SUCCESS`` file is its commit: readers see the old version until it is
+    there, and the whole new one after.  A retried epoch starts from the version before
+    it again and gives the same table.  One version is kept besides the newest, for
+    readers that are under way and for the retry.
+    """
+    spark = batch.sparkSession
+    found = _versions(spark, path)
+    before = max((v for v in found if v < epoch), default=None)
+    rows = batch
+    if before is not None:
+        old = spark.read.parquet(found[before])
+        rows = old.join(batch.select(F.col(key).alias("_key")).distinct(),
+                        old[key].eqNullSafe(F.col("_key")), "left_anti").unionByName(batch)
+    rows.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+    conf = spark._jsc.hadoopConfiguration()
+    for number, folder in found.items():
+        if before is not None and number < before:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def keyed_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed version of a keyed table: one row per key."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(found[max(found)])
