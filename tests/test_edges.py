@@ -193,8 +193,15 @@ def _rows(df, cols):
                   for r in df.select(cols).collect())
 
 
-def test_the_layout_does_not_depend_on_the_data():
+def test_the_keyed_window_is_used_only_where_every_series_fits_a_chunk(obs):
+    longest = max(r["count"] for r in obs.groupBy("series_id").count().collect())
     assert windows.Layout().mode == windows.CHUNKED.mode == "chunked"
+    fits, too_long = (windows.Layout(chunk_rows=longest - i) for i in (0, 1))
+    assert windows.measured(obs, "series_id", fits) == windows.KEYED
+    assert windows.measured(obs, "series_id", too_long) == too_long
+    assert windows.measured(obs, None, fits) == fits  # one series without a key stays cut
+    unread = windows.Layout(measure=False)
+    assert windows.measured(obs, "series_id", unread) == unread
 
 
 def test_split_takes_the_number_of_pairs_from_the_numbering(spark, obs):
@@ -209,8 +216,8 @@ def test_split_takes_the_number_of_pairs_from_the_numbering(spark, obs):
 
 def test_storm_periods_chunked_equals_keyed(spark, obs):
     cols = ["series_id", "period_no", "start_ts", "end_ts", "rows", "peak_kp", "peak_ts"]
-    a = select.storm_periods(obs, layout=windows.KEYED)
-    b = select.storm_periods(obs, layout=windows.Layout("chunked", chunk_rows=16))
+    a = select.storm_periods(obs, pieces=1)
+    b = select.storm_periods(obs, pieces=40)
     assert _rows(a, cols) == _rows(b, cols)
 
 
@@ -267,15 +274,6 @@ def test_overlapping_polls_dedup(spark, tmp_path):
     assert got.select("time_tag").distinct().count() == 70
 
 
-def test_kp_last60_strict_voids_batch(spark):
-    from helio.sources import feeds as S
-    rows = [("station-1", f"2024-01-01T00:{m:02d}:00.000000", None, "2P") for m in range(5)]
-    feed = spark.createDataFrame(rows, S.KP_FEED_SCHEMA)
-    assert S.feed_kp_last60(feed, 60, "kp").count() == 0        # unparsable -> dropped
-    with pytest.raises(Exception):
-        S.feed_kp_last60(feed, 60, "kp", strict=True).collect()  # one bad value fails all
-
-
 def test_cluster_conf_sizes_partitions():
     from helio.session import cluster_conf
     conf = cluster_conf(100 * (1 << 40), cores=8000)
@@ -427,13 +425,14 @@ SMALL = {"Random Forest": {"numTrees": 5, "maxDepth": 4},
 
 @pytest.fixture(scope="module")
 def trained(spark):
-    return ml.train_models(_line(spark), ["a", "b", "y"], "y", SMALL)
+    (run,) = ml.train_models(_line(spark), ["a", "b", "y"], ["y"], SMALL)
+    return run
 
 
 def test_linear_and_ridge_equal_the_closed_form(spark, trained):
     import numpy as np
-    _, _, fitted, feats = trained
-    assert feats == ["a", "b"]
+    fitted = trained.models
+    assert trained.features == ["a", "b"]
     train, _, _ = ml.split_vectors(_line(spark), ["a", "b"], "y")
     rows = train.collect()
     x = np.array([r["features"].toArray() for r in rows])
@@ -447,7 +446,7 @@ def test_linear_and_ridge_equal_the_closed_form(spark, trained):
 
 
 def test_every_model_predicts_every_test_row(spark, trained):
-    scores, preds, fitted, _ = trained
+    scores, preds, fitted = trained.scores, trained.predictions, trained.models
     _, test, _ = ml.split_vectors(_line(spark), ["a", "b"], "y")
     n = test.count()
     got = {r["model"]: r["n"] for r in preds.groupBy("model").agg(F.count("yhat").alias("n")).collect()}
@@ -458,7 +457,7 @@ def test_every_model_predicts_every_test_row(spark, trained):
 
 
 def test_importances_sum_to_one_and_are_ranked(spark, trained):
-    top = ml.feature_importance_top(trained[2]["Random Forest"], ["a", "b"], spark, 20).collect()
+    top = ml.feature_importance_top(trained.models["Random Forest"], ["a", "b"], spark, 20).collect()
     assert abs(sum(r["importance"] for r in top) - 1.0) < 1e-9
     assert top[0]["importance"] >= top[1]["importance"]
 
@@ -467,14 +466,30 @@ def test_model_store_reloads_the_best_model(spark, trained, tmp_path):
     _, test, _ = ml.split_vectors(_line(spark), ["a", "b"], "y")
     base = f"file://{tmp_path}/models"
     for best in ("Linear Regression", "Random Forest", "Gradient Boosting"):
-        ml.save_models(trained[2], "y", best, base)
+        ml.save_models(trained.models, "y", best, base)
         again = ml.load_best_model(spark, base, "y", best)
-        both = ml.predictions({"saved": trained[2][best], "reloaded": again}, test, "y")
+        both = ml.predictions({"saved": trained.models[best], "reloaded": again}, test, "y")
         assert both.groupBy("event_id").agg(F.countDistinct("yhat").alias("n")).where("n > 1").count() == 0
     with pytest.raises(FileNotFoundError):
         ml.load_best_model(spark, base, "absent", "Random Forest")
 
 
+def test_fits_of_several_targets_share_a_pool(spark):
+    """Two targets, rows in several partitions: the same models as one by one."""
+    df = _line(spark).withColumn("z", F.col("a") - F.col("b"))
+    both = ml.train_models(df, ["a", "b", "y", "z"], ["y", "z"], SMALL, rows_per_partition=50,
+                           models=["Random Forest", "Ridge Regression"])
+    assert [r.target for r in both] == ["y", "z"]
+    for run in both:
+        assert list(run.models) == ["Ridge Regression", "Random Forest"]
+        assert run.features == [c for c in ("a", "b", "y", "z") if c != run.target]
+        (alone,) = ml.train_models(df, ["a", "b", "y", "z"], [run.target], SMALL,
+                                   rows_per_partition=50, models=["Ridge Regression"])
+        a, b = (r.models["Ridge Regression"].coefficients.toArray() for r in (run, alone))
+        assert a == pytest.approx(b)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0  # nothing stays cached
+
+
 def test_the_registered_models_are_full_size():
     from helio.plans import q_ml
     assert not hasattr(q_ml, "CHECK_PARAMS")
@@ -519,15 +534,3 @@ def test_targets_may_keep_their_units(spark, obs):
     p = prepare_features(obs, impute=False, scale_target=False)
     assert "kp_index" in p.features and "kp_index" not in p.scaler
     assert p.frame.agg(F.max("kp_index")).first()[0] == p.unscaled.agg(F.max("kp_index")).first()[0]
-
-
-def test_a_retried_epoch_replaces_its_rows(spark, tmp_path):
-    from helio.streaming import streams
-    spark.createDataFrame([("f", "t1", "1.5"), ("f", "t2", "2.5")],
-                          "feed string, time_tag string, kp_index string") \
-        .repartition(2).write.json(f"{tmp_path}/in")
-    src = spark.readStream.schema("feed string, time_tag string, kp_value string, kp_index string") \
-        .option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
-    out = streams.run_to_table(streams.stream_latest(src), spark, "epochs", mode="update")
-    rows = spark.read.parquet(out)
-    assert "_epoch" in rows.columns and rows.agg(F.max("time_tag")).first()[0] == "t2"
