@@ -9,8 +9,11 @@ importance weight is the sum of the log ratios target : raw of all its n-grams.
 Documents are then sampled without replacement by Gumbel top-k: the k largest of log
 weight + Gumbel noise.  Noise is a hash of seed, id and text, so reruns agree.
 
-k is a parameter.  ``expected_size`` gives the number of documents that the two models
-expect to be like the target: the sum of min(1, weight) over all documents.
+k is a parameter.  ``expected_size`` estimates it as the number of documents that may be
+like the target: the sum of min(1, weight times e^``doubt``) over all documents.  The
+n-grams of a text are not independent, and its own words may be missing from the target's
+sample, so a short good text can have a weight below 1; ``doubt`` (in nats) says how much
+evidence against a document counts for nothing.  (A text of junk has hundreds.)
 
 Defined results: null and empty texts have no n-grams, weight 1 (log 0) and are sampled
 like other undecided texts; a null id hashes like an id of its own; repeated rows get the
@@ -36,6 +39,7 @@ from helio.llm.textscan import byte_values, mix64, separators, text_slices, utf8
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 14
+DOUBT = 10.0
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -145,9 +149,9 @@ def gumbel(seed: int):
     return -F.log(-F.log(u))
 
 
-def expected_size(scored: DataFrame) -> int:
-    """The number of documents like the target: the sum of min(1, weight)."""
-    like = F.exp(F.least(F.col("log_weight"), F.lit(0.0)))
+def expected_size(scored: DataFrame, doubt: float = DOUBT) -> int:
+    """The number of documents that may be like the target (see the module's text)."""
+    like = F.exp(F.least(F.col("log_weight") + F.lit(doubt), F.lit(0.0)))
     return round(scored.agg(F.sum(like)).first()[0] or 0)
 
 
