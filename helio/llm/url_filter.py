@@ -12,7 +12,9 @@ seeds and open ones, chosen by hash (documented bound) and weighted to the share
 kind; the statistics cover all.  Everything runs in DataFrame functions.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, meets
-no rule and is judged by the trees; repeated rows get the same verdict; if the labelled
+no rule and is judged by the trees; a very long URL has large features and nothing
+else; repeated rows get the same verdict; rows that tie in the sample's hash order are
+equal rows; if the labelled
 URLs are all of one kind, so are the other verdicts; an empty table gives an empty
 result; other columns are not read.
 """
@@ -23,7 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helio.llm.stages import written
@@ -160,16 +162,24 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]],
         with_stats = (with_stats.join(stats, F.col(key) == F.col(f"_{key}"), "left")
                       .fillna({f"{key}_rate": prior, f"{key}_n": 0.0}).drop(f"_{key}"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    order = Window.partitionBy("kind").orderBy("_order")
-    some = written(with_stats.select(
+    most = max(1, sample // 4)
+    scored = with_stats.select(
         "kind", F.xxhash64("url", "page_id").alias("_order"),
-        F.pmod(F.xxhash64("host"), F.lit(2)).alias("fold"), *FEATURES).withColumn(
-        "_rank", F.row_number().over(order)).filter(
-        F.col("_rank") <= max(1, sample // 4)).drop("_rank", "_order"), "labelled-urls")
-    taken = {k: min(c, max(1, sample // 4)) for k, c in n.items()}
+        F.pmod(F.xxhash64("host"), F.lit(2)).alias("fold"), *FEATURES)
+    # the share of the hash's range that holds about twice as many as are wanted, of which
+    # the first are taken: no task sees more than that of a kind
+    place = F.pmod(F.col("_order"), F.lit(1 << 40)) / (1 << 40)
+    some = None
+    for kind, count in sorted(n.items()):
+        part = scored.filter((F.col("kind") == kind) & (place < 2 * most / count + 1e-4)).orderBy(
+            place, "_order").limit(most)
+        some = part if some is None else some.unionByName(part)
+    some = written(some.drop("_order") if some is not None else scored.drop("_order"),
+                   "labelled-urls")
+    taken = {r["kind"]: r["count"] for r in some.groupBy("kind").count().collect()}
     some = vectors.transform(some)
     weight = F.lit(1.0)
-    for kind, count in n.items():
+    for kind, count in sorted(n.items()):
         weight = F.when(F.col("kind") == kind, count / taken[kind]).otherwise(weight)
     labelled = some.filter("kind <> 'open'").unionByName(reliable(some, trees)).withColumns({
         "label": F.col("kind").isin("block", "seed").cast("double"), "weight": weight})
