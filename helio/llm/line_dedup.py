@@ -4,7 +4,7 @@ Every line long enough becomes a pair of 64-bit hashes of its key.  The hashes a
 range-partitioned together with a piece number of the document, and each piece is
 sorted by document (largest first) and position, so one pass over the sorted rows
 sees the first occurrence of a line in every document.  A line that a third of all
-documents hold is spread over up to ``PIECES`` partitions.  Per piece one row goes
+documents hold is spread over pieces of about ``PIECE_LINES`` lines.  Per piece one row goes
 on (documents counted, largest document), which a second aggregate sums per line.
 Lines found often enough are joined back (a skewed join, which Spark splits) and
 each document gets the run-length compressed bitmap of the lines it loses; texts
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from helio.llm.stages import NO_ID, documents, written
 
-PIECES = 256
+#: Lines of a piece: a line that fills the table is split into pieces of about that many.
+PIECE_LINES, LEAST_PIECES = 50_000, 256
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,9 +57,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lines.select("doc", "text_hash", "pos", line_key(F.col("line")).alias("key"))
         .filter(F.length("key") >= min_chars)
         .select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"),
-                F.xxhash64(F.lit("line"), "key").alias("h2"),
-                F.pmod(F.xxhash64("doc"), F.lit(PIECES)).cast("int").alias("piece")), "lines")
-    ranged = keyed.repartitionByRange("h1", "h2", "piece")
+                F.xxhash64(F.lit("line"), "key").alias("h2")), "lines")
+    pieces = max(LEAST_PIECES, keyed.count() // PIECE_LINES)
+    ranged = keyed.withColumn("piece", F.pmod(F.xxhash64("doc"), F.lit(pieces))).repartitionByRange(
+        "h1", "h2", "piece")
     streamed = Window.partitionBy("h1", "h2", "piece").orderBy(F.desc("doc"), "pos")
     firsts = ranged.withColumn(
         "first", (F.row_number().over(streamed) == 1)
