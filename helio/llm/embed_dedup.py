@@ -3,8 +3,8 @@
 Only vectors of the same label and length are compared.  Cosine c becomes the
 Euclidean distance sqrt(2 - 2c) of unit vectors, so the link threshold is a radius r.
 Exact copies form one class first, so a vector that a third of the rows repeat is
-joined once.  Each label has one pivot per ``CELL`` classes (at most ``MAX_PIVOTS``);
-a class lives in the cell of its nearest pivot.  If x and y are within r and y lives
+joined once.  Each label has one pivot per ``CELL`` classes (beyond ``MANY`` pivots, as many
+as the root of its classes); a class lives in the cell of its nearest pivot.  If x and y are within r and y lives
 in cell j, the triangle inequality gives d(x, p_j) <= d(x, p_home) + 2r, so x is
 copied only to the cells (numbered below its own, so each pair meets once) where that
 holds and where the cell's radius reaches x.  Cells join independently; a cell larger
@@ -34,8 +34,10 @@ from helio.llm.stages import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL = 2048
-MAX_PIVOTS = 256
+#: Classes of a cell, as long as a label has not more than MANY cells; beyond, the number
+#: of cells grows with the root of the label's classes, which balances distances to pivots
+#: against distances inside cells.  BLOCK classes meet all pivots in one task.
+CELL, MANY, BLOCK = 2048, 256, 4096
 TILE_X, TILE_Y = 2048, 8192
 _SLACK = 1e-9
 
@@ -123,23 +125,31 @@ def _join(cosine: float):
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
-                 vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+                 vec_col: str = "embedding", label_col: str = "label",
+                 report: dict | None = None) -> DataFrame:
     """(vec_id, class_id, n_links, component_id, kept) of every row: vectors with cosine
     at least ``cosine`` link.  ``class_id`` is the smallest id with the same vector and
-    label; ``kept`` is true for the smallest id of each component."""
+    label; ``kept`` is true for the smallest id of each component.  ``report`` is filled
+    with the numbers of ``classes``, of their ``copies`` in other cells, and of ``pairs``
+    compared."""
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
     rows = vector_classes(vectors, id_col, vec_col, label_col)
     key = ["label", "dim"]
     classes = written(rows.filter("h1 IS NOT NULL").groupBy(*key, "h1", "h2").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"),
         F.first("v").alias("v")), "vectors")
-    sizes = classes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(
-        *key, F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("n") / CELL)).cast("int").alias("cells"),
-        F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
-    # pivots: the classes with the smallest hashes, one for every CELL classes of a label
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("rep"), "rep"))
-    pivots = (classes.withColumn("place", place).filter(F.col("place") <= MAX_PIVOTS)
-              .join(sizes, key).filter(F.col("place") <= F.col("cells"))
+    n = F.col("n")
+    cells = F.least(F.ceil(n / CELL), F.greatest(F.lit(MANY), F.ceil(F.sqrt(n))))
+    sizes = written(classes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(
+        *key, "n", cells.cast("int").alias("cells"),
+        F.ceil(n / BLOCK).cast("int").alias("blocks")), "labels")
+    # pivots: the classes with the smallest hashes.  The share of the hash's range that
+    # holds about twice as many as are wanted is cut out first, so no window sees a label
+    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / (1 << 40)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("_share", "rep"))
+    few = classes.join(sizes, key).withColumn("_share", share)
+    near = few.filter(F.col("_share") * F.col("n") < 2 * F.col("cells") + 64)
+    pivots = (near.withColumn("place", place).filter(F.col("place") <= F.col("cells"))
               .select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                       (F.col("place") - 1).alias("cell"), "v")
               .toDF(*key, "block", "cell", "v"))
@@ -159,6 +169,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         *cell, "reach", F.ceil(F.col("nx") / TILE_X).cast("int").alias("tx"),
         F.ceil(F.col("ny") / TILE_Y).cast("int").alias("ty")), cell)
         .filter(F.col("inner") | (F.col("away") <= F.col("reach") + radius + _SLACK)))
+    if report is not None:
+        met = placed.groupBy(*cell).agg(F.count_if("inner").alias("x"),
+                                        F.count(F.lit(1)).alias("y")).agg(
+            F.sum("x"), F.sum("y"), F.sum(F.col("x") * F.col("y"))).first()
+        report.update(classes=met[0] or 0, copies=(met[1] or 0) - (met[0] or 0),
+                      pairs=met[2] or 0)
     own = [*cell, F.pmod(F.xxhash64("rep", F.lit(1)), "tx").cast("int").alias("x"),
            F.explode(F.sequence(F.lit(0), F.col("ty") - 1)).alias("y"), "rep", "mult", "v"]
     others = [*cell, F.explode(F.sequence(F.lit(0), F.col("tx") - 1)).alias("x"),
