@@ -14,7 +14,8 @@ which the components are made.
 
 Defined results: a vector links with nothing if its id, its label, the vector or a
 component is null, a component is not finite, or all are zero; vectors of different
-length never link; rows that repeat an id are separate vectors; an empty table gives
+length never link; a very long vector is compared whole; a class equally near to two
+pivots lives in the first one's cell; rows that repeat an id are separate vectors; an empty table gives
 an empty result; other columns are not read.
 """
 

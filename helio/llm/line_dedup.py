@@ -10,7 +10,8 @@ Lines found often enough are joined back (a skewed join, which Spark splits) and
 each document gets the run-length compressed bitmap of the lines it loses; texts
 never travel until ``apply_bitmaps`` is asked for them.
 
-Defined results: a null or empty text is one empty line; a null document id counts
+Defined results: a null or empty text is one empty line; a very long text is one row of
+the scan, whose lines leave it one by one; a null document id counts
 as smaller than every id; rows that agree in id and text are the same document and
 get the same bitmap; rows that share an id but not a text count as one document
 when documents are counted, and each gets its own bitmap; an empty table gives an

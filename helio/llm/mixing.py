@@ -6,7 +6,7 @@ source may be far larger than a task), and every source is cut at its exact word
 budget.  A budget above the source's size repeats whole epochs first.
 
 Defined results: a null text has no words and is taken 0 times; a null source is a
-source of its own, ordered last; a null document id is an id of its own; repeated
+source of its own, ordered last; a very long text is one row whose words are cut at the budget; a null document id is an id of its own; repeated
 rows are separate documents; sources without words get target 0; an empty table
 gives an empty mix; other columns are passed over.  Reruns agree, since keys depend
 on the seed and the document id only (rows that share an id are ordered by size).

@@ -30,7 +30,8 @@ row is made for a pair.
 
 Defined results: a text with fewer than k words is one shingle of all its words; null
 texts and texts without words have no shingles and link with nothing; rows that share
-an id are one node; a null id is its own null component and links nothing; an empty
+an id are one node; a very long text is a set of its own slice, held whole by one task;
+equal counts and sizes are ordered by hash; a null id is its own null component and links nothing; an empty
 table gives an empty result; other columns are not read.
 """
 

@@ -23,7 +23,7 @@ doc_open              true if the document goes on in the next block, or began
 ====================  ============================================================
 
 Blocks can be read in any order and on any task.  Defined results: null and empty
-texts are the end id alone; null document ids come first; rows that share an id
+texts are the end id alone; a very long text spans blocks; null document ids come first; rows that share an id
 follow one another, ordered by text; an empty table gives an empty file and an empty
 index; other columns are not read.
 """

@@ -13,7 +13,8 @@ Weights are kept at 0 or above: a sentence is toxic for what it holds, never exc
 every text whole, by tasks.
 
 Defined results: null and empty texts have no sentences and score 0; a null id is
-scored but never learned from; a document labelled twice takes the larger label;
+scored but never learned from; a very long text is scored whole, in a slice of its own;
+equal z scores are ordered by hash when features are chosen; a document labelled twice takes the larger label;
 null labels are passed over; without labels of both kinds every score is 0; an empty
 table gives an empty result; other columns are not read.
 """
