@@ -47,7 +47,7 @@ FIRST, ACCENTED, COLUMNS = 97, 0xC0, 26 + 64
 #: Letters whose counts order the words of a length, most useful first.
 ORDER = "eaionrtlsu"
 #: Letters in a block, and rows of a block that are multiplied at once.
-BLOCK_LETTERS, TILE = 1 << 16, 1024
+BLOCK_LETTERS, TILE = 1 << 16, 256
 #: A longer word's products may not be exact in single precision.
 SINGLE = 4000
 
@@ -92,28 +92,47 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return head + tail >= m
 
 
+def _tiles(counts: np.ndarray):
+    """(first row, least counts, largest counts) of the tiles of a block."""
+    first = np.arange(0, len(counts), TILE)
+    return first, np.minimum.reduceat(counts, first), np.maximum.reduceat(counts, first)
+
+
 def near_pairs(x: list[str], y: list[str] | None = None):
     """Indices (i, j) of the words x[i], y[j] that are one edit apart; y has the length of
-    x or is one longer.  Without y, the pairs i < j within x."""
+    x or is one longer.  Without y, the pairs i < j within x.
+
+    Blocks are multiplied tile by tile, but for tiles whose bounds are more than two apart.
+    A row (-2a, |a|^2, 1) times a row (b, 1, |b|^2) is the squared distance of a and b.
+    """
     lx, cx = letter_rows(x)
     ly, cy = (lx, cx) if y is None else letter_rows(y)
+    used = cx.any(axis=0) | cy.any(axis=0)
     kind = np.float32 if ly.shape[1] < SINGLE else np.float64
-    cx, cy = cx.astype(kind), cy.astype(kind)
-    nx, ny = (cx ** 2).sum(axis=1), (cy ** 2).sum(axis=1)
+    cx, cy = cx[:, used].astype(kind), cy[:, used].astype(kind)
+    nx, ny = (c * c for c in (cx, cy))
+    nx, ny = nx.sum(axis=1, keepdims=True), ny.sum(axis=1, keepdims=True)
+    a = np.concatenate([-2 * cx, nx, np.ones_like(nx)], axis=1)
+    b = np.concatenate([cy, np.ones_like(ny), ny], axis=1).T.copy()
+    first_x, low_x, top_x = _tiles(cx)
+    first_y, low_y, top_y = _tiles(cy)
     left, right = [], []
-    for s in range(0, len(x), TILE):
-        for t in range(0 if y is not None else s, len(ly), TILE):
-            distance = (nx[s:s + TILE, None] + ny[None, t:t + TILE]
-                        - 2 * (cx[s:s + TILE] @ cy[t:t + TILE].T))
-            i, j = np.nonzero((distance > 0) & (distance <= 2))  # 0: anagrams
+    for s, low, top in zip(first_x.tolist(), low_x, top_x):
+        gap = np.maximum(np.maximum(low - top_y, low_y - top), 0)
+        for t in first_y[(gap * gap).sum(axis=1) <= 2].tolist():
+            if y is None and t < s:
+                continue
+            distance = a[s:s + TILE] @ b[:, t:t + TILE]
+            flat = np.flatnonzero(distance <= 2)
+            flat = flat[distance.ravel()[flat] > 0]  # 0: anagrams, and a word itself
+            i, j = np.divmod(flat, distance.shape[1])
             i, j = i + s, j + t
-            if y is None:
+            if t == s and y is None:
                 i, j = i[i < j], j[i < j]
-            for at in range(0, len(i), 1 << 16):
-                u, v = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                ok = one_edit(lx[u], ly[v])
-                left.append(u[ok])
-                right.append(v[ok])
+            if len(i):
+                ok = one_edit(lx[i], ly[j])
+                left.append(i[ok])
+                right.append(j[ok])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
