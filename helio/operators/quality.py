@@ -373,7 +373,7 @@ def _pruned_neighbours(base: DataFrame, cols: Sequence[str], k: int, n_d: int,
 def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
               id_col: str = "event_id", receiver_block: int = 2048,
               donor_block: int = 8192, block_cols: Sequence[str] | None = None,
-              dims: int = 4, cell_rows: int = 512, report: dict | None = None) -> DataFrame:
+              dims: int = 4, cell_rows: int = 2048, report: dict | None = None) -> DataFrame:
     """Imputed value of every missing cell: (id, col_no, feature, value).
 
     Mean of the ``k`` nearest donors that have the column, by NaN-Euclidean
