@@ -490,6 +490,34 @@ def test_fits_of_several_targets_share_a_pool(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0  # nothing stays cached
 
 
+def test_a_forest_is_grown_in_groves_and_joined(spark, monkeypatch, tmp_path):
+    """12 trees in 3 fits are one forest of 12 trees: the mean of all, saved and loaded whole."""
+    import numpy as np
+    from pyspark.ml.regression import RandomForestRegressionModel
+    monkeypatch.setattr(ml, "GROVE_TREES", 5)
+    monkeypatch.setattr(ml, "GROVE_ROWS", 100)
+    few = {"Random Forest": {"numTrees": 12, "maxDepth": 3, "minInstancesPerNode": 2}}
+    forest = ml.build_estimators(100, 1.0, few)["Random Forest"]
+    assert [e.getNumTrees() for e in ml.groves(forest, 99)] == [12]
+    parts = ml.groves(forest, 100)
+    assert [e.getNumTrees() for e in parts] == [4, 4, 4]
+    assert len({e.getSeed() for e in parts}) == 3 and parts[0].getSeed() == forest.getSeed()
+
+    (run,) = ml.train_models(_line(spark), ["a", "b", "y"], ["y"], few, models=["Random Forest"])
+    whole = run.models["Random Forest"]
+    assert whole.getNumTrees == len(whole.trees) == 12
+    assert whole.getOrDefault("maxDepth") == 3
+    assert sum(whole.featureImportances.toArray()) == pytest.approx(1.0)
+    rows = [r["features"] for r in run.test.collect()]
+    got = [whole.predict(x) for x in rows]
+    assert got == pytest.approx([np.mean([t.predict(x) for t in whole.trees]) for x in rows])
+    assert len({t.toDebugString.split("\n", 1)[1] for t in whole.trees}) > 4  # no grove twice
+    path = f"file://{tmp_path}/forest"
+    whole.write().save(path)
+    again = RandomForestRegressionModel.load(path)
+    assert again.getNumTrees == 12 and [again.predict(x) for x in rows] == got
+
+
 def test_the_registered_models_are_full_size():
     from helio.plans import q_ml
     assert not hasattr(q_ml, "CHECK_PARAMS")
