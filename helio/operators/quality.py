@@ -6,7 +6,8 @@ fixed size whatever the table size — then applied as literals in one
 projection.
 
 KNN imputation (Q1) is exact and prunes.  The columns that vary most span a grid, cut
-at quantiles, with a bin of its own for rows that miss the column.  A receiver (a row with
+at quantiles into bins of like width, with a bin of its own for rows that miss the column.
+Receivers that miss columns of it meet the donors on a grid over other columns.  A receiver (a row with
 a missing cell) first meets the donors of its own grid cell, which bounds the distance
 of its k-th neighbour from above; then only those cells whose distance from it, over the
 grid's columns alone, does not exceed that bound (a partial sum of squares is a lower
@@ -158,10 +159,11 @@ def _exact_d2(Rz, Dz, prf, pdf, ri, di, ncol):
 
 
 def _knn_partial_fn(cols: Sequence[str], k: int):
-    """Per (receiver block, donor part): the k nearest donors of every missing cell.
+    """Per (receiver block, donor part): the k nearest donors of every missing cell, those
+    farther than the receiver's ``_limit`` (squared) left out.
 
-    Candidates are ranked with BLAS (masked ‖r‖² + ‖d‖² − 2·r·d, three matrix
-    products); every donor whose approximate distance is within a bound on the
+    Candidates are ranked with BLAS (masked ‖r‖² + ‖d‖² − 2·r·d, one matrix
+    product); every donor whose approximate distance is within a bound on the
     floating-point error of the k-th smallest is kept, and only those are
     recomputed with the exact sequential arithmetic (the same doubles as the
     SQL form) before the final (distance, id) choice.  The bound (1e-12 of the
@@ -180,39 +182,45 @@ def _knn_partial_fn(cols: Sequence[str], k: int):
             return empty
         R = recv[list(cols)].to_numpy(dtype=np.float64)
         D = donors[list(cols)].to_numpy(dtype=np.float64)
+        limit = recv["_limit"].to_numpy(dtype=np.float64)
         rid = recv["_id"].to_numpy(dtype=np.int64)
         did = donors["_id"].to_numpy(dtype=np.int64)
         pr, pd_ = ~np.isnan(R), ~np.isnan(D)
         Rz, Dz = np.where(pr, R, 0.0), np.where(pd_, D, 0.0)
         prf, pdf = pr.astype(np.float64), pd_.astype(np.float64)
         Rz2, Dz2 = Rz * Rz, Dz * Dz
-        sq_r = Rz2.sum(axis=1)
+        sq_r, sq_d = Rz2.sum(axis=1), Dz2.sum(axis=1)
+        left = np.hstack([Rz2, prf, -2.0 * Rz])  # times right: the masked squared distance
+        right = np.hstack([pdf, Dz2, Dz])
         rows_of = [np.nonzero(~pr[:, j])[0] for j in range(ncol)]
         best_d = [np.full((len(r_), 0), np.inf) for r_ in rows_of]
         best_i = [np.zeros((len(r_), 0), dtype=np.int64) for r_ in rows_of]
         best_v = [np.zeros((len(r_), 0)) for r_ in rows_of]
-        step = max(1, 4_000_000 // max(1, len(R)))  # bounded distance block
-        for s in range(0, len(D), step):
-            sl = slice(s, s + step)
-            Dc, pc, ic = D[sl], pd_[sl], did[sl]
-            A = Rz2 @ pdf[sl].T + prf @ Dz2[sl].T - 2.0 * (Rz @ Dz[sl].T)
-            cnt = prf @ pdf[sl].T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                approx = np.where(cnt > 0, (float(ncol) / cnt) * A, np.inf)
-            err = 1e-12 * float(ncol) * (sq_r[:, None] + Dz2[sl].sum(axis=1)[None, :].max() + 1.0)
-            for j in range(ncol):
-                rows = rows_of[j]
-                cand = np.nonzero(pc[:, j])[0]
-                if len(rows) == 0 or len(cand) == 0:
-                    continue
-                sub = approx[np.ix_(rows, cand)]
-                kk = min(k, sub.shape[1])
-                kth = np.partition(sub, kk - 1, axis=1)[:, kk - 1:kk]
-                short = sub <= kth + 2.0 * err[rows]
+        for j in range(ncol):
+            rows = rows_of[j]
+            having = np.nonzero(pd_[:, j])[0]
+            step = max(64, 500_000 // max(1, len(rows)))  # a distance block fits the cache
+            for s in range(0, len(having) if len(rows) else 0, step):
+                cand = having[s:s + step]
+                kk = min(k, len(cand))
+                A = left[rows] @ right[cand].T
+                cnt = prf[rows] @ pdf[cand].T
+                err = 1e-12 * float(ncol) * (sq_r[rows] + sq_d[cand].max() + 1.0)
+                far = (limit[rows] + 2.0 * err) / float(ncol)
+                short = cnt > 0
+                if np.isfinite(far).any():
+                    short &= A <= np.where(np.isfinite(far), far, np.finfo(float).max / ncol)[:, None] * cnt
+                many = np.nonzero(short.sum(axis=1) > kk)[0]
+                if len(many):
+                    near = np.where(short[many], A[many] * (float(ncol) / np.maximum(cnt[many], 1.0)), np.inf)
+                    kth = np.partition(near, kk - 1, axis=1)[:, kk - 1:kk]
+                    short[many] = near <= kth + 2.0 * err[many, None]
                 pr_idx, pc_idx = np.nonzero(short)
+                if len(pr_idx) == 0:
+                    continue
                 ri, dj = rows[pr_idx], cand[pc_idx]
-                ex = _exact_d2(Rz, Dz[sl], prf, pdf[sl], ri, dj, ncol)
-                order = np.lexsort((ic[dj], ex, pr_idx))
+                ex = _exact_d2(Rz, Dz, prf, pdf, ri, dj, ncol)
+                order = np.lexsort((did[dj], ex, pr_idx))
                 pr_s, ex_s, dj_s = pr_idx[order], ex[order], dj[order]
                 first = np.searchsorted(pr_s, np.arange(len(rows)))
                 rank = np.arange(len(pr_s)) - first[pr_s]
@@ -221,8 +229,8 @@ def _knn_partial_fn(cols: Sequence[str], k: int):
                 ci = np.zeros((len(rows), kk), dtype=np.int64)
                 cv = np.zeros((len(rows), kk))
                 cd[pr_s[take], rank[take]] = ex_s[take]
-                ci[pr_s[take], rank[take]] = ic[dj_s[take]]
-                cv[pr_s[take], rank[take]] = Dc[dj_s[take], j]
+                ci[pr_s[take], rank[take]] = did[dj_s[take]]
+                cv[pr_s[take], rank[take]] = D[dj_s[take], j]
                 # merge with the best so far (earlier donor chunks) by (d2, id)
                 md = np.concatenate([best_d[j], cd], axis=1)
                 mi = np.concatenate([best_i[j], ci], axis=1)
@@ -255,12 +263,16 @@ def _meet(r: DataFrame, d: DataFrame, keys: Sequence[str], cols: Sequence[str],
     packed into a few tasks.  Fresh aliases on the donor side keep the cogroup keys
     distinct attributes (both sides come from one table)."""
     keys = list(keys)
-    r = r.select(*keys, "_id", *cols).repartition(n_parts, *keys)
+    r = r.select(*keys, "_id", *cols, "_limit").repartition(n_parts, *keys)
     d = d.select(*[F.col(x).alias(x) for x in keys + ["_id", *cols]]).repartition(n_parts, *keys)
     return r.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(
         _knn_partial_fn(cols, k), _PARTIAL_SCHEMA)
 
 
+#: Grids for receivers that miss columns of the common grid; each takes a copy of the donors.
+MISSED_GRIDS = 4
+
+
 @dataclass(frozen=True)
 class Grid:
     """Cuts per column; bin i of a column holds [cut i-1, cut i), the last bin rows without it."""
@@ -293,15 +305,39 @@ class Grid:
         return F.array(*out)
 
 
-def _grid(base: DataFrame, spread: dict[str, float], n: int, dims: int, cell_rows: int) -> Grid:
-    """A grid over the ``dims`` columns that vary most, of about ``n / cell_rows`` cells."""
-    chosen = sorted((c for c in spread if spread[c]), key=lambda c: -spread[c])[:dims]
-    per = round((n / cell_rows) ** (1 / len(chosen))) if chosen else 1
-    if per < 2:
-        return Grid({})
-    cuts = base.agg(*[F.percentile_approx(c, [i / per for i in range(1, per)], 1000)
-                      for c in chosen]).first()
-    return Grid({c: sorted(set(qs)) for c, qs in zip(chosen, cuts)})
+def _bins(spread: dict[str, float], n: int, dims: int, cell_rows: int,
+          without: Sequence[str] = ()) -> dict[str, int]:
+    """Bins per column of a grid of up to ``n / cell_rows`` cells over at most ``dims`` columns:
+    the column whose bins are widest is cut once more."""
+    wide = {c: s for c, s in spread.items() if s and math.isfinite(s) and c not in without}
+    bins = dict.fromkeys(sorted(wide, key=lambda c: -wide[c])[:dims], 1)
+    while bins:
+        widest = max(bins, key=lambda c: wide[c] / bins[c])
+        if math.prod(bins.values()) // bins[widest] * (bins[widest] + 1) > n / cell_rows:
+            break
+        bins[widest] += 1
+    return {c: b for c, b in bins.items() if b > 1}
+
+
+def _grids(base: DataFrame, receivers: DataFrame, spread: dict[str, float], n: int, dims: int,
+           cell_rows: int) -> list[tuple[frozenset, Grid]]:
+    """The grid of all receivers, and before it one of its own, over other columns, for each of
+    the commonest sets of missing grid columns: on the common grid such a receiver would have
+    to visit every bin of the columns that it misses."""
+    common = _bins(spread, n, dims, cell_rows)
+    plans = []
+    if common:
+        miss = [F.col(c).isNull().alias(c) for c in common]
+        for row in sorted(receivers.groupBy(*miss).count().collect(), key=lambda r: -r["count"]):
+            missed = frozenset(c for c in common if row[c])
+            if len(plans) < MISSED_GRIDS and math.prod(common[c] for c in missed) > 2:
+                plans.append((missed, _bins(spread, n, dims, cell_rows, missed)))
+    plans.append((frozenset(), common))
+    cuts = [F.percentile_approx(c, [i / b for i in range(1, b)], 1000).alias(f"_{g}_{c}")
+            for g, (_, bins) in enumerate(plans) for c, b in bins.items()]
+    got = base.agg(*cuts).first() if cuts else None
+    return [(missed, Grid({c: sorted(set(got[f"_{g}_{c}"])) for c in bins}))
+            for g, (missed, bins) in enumerate(plans)]
 
 
 def _met(visits: DataFrame, donors: DataFrame, cols: Sequence[str], k: int, receiver_block: int,
@@ -332,20 +368,33 @@ def _pruned_neighbours(base: DataFrame, cols: Sequence[str], k: int, n_d: int,
                        donor_block: int, dims: int, cell_rows: int,
                        report: dict | None) -> DataFrame:
     """Candidates that hold the ``k`` nearest donors of every missing cell."""
-    grid = _grid(base, spread, n_d, dims, cell_rows)
-    bins = {c: grid.bin_of(c) for c in grid.cuts}
-    donors = materialize(base.withColumn("_cell", grid.cell(bins)), "knn-donors")
-    receivers = donors.where(_any_null(cols)).drop("_cell")
+    base = materialize(base, "knn-donors")
+    receivers = base.where(_any_null(cols)).withColumn("_limit", F.lit(math.inf))
+    grids = _grids(base, receivers, spread, n_d, dims, cell_rows)
+    bins = [{c: grid.bin_of(c) for c in grid.cuts} for _, grid in grids]
+    number = lambda g, cell: cell * len(grids) + g  # noqa: E731  (cells of all grids)
+    donors = base.withColumn("_cell", F.explode(F.array(*[
+        number(g, grid.cell(bins[g])) for g, (_, grid) in enumerate(grids)])))
+    # the receivers of each grid; the last takes the rest
+    own_grid = F.lit(len(grids) - 1)
+    for g, (missed, _) in reversed(list(enumerate(grids[:-1]))):
+        own_grid = F.when(reduce(lambda a, b: a & b, [
+            F.col(c).isNull() == F.lit(c in missed) for c in grids[-1][1].cuts]), g).otherwise(own_grid)
+    of = lambda rows, g: rows.where(own_grid == g) if len(grids) > 1 else rows
+    sent = ["_id", *cols, "_limit"]
     # a row's own cells: its bins, and every bin that holds values where it has none
-    own = receivers
-    for i, c in enumerate(grid.cuts):
-        own = own.withColumn(f"_b{i}", F.explode(F.when(
-            F.col(c).isNull(), F.sequence(F.lit(0), F.lit(grid.bins(c) - 1))).otherwise(
-            F.array(bins[c]))))
-    placed = {c: F.col(f"_b{i}") for i, c in enumerate(grid.cuts)}
-    first = materialize(_met(own.select("_id", *cols, grid.cell(placed).alias("_cell")), donors,
-                             cols, k, receiver_block, donor_block, report), "knn-first")
-    if not grid.cuts:
+    starts = []
+    for g, (_, grid) in enumerate(grids):
+        own = of(receivers, g)
+        for i, c in enumerate(grid.cuts):
+            own = own.withColumn(f"_b{i}", F.explode(F.when(
+                F.col(c).isNull(), F.sequence(F.lit(0), F.lit(grid.bins(c) - 1))).otherwise(
+                F.array(bins[g][c]))))
+        placed = {c: F.col(f"_b{i}") for i, c in enumerate(grid.cuts)}
+        starts.append(own.select(*sent, number(g, grid.cell(placed)).alias("_cell")))
+    first = materialize(_met(reduce(DataFrame.unionByName, starts), donors, cols, k,
+                             receiver_block, donor_block, report), "knn-first")
+    if not any(grid.cuts for _, grid in grids):
         return first
     w = Window.partitionBy("rid", "col_no").orderBy("d2", "donor")
     kth = first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k).groupBy(
@@ -353,33 +402,37 @@ def _pruned_neighbours(base: DataFrame, cols: Sequence[str], k: int, n_d: int,
     # cells of a column without any donor have nothing to find
     wanted = sum(F.col(c).isNull().cast("int") for c in cols if have[c])
     seen = sum(F.col(c).isNotNull().cast("int") for c in cols)
+    bounded = receivers.join(kth, "_id", "left").withColumn("_limit", F.when(
+        F.col("_got") == wanted, F.col("_bound")).otherwise(F.lit(math.inf)))
     # a distance is at least columns / present columns times the squared gaps; rounding is
     # far below the margin
-    limit = F.when(F.col("_got") == wanted, F.col("_bound")).otherwise(F.lit(math.inf)) * (
-        seen / F.lit(float(len(cols)))) * (1 + 1e-9)
-    more = receivers.join(kth, "_id", "left").withColumn("_limit", limit).withColumn(
-        "_sum", F.lit(0.0)).withColumn("_seen", F.lit(True))
-    for i, c in enumerate(grid.cuts):
-        more = more.withColumn("_g", F.explode(F.filter(grid.gaps(c), lambda g: g["gap"] + F.col(
-            "_sum") <= F.col("_limit")))).withColumns({
-                f"_b{i}": F.col("_g.bin"), "_sum": F.col("_sum") + F.col("_g.gap"),
-                "_seen": F.col("_seen") & F.when(F.col(c).isNull(), F.col("_g.bin") < grid.bins(
-                    c)).otherwise(F.col("_g.bin") == bins[c])})
-    visits = more.where(~F.col("_seen")).select("_id", *cols, grid.cell(placed).alias("_cell"))
-    return first.unionByName(_met(materialize(visits, "knn-visits"), donors, cols, k,
-                                  receiver_block, donor_block, report))
+    limit = F.col("_limit") * (seen / F.lit(float(len(cols)))) * (1 + 1e-9)
+    visits = []
+    for g, (_, grid) in enumerate(grids):
+        more = of(bounded, g).withColumns({"_far": limit, "_sum": F.lit(0.0), "_seen": F.lit(True)})
+        for i, c in enumerate(grid.cuts):
+            more = more.withColumn("_g", F.explode(grid.gaps(c))).where(
+                F.col("_g.gap") + F.col("_sum") <= F.col("_far")).withColumns({
+                    f"_b{i}": F.col("_g.bin"), "_sum": F.col("_sum") + F.col("_g.gap"),
+                    "_seen": F.col("_seen") & F.when(F.col(c).isNull(), F.col("_g.bin") < grid.bins(
+                        c)).otherwise(F.col("_g.bin") == bins[g][c])})
+        placed = {c: F.col(f"_b{i}") for i, c in enumerate(grid.cuts)}
+        visits.append(more.where(~F.col("_seen")).select(
+            *sent, number(g, grid.cell(placed)).alias("_cell")))
+    return first.unionByName(_met(materialize(reduce(DataFrame.unionByName, visits), "knn-visits"),
+                                  donors, cols, k, receiver_block, donor_block, report))
 
 
 def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
               id_col: str = "event_id", receiver_block: int = 2048,
               donor_block: int = 8192, block_cols: Sequence[str] | None = None,
-              dims: int = 4, cell_rows: int = 2048, report: dict | None = None) -> DataFrame:
+              dims: int = 6, cell_rows: int = 2048, report: dict | None = None) -> DataFrame:
     """Imputed value of every missing cell: (id, col_no, feature, value).
 
     Mean of the ``k`` nearest donors that have the column, by NaN-Euclidean
     distance over the columns present in both rows (scaled by
-    columns / present); a cell without any donor gets the column mean.  ``dims`` columns
-    span the pruning grid, of about one cell per ``cell_rows`` rows; they do not change the
+    columns / present); a cell without any donor gets the column mean.  Up to ``dims`` columns
+    span a pruning grid, of about one cell per ``cell_rows`` rows; they do not change the
     result.  ``report`` is filled with ``pairs`` (compared) and ``all_pairs``.
 
     ``block_cols`` (e.g. ``["series_id"]``): impute each block as its own
@@ -404,7 +457,7 @@ def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
                  .withColumn("_nd", F.greatest(F.lit(1), F.ceil(F.col("_n_d") / F.lit(donor_block)))
                              .cast("long")))
         d0 = base.join(sizes, bc)
-        r0 = d0.where(_any_null(cols))
+        r0 = d0.where(_any_null(cols)).withColumn("_limit", F.lit(math.inf))
         r = (r0.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.col("_nb")))
                .withColumn("_dp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nd") - 1))))
         d = (d0.withColumn("_dp", F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_nd")))

@@ -124,6 +124,31 @@ def test_knn_small_with_tie(spark):
     assert present[2] == 10.0 and present[1] == pytest.approx(15.0)
 
 
+def test_knn_receivers_that_miss_a_grid_column_are_pruned(spark):
+    """Rows without the widest column, without two, and full copies: the values of brute
+    force, with a small part of the pairs."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 1, (6000, 4)) * [1000, 600, 250, 30]
+    x[3000:3200] = x[:200]
+    x[:900, 0] = x[600:1200, 1] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    cols = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "event_id long, a double, b double, c double, d double")
+    report = {}
+    got = {(r["event_id"], r["feature"]): r["value"] for r in quality.knn_cells(
+        df, cols, cell_rows=60, report=report).collect()}
+    assert len(got) == 1500 and report["pairs"] < 0.1 * report["all_pairs"]
+    for i in range(0, 1200, 37):
+        both = ~np.isnan(x) & ~np.isnan(x[i])
+        d2 = np.where(both, (np.nan_to_num(x) - np.nan_to_num(x[i])) ** 2, 0).sum(1)
+        with np.errstate(divide="ignore"):
+            d2 = np.where(both.any(1), d2 * (4 / both.sum(1)), np.inf)
+        for j in np.nonzero(np.isnan(x[i]))[0]:
+            ids = [n for n in np.lexsort((np.arange(len(x)), d2)) if not np.isnan(x[n, j])][:5]
+            assert got[i, cols[j]] == pytest.approx(x[ids, j].mean()), (i, j)
+
+
 def test_flat_column(spark):
     df = spark.createDataFrame([(i, 3.0, float(i)) for i in range(10)], "event_id long, f double, g double")
     scaled, params = quality.standard_scale(df, ["f", "g"])
