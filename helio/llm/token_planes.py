@@ -39,8 +39,9 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helio.llm.stages import documents
-from helio.llm.textscan import MAX_BYTES, byte_values, mix64, text_slices, utf8_buffer
+from helio.llm.stages import documents, small_batches
+from helio.llm.textscan import (MAX_BYTES, byte_values, give_back, mix64, text_slices,
+                                utf8_buffer)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -306,22 +307,29 @@ def write_planes(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0,
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(
         "doc_id", "text")
     blocks = ordered.mapInArrow(_block_writer(tokenizer, end_id, block_ids, kind), BLOCK_SCHEMA)
-    blocks.write.mode("overwrite").option("compression", "none").parquet(out)
+    with small_batches(docs.sparkSession):
+        blocks.write.mode("overwrite").option("compression", "none").parquet(out)
     return out
 
 
+def _blocks(batches):
+    """The rows of the blocks' batches as dicts, one at a time: a batch may hold thousands."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+        give_back()
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(part, block, ids): the ids of every block, checked against its crc."""
     def decode(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            ids = [from_planes(r["planes"], r["n_ids"], r["kind"]) for r in rows]
-            for r, got in zip(rows, ids):
-                if zlib.crc32(got.tobytes()) != r["crc"]:
-                    raise ValueError(f"block {r['part']}/{r['block']} is damaged")
+        for r in _blocks(batches):
+            got = from_planes(r["planes"], r["n_ids"], r["kind"])
+            if zlib.crc32(got.tobytes()) != r["crc"]:
+                raise ValueError(f"block {r['part']}/{r['block']} is damaged")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x.astype(np.int64) for x in ids],
-                                                            type=pa.list_(pa.int64()))],
+                [pa.array([r["part"]], pa.int32()), pa.array([r["block"]], pa.int32()),
+                 pa.array([got.astype(np.int64)], type=pa.list_(pa.int64()))],
                 names=["part", "block", "ids"])
     return (spark.read.schema(BLOCK_SCHEMA).parquet(path)
             .select("part", "block", "n_ids", "kind", "planes", "crc")
@@ -360,21 +368,20 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     together, from one (length, crc) row per block they touch.
     """
     def decode(batches):
-        for batch in batches:
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
+                 pa.bool_())
+        for r in _blocks(batches):
+            raw = from_planes(r["planes"], r["n_ids"], r["kind"]).tobytes()
+            if zlib.crc32(raw) != r["crc"]:
+                raise ValueError(f"block {r['part']}/{r['block']} is damaged")
+            view = memoryview(raw)
             cols: list[list] = [[] for _ in range(7)]
-            for r in batch.to_pylist():
-                raw = from_planes(r["planes"], r["n_ids"], r["kind"]).tobytes()
-                if zlib.crc32(raw) != r["crc"]:
-                    raise ValueError(f"block {r['part']}/{r['block']} is damaged")
-                view = memoryview(raw)
-                for doc_id, no, at, n, is_open in zip(
-                        r["doc_id"], r["doc_no"], r["doc_at"], r["doc_len"], r["doc_open"]):
-                    values = (r["part"], no, doc_id, r["first"] + at, n,
-                              zlib.crc32(view[4 * at:4 * (at + n)]), is_open)
-                    for c, v in zip(cols, values):
-                        c.append(v)
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                     pa.bool_())
+            for doc_id, no, at, n, is_open in zip(
+                    r["doc_id"], r["doc_no"], r["doc_at"], r["doc_len"], r["doc_open"]):
+                values = (r["part"], no, doc_id, r["first"] + at, n,
+                          zlib.crc32(view[4 * at:4 * (at + n)]), is_open)
+                for c, v in zip(cols, values):
+                    c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=t) for c, t in zip(cols, types)],
                 names=["part", "doc_no", "doc_id", "at", "n", "crc", "is_open"])

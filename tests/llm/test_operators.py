@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as E
 import corpus_pipeline
 from helio.llm import (components, decontam, embed_dedup, html_extract, line_dedup, mixing,
-                       ngram_join, quality, queries, textscan, token_planes, toxicity,
+                       ngram_join, quality, queries, stages, textscan, token_planes, toxicity,
                        url_filter)
 from helio.plans.check import duck_connect, table_digest
 from helio.session import scratch_path
@@ -413,6 +413,27 @@ def test_token_planes(spark, odd, kind, block):
     assert len(stream) == at
 
 
+def test_token_planes_bounds_batches(spark, monkeypatch):
+    """Token files are written from small batches, and their blocks are read one at a time."""
+    def largest(path, end_id, block_ids, kind):
+        def write(batches):
+            n = max((b.num_rows for b in batches), default=0)
+            yield pa.RecordBatch.from_pylist([{"n_ids": n}], schema=token_planes._TYPES)
+        return write
+
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    before = {k: spark.conf.get(k, None) for k in stages.BATCH}
+    monkeypatch.setattr(token_planes, "_block_writer", largest)
+    real = type(docs).repartitionByRange  # one partition, so that a batch could hold all rows
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda df, *by: real(df, 1, *by))
+    out = token_planes.write_planes(docs, scratch_path(spark, "test-planes"), "unused")
+    sizes = [r.n_ids for r in spark.read.parquet(out).collect()]
+    assert 0 < max(sizes) <= int(stages.BATCH["spark.sql.execution.arrow.maxRecordsPerBatch"])
+    assert before == {k: spark.conf.get(k, None) for k in stages.BATCH}
+    rows = pa.RecordBatch.from_pylist([{"part": i} for i in range(3)], schema=token_planes._TYPES)
+    assert [r["part"] for r in token_planes._blocks(iter([rows, rows]))] == [0, 1, 2, 0, 1, 2]
+
+
 def test_token_planes_empty(spark, odd):
     out = token_planes.write_planes(docs_frame(spark, odd).limit(0),
                                     scratch_path(spark, "test-planes"), queries.tokenizer_path())
