@@ -12,8 +12,9 @@ a missing cell) first meets the donors of its own grid cell, which bounds the di
 of its k-th neighbour from above; then only those cells whose distance from it, over the
 grid's columns alone, does not exceed that bound (a partial sum of squares is a lower
 bound, also after scaling by the share of present columns).  A meeting of a cell's
-receivers and donors is one ``cogroup`` task, which computes the NaN-Euclidean
-distances in NumPy and keeps the 5 nearest donors per missing cell.  Hot cells are cut
+receivers and donors is one ``cogroup`` task, which lays the donors out in leaves of
+at most ``LEAF_ROWS`` rows, computes the NaN-Euclidean distances to the leaves within a
+receiver's bound in NumPy and keeps the 5 nearest donors per missing cell.  Hot cells are cut
 into blocks of ``receiver_block`` and parts of ``donor_block`` rows, so no
 task holds more than one block and one part, nothing goes through the driver,
 and the shuffle carries at most 5 candidates per (missing cell, part).
@@ -158,98 +159,175 @@ def _exact_d2(Rz, Dz, prf, pdf, ri, di, ncol):
         return np.where(cnt > 0, (float(ncol) / cnt) * acc, np.inf)
 
 
+#: Donors in one leaf of a group's tree, and the receivers from which a tree pays.
+LEAF_ROWS = 128
+TREE_RECEIVERS = 16
+
+
+def _leaves(D, rows: int) -> list:
+    """Row numbers of ``D`` in leaves of at most ``rows``, those of rows that miss a column apart:
+    the widest column that all have is halved again and again."""
+    whole = ~np.isnan(D).any(axis=1)
+    todo, out = [], []
+    for part in (np.nonzero(~whole)[0], np.nonzero(whole)[0]) if len(D) > rows else (np.arange(len(D)),):
+        if len(part):
+            todo.append((part, np.nonzero(~np.isnan(D[part]).any(axis=0))[0]))
+    while todo:
+        at, full = todo.pop()
+        if len(at) <= rows or len(full) == 0:
+            out.append(at)
+            continue
+        X = D[at][:, full]
+        half = len(at) // 2
+        order = np.argpartition(X[:, np.nan_to_num(np.ptp(X, axis=0)).argmax()], half)
+        todo += [(at[order[half:]], full), (at[order[:half]], full)]
+    return out
+
+
+def _nearest(ri, di, ex, did, pr, pd_, k: int):
+    """(row, column, donor, d2) of the ``k`` nearest pairs of every missing cell, by (d2, id)."""
+    order = np.lexsort((did[di], ex, ri))
+    ri, di, ex = ri[order], di[order], ex[order]
+    out = [(ri[:0], np.zeros(0, dtype=np.int32), di[:0], ex[:0])]
+    for j in np.nonzero(~pr.all(axis=0))[0]:
+        ok = np.nonzero(~pr[ri, j] & pd_[di, j])[0]
+        r = ri[ok]
+        ok = ok[np.arange(len(r)) - np.searchsorted(r, r) < k]
+        out.append((ri[ok], np.full(len(ok), j, dtype=np.int32), di[ok], ex[ok]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _group_nearest(R, D, limit, did, k: int):
+    """(row, column, donor, d2) of the ``k`` nearest donors of every missing cell of ``R``, those
+    farther than the row's ``limit`` (squared) left out, and the number of pairs compared.
+
+    The donors lie in leaves; a leaf whose box, over the columns that all its donors have, is
+    farther than the limit is not compared.  A row without a limit gets one from its nearest leaf.
+    """
+    ncol = R.shape[1]
+    pr, pd_ = ~np.isnan(R), ~np.isnan(D)
+    Rz, Dz = np.where(pr, R, 0.0), np.where(pd_, D, 0.0)
+    prf, pdf = pr.astype(np.float64), pd_.astype(np.float64)
+    Rz2, Dz2 = Rz * Rz, Dz * Dz
+    sq_r, sq_d = Rz2.sum(axis=1), Dz2.sum(axis=1).max()
+    err = 1e-12 * float(ncol) * (sq_r + sq_d + 1.0)
+    seen = prf.sum(axis=1)
+    left = np.hstack([Rz2, prf, -2.0 * Rz])  # times right: the masked squared distance
+    right = np.hstack([pdf, Dz2, Dz])
+    leaves = _leaves(D, LEAF_ROWS if len(R) >= TREE_RECEIVERS else len(D))
+    low = np.zeros((len(R), len(leaves)))  # of the squared distance to any donor of the leaf
+    if len(leaves) > 1:
+        box_lo = np.array([np.where(pd_[at], D[at], -np.inf).min(axis=0) for at in leaves])
+        box_hi = np.array([np.where(pd_[at], D[at], np.inf).max(axis=0) for at in leaves])
+        for j in range(ncol):
+            gap = np.maximum(np.maximum(box_lo[:, j] - Rz[:, j, None], Rz[:, j, None] - box_hi[:, j]), 0.0)
+            low += gap * gap * prf[:, j, None]
+        low *= 1 - 1e-9
+    limit = limit.copy()
+    has = pd_.any(axis=0)
+    todo = np.ones(low.shape, dtype=bool)
+    near_r, near_d, found, held, pairs = [], [], [], 0, 0
+
+    def reach(bound, rows):
+        """The masked squared distance that a donor within the bound does not exceed."""
+        known = np.isfinite(bound)
+        return np.where(known, np.where(known, bound, 0.0) * (seen[rows] / float(ncol))
+                        + 2.0 * err[rows], bound)
+
+    def kth(rows, cand, A):
+        """Of each row the distance of its k-th nearest donor here, the largest of its missing
+        cells, and if there are k for each of them."""
+        cnt = prf[rows] @ pdf[cand].T
+        d2 = np.where(cnt > 0, A * (float(ncol) / np.maximum(cnt, 1.0)), np.inf)
+        far, sure = np.full(len(rows), -np.inf), np.ones(len(rows), dtype=bool)
+        for j in np.nonzero(has & ~pr[rows].all(axis=0))[0]:
+            mine, having = np.nonzero(~pr[rows, j])[0], pd_[cand, j]
+            n = min(k, int(having.sum()))
+            if n:
+                of = d2[mine] if having.all() else d2[mine][:, having]
+                far[mine] = np.maximum(far[mine], np.partition(of, n - 1, axis=1)[:, n - 1])
+            if n < k:
+                sure[mine] = False
+        return far + 2.0 * ncol * err[rows], sure
+
+    def meet(rows, leaf):
+        nonlocal held, pairs
+        todo[rows, leaf] = False
+        at = leaves[leaf]
+        for s in range(0, len(at), step := max(64, 1_000_000 // len(rows))):
+            cand = at[s:s + step]
+            pairs += len(rows) * len(cand)
+            A = left[rows] @ right[cand].T
+            far = fars[rows]
+            free = np.nonzero(np.isinf(far))[0]
+            if len(free):  # without a limit: the nearest of these donors
+                near, sure = kth(rows[free], cand, A[free])
+                far[free] = reach(near, rows[free])
+                sure &= np.isfinite(near)
+                limit[rows[free[sure]]] = near[sure]
+            i, d = np.divmod(np.flatnonzero(A <= far[:, None]), len(cand))
+            near_r.append(rows[i])
+            near_d.append(cand[d])
+            held += len(i)
+            if held > 500_000:
+                keep()
+
+    def keep():
+        """Of the pairs found, those that are still among the nearest of a cell."""
+        nonlocal held
+        r, d = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (near_r, near_d))
+        ex = _exact_d2(Rz, Dz, prf, pdf, r, d, ncol)
+        ok = np.isfinite(ex)
+        found.append((r[ok], d[ok], ex[ok]))
+        r, c, d, ex = _nearest(*[np.concatenate(x) for x in zip(*found)], did, pr, pd_, k)
+        _, once = np.unique(r * len(D) + d, return_index=True)
+        near_r.clear()
+        near_d.clear()
+        found[:] = [(r[once], d[once], ex[once])]
+        held = len(once)
+        return r, c, d, ex
+
+    fars = reach(limit, np.arange(len(R)))
+    free = np.isinf(limit)
+    if len(leaves) > 1 and free.any():
+        few = np.array([pd_[at].sum(axis=0) < k for at in leaves])
+        lacks = (~pr & has).astype(np.float64) @ few.T.astype(np.float64)
+        first = np.where(lacks > 0, np.inf, low).argmin(axis=1)
+        for leaf in np.unique(first[free]):
+            meet(np.nonzero(free & (first == leaf))[0], leaf)
+    fars = reach(limit, np.arange(len(R)))
+    todo &= low <= fars[:, None]
+    for leaf in range(len(leaves)):
+        rows = np.nonzero(todo[:, leaf])[0]
+        if len(rows):
+            meet(rows, leaf)
+    return *keep(), pairs
+
+
 def _knn_partial_fn(cols: Sequence[str], k: int):
     """Per (receiver block, donor part): the k nearest donors of every missing cell, those
     farther than the receiver's ``_limit`` (squared) left out.
 
-    Candidates are ranked with BLAS (masked ‖r‖² + ‖d‖² − 2·r·d, one matrix
-    product); every donor whose approximate distance is within a bound on the
-    floating-point error of the k-th smallest is kept, and only those are
-    recomputed with the exact sequential arithmetic (the same doubles as the
-    SQL form) before the final (distance, id) choice.  The bound (1e-12 of the
-    squared norms, ~100x the rounding error of a 15-term product sum) makes
+    Candidates are found with BLAS (masked ‖r‖² + ‖d‖² − 2·r·d, one matrix product a leaf);
+    every donor whose approximate distance is within a bound on the floating-point error of
+    the limit is kept, and only those are recomputed with the exact sequential arithmetic
+    (the same doubles as the SQL form) before the final (distance, id) choice.  The bound
+    (1e-12 of the squared norms, ~100x the rounding error of a 15-term product sum) makes
     the shortlist contain the exact k nearest, so the result is exact.
     """
-    ncol = len(cols)
-
     def fn(recv: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"rid": pd.Series([], dtype="int64"),
-                              "col_no": pd.Series([], dtype="int32"),
-                              "d2": pd.Series([], dtype="float64"),
-                              "donor": pd.Series([], dtype="int64"),
-                              "val": pd.Series([], dtype="float64")})
         if recv.empty or donors.empty:
-            return empty
-        R = recv[list(cols)].to_numpy(dtype=np.float64)
-        D = donors[list(cols)].to_numpy(dtype=np.float64)
-        limit = recv["_limit"].to_numpy(dtype=np.float64)
-        rid = recv["_id"].to_numpy(dtype=np.int64)
-        did = donors["_id"].to_numpy(dtype=np.int64)
-        pr, pd_ = ~np.isnan(R), ~np.isnan(D)
-        Rz, Dz = np.where(pr, R, 0.0), np.where(pd_, D, 0.0)
-        prf, pdf = pr.astype(np.float64), pd_.astype(np.float64)
-        Rz2, Dz2 = Rz * Rz, Dz * Dz
-        sq_r, sq_d = Rz2.sum(axis=1), Dz2.sum(axis=1)
-        left = np.hstack([Rz2, prf, -2.0 * Rz])  # times right: the masked squared distance
-        right = np.hstack([pdf, Dz2, Dz])
-        rows_of = [np.nonzero(~pr[:, j])[0] for j in range(ncol)]
-        best_d = [np.full((len(r_), 0), np.inf) for r_ in rows_of]
-        best_i = [np.zeros((len(r_), 0), dtype=np.int64) for r_ in rows_of]
-        best_v = [np.zeros((len(r_), 0)) for r_ in rows_of]
-        for j in range(ncol):
-            rows = rows_of[j]
-            having = np.nonzero(pd_[:, j])[0]
-            step = max(64, 500_000 // max(1, len(rows)))  # a distance block fits the cache
-            for s in range(0, len(having) if len(rows) else 0, step):
-                cand = having[s:s + step]
-                kk = min(k, len(cand))
-                A = left[rows] @ right[cand].T
-                cnt = prf[rows] @ pdf[cand].T
-                err = 1e-12 * float(ncol) * (sq_r[rows] + sq_d[cand].max() + 1.0)
-                far = (limit[rows] + 2.0 * err) / float(ncol)
-                short = cnt > 0
-                if np.isfinite(far).any():
-                    short &= A <= np.where(np.isfinite(far), far, np.finfo(float).max / ncol)[:, None] * cnt
-                many = np.nonzero(short.sum(axis=1) > kk)[0]
-                if len(many):
-                    near = np.where(short[many], A[many] * (float(ncol) / np.maximum(cnt[many], 1.0)), np.inf)
-                    kth = np.partition(near, kk - 1, axis=1)[:, kk - 1:kk]
-                    short[many] = near <= kth + 2.0 * err[many, None]
-                pr_idx, pc_idx = np.nonzero(short)
-                if len(pr_idx) == 0:
-                    continue
-                ri, dj = rows[pr_idx], cand[pc_idx]
-                ex = _exact_d2(Rz, Dz, prf, pdf, ri, dj, ncol)
-                order = np.lexsort((did[dj], ex, pr_idx))
-                pr_s, ex_s, dj_s = pr_idx[order], ex[order], dj[order]
-                first = np.searchsorted(pr_s, np.arange(len(rows)))
-                rank = np.arange(len(pr_s)) - first[pr_s]
-                take = rank < kk
-                cd = np.full((len(rows), kk), np.inf)
-                ci = np.zeros((len(rows), kk), dtype=np.int64)
-                cv = np.zeros((len(rows), kk))
-                cd[pr_s[take], rank[take]] = ex_s[take]
-                ci[pr_s[take], rank[take]] = did[dj_s[take]]
-                cv[pr_s[take], rank[take]] = D[dj_s[take], j]
-                # merge with the best so far (earlier donor chunks) by (d2, id)
-                md = np.concatenate([best_d[j], cd], axis=1)
-                mi = np.concatenate([best_i[j], ci], axis=1)
-                mv = np.concatenate([best_v[j], cv], axis=1)
-                keep = np.lexsort((mi, md), axis=-1)[:, :k]
-                best_d[j] = np.take_along_axis(md, keep, axis=-1)
-                best_i[j] = np.take_along_axis(mi, keep, axis=-1)
-                best_v[j] = np.take_along_axis(mv, keep, axis=-1)
-        out = []
-        for j in range(ncol):
-            rows = rows_of[j]
-            if len(rows) == 0:
-                continue
-            ok = np.isfinite(best_d[j])
-            rr = np.repeat(rows, best_d[j].shape[1]).reshape(best_d[j].shape)
-            out.append(pd.DataFrame({
-                "rid": rid[rr[ok]], "col_no": np.full(ok.sum(), j, dtype=np.int32),
-                "d2": best_d[j][ok], "donor": best_i[j][ok], "val": best_v[j][ok]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+            r, c, d, d2 = np.zeros((4, 0), dtype=np.int64)
+        else:
+            r, c, d, d2, _ = _group_nearest(
+                recv[list(cols)].to_numpy(dtype=np.float64),
+                D := donors[list(cols)].to_numpy(dtype=np.float64),
+                recv["_limit"].to_numpy(dtype=np.float64),
+                donors["_id"].to_numpy(dtype=np.int64), k)
+        return pd.DataFrame({
+            "rid": recv["_id"].to_numpy(dtype=np.int64)[r], "col_no": c.astype(np.int32),
+            "d2": d2.astype(np.float64), "donor": donors["_id"].to_numpy(dtype=np.int64)[d],
+            "val": D[d, c] if len(d) else np.zeros(0)})
     return fn
 
 
@@ -425,8 +503,8 @@ def _pruned_neighbours(base: DataFrame, cols: Sequence[str], k: int, n_d: int,
 
 def knn_cells(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS, k: int = 5,
               id_col: str = "event_id", receiver_block: int = 2048,
-              donor_block: int = 8192, block_cols: Sequence[str] | None = None,
-              dims: int = 6, cell_rows: int = 2048, report: dict | None = None) -> DataFrame:
+              donor_block: int = 32768, block_cols: Sequence[str] | None = None,
+              dims: int = 6, cell_rows: int = 8192, report: dict | None = None) -> DataFrame:
     """Imputed value of every missing cell: (id, col_no, feature, value).
 
     Mean of the ``k`` nearest donors that have the column, by NaN-Euclidean

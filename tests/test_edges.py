@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,30 @@ def test_knn_receivers_that_miss_a_grid_column_are_pruned(spark):
             assert got[i, cols[j]] == pytest.approx(x[ids, j].mean()), (i, j)
 
 
+@pytest.mark.parametrize("limited", [False, True])
+def test_a_group_compares_only_leaves_within_the_limit(limited):
+    """4,000 donors in one group: a part of them is compared, the nearest five are exact."""
+    rng = np.random.default_rng(5)
+    D, R = rng.random((4000, 4)), rng.random((60, 4))
+    D[::20, 3], R[:, 3], R[:9, 0] = np.nan, np.nan, np.nan
+    ids = rng.permutation(4000)
+    both = ~np.isnan(R)[:, None, :] & ~np.isnan(D)[None, :, :]
+    d2 = 4.0 / both.sum(axis=2) * np.where(both, R[:, None, :] - D[None, :, :], 0.0).__pow__(2).sum(axis=2)
+    want = {}
+    for r, c in zip(*np.nonzero(np.isnan(R))):
+        near = np.where(np.isnan(D[:, c]), np.inf, d2[r])
+        want[r, c] = sorted(zip(near, ids, strict=True))[:5]
+    limit = np.array([max(want[r, c][-1][0] for c in range(4) if (r, c) in want) for r in range(60)])
+    r, c, d, ex, pairs = quality._group_nearest(
+        R, D, limit * (1 + 1e-9) if limited else np.full(60, np.inf), ids, 5)
+    got = {}
+    for a, b, i, x in zip(r, c, ids[d], ex, strict=True):
+        got.setdefault((a, b), []).append((x, i))
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == \
+        {k: [i for _, i in v] for k, v in want.items()}
+    assert pairs < 0.6 * 60 * 4000
+
+
 def test_flat_column(spark):
     df = spark.createDataFrame([(i, 3.0, float(i)) for i in range(10)], "event_id long, f double, g double")
     scaled, params = quality.standard_scale(df, ["f", "g"])
