@@ -46,19 +46,34 @@ from helio.llm.textscan import (MAX_BYTES, byte_values, give_back, mix64, text_s
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_IDS = 65536
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 BLOCK_SCHEMA = ("part int, block int, first long, n_ids int, kind string, planes array<binary>, "
                 "crc long, doc_id array<long>, doc_no array<long>, doc_at array<int>, "
                 "doc_len array<int>, doc_open array<boolean>")
 _BASE = 0x5851F42D4C957F2D
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.zeros(256, dtype=bool)
-_MARK[0x21:0x30] = _MARK[0x3A:0x41] = _MARK[0x5B:0x61] = _MARK[0x7B:0x7F] = True
-_MARK[0x27] = False
+_MARKS = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _LEADS = (b"\xe1", b"\xe2", b"\xe3")
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hashes' base and of its inverse modulo 2**64: terms that
+    are weighed by their place in the slice become sums from a chunk's own start."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(n, base, dtype=np.uint64)
+        powers[:1] = 1
+        out.append(np.multiply.accumulate(powers, out=powers))
+    return out[0], out[1]
+
+
+def _runs(ids: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The runs ``ids[start:start + size]`` one after another; ``total``: running sum of sizes."""
+    where = np.repeat(start - (total - size), size)
+    where += np.arange(len(where))
+    return ids[where]
+
+
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions where a text can be cut without changing its byte-level BPE ids:
     text starts; single spaces and newlines between two bytes that cannot belong to white
@@ -74,14 +89,27 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         behind[2:] &= ~lead[:-2]
         gap = (data[1:-1] == 0x20) | (data[1:-1] == 0x0A)
         begins[1:-2] = gap & behind[:-2] & (plain & ~lead)[2:]
-        begins[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+        letter = ((data | 0x20) - np.uint8(0x61)) < 26  # wraps around below the letters
+        mark = plain & (data < 0x7F) & ~letter & ((data - np.uint8(0x30)) > 9) & (data != 0x27)
+        begins[1:-1] |= letter[:-1] & mark[1:]
     begins[offsets[:-1]] = True
     return np.flatnonzero(begins[:-1]) if len(data) else np.zeros(0, dtype=np.int64)
 
 
+def _put(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` behind its first ``used`` values, in a larger array if need be."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.zeros(max(used, len(more)), array.dtype)])
+    array[used:used + len(more)] = more
+    return array
+
+
 class Encoder:
     """Encodes many texts at once: distinct chunks (see ``chunk_starts``) are encoded
-    once by the tokenizers library and kept, up to ``CACHE_ENTRIES``, for the task."""
+    once by the tokenizers library and kept, up to ``CACHE_ENTRIES``.  When these are
+    full, the chunks met in several slices stay and the others go.
+
+    Chunks are looked up by hash and compared with the kept bytes.  Entry 0 is the end id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,44 +120,93 @@ class Encoder:
             self.n_bytes[i] = len(token)  # one character per byte in a byte-level vocabulary
         self.special = [t.content.encode() for t in
                         self.tokenizer.get_added_tokens_decoder().values()]
+        self.powers = _powers(MAX_BYTES)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.start = np.zeros(CACHE_ENTRIES, dtype=np.int64)
-        self.size = np.zeros(CACHE_ENTRIES, dtype=np.int64)
-
-    def learn(self, chunks: list[bytes]) -> None:
+        self.hash = np.zeros(0, dtype=np.uint64)  # sorted, with the entry of each
+        self.entry = np.zeros(0, dtype=np.int32)
+        self.n, self.n_ids, self.n_text = 1, 1, 0
+        self.ids = np.zeros(1, dtype=np.uint32)
+        self.text = np.zeros(0, dtype=np.uint8)
+        self.start = np.zeros(1, dtype=np.int64)     # of its ids, and their number
+        self.size = np.ones(1, dtype=np.int32)
+        self.text_at = np.zeros(1, dtype=np.int64)   # of its bytes, and their number
+        self.length = np.zeros(1, dtype=np.int32)
+        self.met = np.zeros(1, dtype=np.int32)       # slices that held it
+
+    def keep_frequent(self) -> None:
+        """Drop the chunks met in one slice only, and more until half the entries are free;
+        earlier meetings count half from here on."""
+        met = self.met[self.entry]
+        most = CACHE_ENTRIES // 2
+        least = max(2, int(np.partition(met, -most)[-most]) + 1) if len(met) > most else 2
+        stay = met >= least
+        hashes, old, text, ids = self.hash[stay], self.entry[stay], self.text, self.ids
+        start, size, at, length = (x[old] for x in (self.start, self.size, self.text_at, self.length))
+        ids = _runs(ids, start, size, np.cumsum(size))
+        text = _runs(text, at, length, np.cumsum(length))
+        self.clear()
+        self._add(hashes, text, length, ids, np.cumsum(size) - size, size, met[stay] // 2)
+
+    def _add(self, hashes, text, length, ids, start, size, met) -> None:
+        """New entries: their bytes and ids, and where the ids of each begin among ``ids``."""
+        entries = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hash, hashes[order])
+        self.hash = np.insert(self.hash, at, hashes[order])
+        self.entry = np.insert(self.entry, at, entries[order])
+        self.start = _put(self.start, self.n, self.n_ids + start)
+        self.size = _put(self.size, self.n, size)
+        self.text_at = _put(self.text_at, self.n, self.n_text + np.cumsum(length) - length)
+        self.length = _put(self.length, self.n, length)
+        self.met = _put(self.met, self.n, met)
+        self.ids = _put(self.ids, self.n_ids, ids)
+        self.text = _put(self.text, self.n_text, text)
+        self.n, self.n_ids, self.n_text = (
+            self.n + len(hashes), self.n_ids + len(ids), self.n_text + len(text))
+
+    def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Encode new chunks in one go and split the ids again by their byte lengths.  What
         goes before a chunk gives it the neighbour that makes its start a cut: a letter
-        before a mark, a newline before a letter, nothing before a space or newline."""
-        alone = []
+        before a mark, a newline before a letter, nothing before a space or newline.
+
+        Returns ids, and where those of each chunk begin and how many there are."""
+        start, size = np.zeros((2, len(chunks)), dtype=np.int64)
+        alone, out, used = [], [], 0
+
+        def keep(some: list[int], joined: list[bytes]) -> None:
+            nonlocal used
+            ids, cut = self._encoded(joined)
+            start[some], size[some] = used + cut[0::2], cut[1::2] - cut[0::2]
+            out.append(ids)
+            used += len(ids)
+
         for at in range(0, len(chunks), 4096):
             some, joined = [], []
-            for c in chunks[at:at + 4096]:
+            for i, c in enumerate(chunks[at:at + 4096], at):
                 if c[-1] > 0x7F:  # maybe a Unicode space
                     end = c[-2:-1] in (b"", b"\xc2") or c[-3:-2] in _LEADS
                 else:
                     end = c[-1] < 0x21
                 if not end and c[:1] in (b" ", b"\n") and c[1:2] > b" ":
                     joined += (b"", c)
-                elif not end and _MARK[c[0]]:
+                elif not end and c[0] in _MARKS:
                     joined += (b" a", c)
-                elif not end and _LETTER[c[0]]:
+                elif not end and c[0] in _LETTERS:
                     joined += (b" a\n", c)
                 else:
-                    alone.append(c)
+                    alone.append(i)
                     continue
-                some.append(c)
-            self._keep(some, joined)
-        for c in alone:
-            self._keep([c], [b"", c])
-
-    def _keep(self, some: list[bytes], joined: list[bytes]) -> None:
-        if not some:
-            return
+                some.append(i)
+            if some:
+                keep(some, joined)
+        for i in alone:
+            keep([i], [b"", chunks[i]])
+        return np.concatenate(out), start, size
+
+    def _encoded(self, joined: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the joined pieces, and how many there are up to the end of each."""
         ids = np.asarray(self.tokenizer.encode_batch_fast(
             [b"".join(joined).decode("utf-8")], add_special_tokens=False)[0].ids,
             dtype=np.uint32)
@@ -138,15 +215,44 @@ class Encoder:
         cut = np.searchsorted(upto, ends, side="left")
         if not np.array_equal(upto[cut], ends):
             raise ValueError("the vocabulary is not byte-level: ids do not cover the text")
-        have = len(self.known)
-        used = self.used
-        while used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[used:used + len(ids)] = ids
-        self.start[have:have + len(some)] = used + cut[0::2]
-        self.size[have:have + len(some)] = cut[1::2] - cut[0::2]
-        self.used = used + len(ids)
-        self.known.update(zip(some, range(have, have + len(some))))
+        return ids, cut
+
+    def _entries(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray,
+                 sizes: np.ndarray) -> np.ndarray:
+        """The entries of distinct chunks of a slice; new ones are learnt."""
+        def look() -> np.ndarray:
+            if not len(self.hash):
+                return np.zeros(len(hashes), dtype=np.int32)
+            place = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+            return np.where(self.hash[place] == hashes, self.entry[place], 0)
+
+        at = look()
+        old = np.flatnonzero(at)
+        kept, length = at[old], sizes[old]
+        total = np.cumsum(length)
+        if not (np.array_equal(self.length[kept], length) and np.array_equal(
+                _runs(self.text, self.text_at[kept], length, total),
+                _runs(data, starts[old], length, total))):
+            self.clear()  # two chunks share a hash: the kept one makes room
+            at = look()
+        if self.n + np.count_nonzero(at == 0) > CACHE_ENTRIES:
+            self.keep_frequent()
+            at = look()
+            if self.n + np.count_nonzero(at == 0) > CACHE_ENTRIES:
+                self.clear()  # one slice may have more than the cache
+                at = look()
+        new = np.flatnonzero(at == 0)
+        if len(new):
+            begin, length = starts[new], sizes[new]
+            total = np.cumsum(length)
+            text = _runs(data, begin, length, total)
+            raw = text.tobytes()
+            ids, start, size = self.learn(
+                [raw[e - n:e] for e, n in zip(total.tolist(), length.tolist())])
+            at[new] = np.arange(self.n, self.n + len(new))
+            self._add(hashes[new], text, length, ids, start, size, np.zeros(len(new), np.int32))
+        self.met[at] += 1
+        return at
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the texts' ids one after another, each text's with ``end_id``."""
@@ -162,35 +268,27 @@ class Encoder:
                 inside = (starts > offsets[text]) & (starts < offsets[text + 1])
                 starts = starts[~inside]
                 at = raw.find(mark, int(offsets[text + 1]))
+        del raw
         sizes = np.diff(np.append(starts, len(data)))
-        pos = np.arange(len(data)) - np.repeat(starts, sizes)
-        powers = np.full(int(sizes.max()), _BASE, dtype=np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        sums = np.add.reduceat(byte_values()[data] * powers[pos], starts)
-        del pos, powers
+        power, inverse = _powers(len(data)) if len(data) > MAX_BYTES else self.powers
+        terms = byte_values()[data]
+        terms *= power[:len(data)]
+        sums = np.add.reduceat(terms, starts) * inverse[starts]
+        del terms, power, inverse
         hashes = mix64(sums ^ sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, sample, code = np.unique(hashes, return_index=True, return_inverse=True)
-        chunks = [raw[s:s + n] for s, n in zip(starts[sample].tolist(), sizes[sample].tolist())]
-        first_of_text = np.searchsorted(starts, offsets)
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.clear()
-            new = chunks
-        if len(new) > CACHE_ENTRIES:  # one slice with more distinct chunks than the cache
-            self.start = np.zeros(len(new), dtype=np.int64)
-            self.size = np.zeros(len(new), dtype=np.int64)
-        self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        lens = self.size[at][code]
-        begin = self.start[at][code]
+        found = pa.array(hashes).dictionary_encode()
+        code, distinct = found.indices.to_numpy(), found.dictionary.to_numpy()
+        sample = np.zeros(len(distinct), dtype=np.int64)
+        sample[code] = np.arange(len(code))  # one of the chunks that share a hash
+        at = self._entries(distinct, data, starts[sample], sizes[sample])
+        first_of_text = np.searchsorted(starts, offsets[1:])
+        each = np.insert(at[code], first_of_text, 0)
+        self.ids[0] = end_id
+        lens = self.size[each]
         total = np.cumsum(lens)
-        where = np.arange(total[-1]) + np.repeat(begin - (total - lens), lens)
-        ids = self.ids[where]
-        upto = np.concatenate(([0], total))[first_of_text]
-        counts = np.diff(upto) + 1
-        out = np.insert(ids, upto[1:], np.uint32(end_id))
-        return out, counts
+        ids = _runs(self.ids, self.start[each], lens, total)
+        ends = total[first_of_text + np.arange(len(texts))]
+        return ids, np.diff(ends, prepend=0)
 
 
 def loaded_encoder(path: str) -> Encoder:

@@ -440,6 +440,43 @@ def test_token_planes_empty(spark, odd):
     assert token_planes.read_index(spark, out).count() == 0
 
 
+def test_token_planes_keeps_frequent_chunks(monkeypatch):
+    """A full cache drops rare chunks only, and gives the tokenizer's ids at any size."""
+    rng = random.Random(7)
+    often = [f"the{c}" for c in "abcdefgh"]
+    slices = [[" ".join(rng.sample(often, 8) + ["n" + rng.choice("abc") * k for k in range(i, i + 9)])
+               for _ in range(2)] for i in range(1, 90, 9)]
+    signs = ["\u00e9", "\u00fc\u00df", "\u3000", "\u00a0", "\x85", "\u65e5\u672c", "<|endoftext|>",
+             "don't", "'s", "!!", "a.", "1a", "12", "\n", " ", "  ", "\t", "x", "\u2009", "\U0001F600", "`{", "Z["]
+    slices += [["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(40)] + [None, ""]
+               for _ in range(10)]
+    passed = []
+    real = token_planes.Encoder.learn
+    monkeypatch.setattr(token_planes.Encoder, "learn",
+                        lambda self, chunks: passed.extend(chunks) or real(self, chunks))
+    for room in (1, 5, 60, 600_000):
+        monkeypatch.setattr(token_planes, "CACHE_ENTRIES", room)
+        encoder = token_planes.Encoder(queries.tokenizer_path())
+        passed.clear()
+        for n, texts in enumerate(slices):
+            ids, counts = encoder.encode(pa.array(texts, pa.string()), 0)
+            want = [encoder.tokenizer.encode(x or "", add_special_tokens=False).ids + [0]
+                    for x in texts]
+            assert counts.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [i for x in want for i in x]
+            if n == 9 and room >= 60:
+                assert max(Counter(c for c in passed if c.startswith(b" the")).values()) == 1
+
+
+def test_token_planes_equal_hashes(monkeypatch):
+    """Chunks that share a hash are told apart by their bytes."""
+    monkeypatch.setattr(token_planes, "mix64", lambda x: np.zeros_like(x))
+    encoder = token_planes.Encoder(queries.tokenizer_path())
+    for text in ("alpha", "gamma", "be", "alpha"):
+        ids, _ = encoder.encode(pa.array([text]), 0)
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+
+
 def test_crc_join():
     rng = random.Random(1)
     for n in (0, 1, 7, 1000):
