@@ -524,6 +524,23 @@ def test_model_store_reloads_the_best_model(spark, trained, tmp_path):
         ml.load_best_model(spark, base, "absent", "Random Forest")
 
 
+def test_the_model_store_holds_every_target(spark, monkeypatch):
+    from helio.plans import q_ml
+    from helio.schema import TARGETS
+    df = _line(spark).withColumns({t: F.col("y") + i * F.col("a") for i, t in enumerate(TARGETS)})
+
+    def small(spark, sf_dir, targets=TARGETS, models=None):
+        return df, ml.train_models(df, ["a", "b"], targets, SMALL, models=models)
+    monkeypatch.setattr(q_ml, "_train", small)
+    rows = q_ml.q_model_store(spark, "").collect()
+    assert {(r["target"], r["model"]) for r in rows} == {(t, m) for t in TARGETS for m in ml.MODEL_PARAMS}
+    assert len(rows) == 15 and {r["n"] for r in rows} == {rows[0]["n"]}
+    best = {r["target"]: r for r in rows if r["is_best"]}
+    assert set(best) == set(TARGETS) and all(r["differs"] == 0 for r in best.values())
+    assert all(r["differs"] is None for r in rows if not r["is_best"])
+    assert all(r["reloaded"] == best[r["target"]]["reloaded"] for r in rows)
+
+
 def test_fits_of_several_targets_share_a_pool(spark):
     """Two targets, rows in several partitions: the same models as one by one."""
     df = _line(spark).withColumn("z", F.col("a") - F.col("b"))
