@@ -585,6 +585,76 @@ def test_a_forest_is_grown_in_groves_and_joined(spark, monkeypatch, tmp_path):
     assert again.getNumTrees == 12 and [again.predict(x) for x in rows] == got
 
 
+def _preds(run, *names):
+    return {(r["model"], r["event_id"]): r["yhat"] for r in run.predictions.collect()
+            if not names or r["model"] in names}
+
+
+def test_a_boosted_chain_is_one_task_and_equals_the_passes(spark):
+    """30 trees take a few jobs, not one a level; the trees are those that pyspark.ml grows."""
+    sc, name = spark.sparkContext, "Gradient Boosting"
+    deep = {name: {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 6}}
+    # uneven labels: of splits that are equally good either may be taken
+    df = _line(spark, 600).withColumns({"zero": F.lit(0.0), "a2": F.col("a") * 2,
+                                        "y": F.col("y") + F.sin(F.col("event_id") * 1.7)})
+    sc.setJobGroup("one-task", "")
+    try:
+        (run,) = ml.train_models(df, ["zero", "b", "a", "a2"], ["y"], deep, models=[name])
+        assert len(sc.statusTracker().getJobIdsForGroup("one-task")) < 30
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    (passes,) = ml.train_models(df, ["zero", "b", "a", "a2"], ["y"], deep, models=[name], task_values=0)
+    got, want = _preds(run), _preds(passes)
+    assert len(got) > 20 and got == pytest.approx(want, rel=1e-9)
+    a, b = run.models[name], passes.models[name]
+    assert a.treeWeights == b.treeWeights and a.totalNumNodes == b.totalNumNodes
+    assert a.featureImportances.toArray() == pytest.approx(b.featureImportances.toArray(), abs=1e-9)
+
+
+def test_grown_trees_load_as_models_that_predict_the_same(spark, monkeypatch):
+    """Rows dealt in another way give the same trees; so do groves of a forest, joined."""
+    monkeypatch.setattr(ml, "GROVE_TREES", 2)
+    monkeypatch.setattr(ml, "GROVE_ROWS", 100)
+    names = ["Random Forest", "Gradient Boosting Subsampled"]
+    df = _line(spark)
+    (run,) = ml.train_models(df, ["a", "b"], ["y"], SMALL, models=names)
+    (dealt,) = ml.train_models(df.repartition(5, "b"), ["a", "b"], ["y"], SMALL, models=names)
+    got = _preds(run)
+    assert got == pytest.approx(_preds(dealt), rel=1e-12)
+    loaded = ml.predictions(dict(run.models), run.test, "y").collect()
+    assert got == pytest.approx({(r["model"], r["event_id"]): r["yhat"] for r in loaded}, rel=1e-12)
+    forest = run.models["Random Forest"]
+    assert forest.getNumTrees == 5 and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 2
+
+
+def test_rows_whose_ids_repeat_keep_their_own_predictions(spark, monkeypatch):
+    monkeypatch.setattr(ml, "GROVE_TREES", 2)
+    monkeypatch.setattr(ml, "GROVE_ROWS", 100)
+    df = _line(spark).withColumn("event_id", F.col("event_id") % 50)
+    for task_values in (ml.TASK_VALUES, 0):
+        (run,) = ml.train_models(df, ["a", "b"], ["y"], SMALL, models=["Random Forest"],
+                                 task_values=task_values)
+        assert run.predictions.count() == run.test.count() > 20
+
+
+def test_candidate_splits_lie_at_the_quantiles():
+    import numpy as np
+    from helio.operators import trees
+    x = np.repeat(np.arange(10.0), 3)
+    few = trees.candidate_splits(*trees.counted(x, np.ones(len(x))))
+    assert list(few) == [i + 0.5 for i in range(9)]
+    x = np.random.default_rng(0).normal(size=20_000)
+    halves = [trees.counted(h, np.ones(len(h))) for h in (x[:7000], x[7000:])]
+    for values, counts in (trees.counted(x, np.ones(len(x))),
+                           [np.concatenate(p) for p in zip(*halves)]):
+        values, counts = trees.counted(values, counts)
+        assert len(values) <= trees.KEPT_VALUES and counts.sum() == len(x)
+        many = trees.candidate_splits(values, counts)
+        assert len(many) == 31 and np.mean(x[:, None] <= many, axis=0) == pytest.approx(
+            np.arange(1, 32) / 32, abs=2e-3)
+    assert list(trees.binned(np.array([0.0, 0.5, 0.6, np.nan]), np.array([0.5]))) == [0, 0, 1, 1]
+
+
 def test_the_registered_models_are_full_size():
     from helio.plans import q_ml
     assert not hasattr(q_ml, "CHECK_PARAMS")
