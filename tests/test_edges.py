@@ -627,6 +627,22 @@ def test_grown_trees_load_as_models_that_predict_the_same(spark, monkeypatch):
     assert forest.getNumTrees == 5 and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 2
 
 
+def test_grown_trees_are_saved_without_the_driver(spark, trained, tmp_path, monkeypatch):
+    """A forest's nodes go from table to table; the driver's memory does not hold them."""
+    from pyspark.ml.regression import RandomForestRegressionModel
+    base = f"file://{tmp_path}/models"
+    with monkeypatch.context() as patch:
+        patch.setattr(ml.Models, "__getitem__", lambda *_: pytest.fail("loaded to be saved"))
+        for _ in range(2):  # the second time over the first
+            paths = ml.save_models(trained.models, "y", "Random Forest", base)
+    assert set(paths) == {*ml.MODEL_PARAMS, "best"}
+    one, best = (RandomForestRegressionModel.load(paths[k]) for k in ("Random Forest", "best"))
+    rows = [r["features"] for r in trained.test.collect()]
+    assert [one.predict(x) for x in rows] == [best.predict(x) for x in rows]
+    got = {r["event_id"]: one.predict(r["features"]) for r in trained.test.collect()}
+    assert got == pytest.approx({k[1]: v for k, v in _preds(trained, "Random Forest").items()})
+
+
 def test_rows_whose_ids_repeat_keep_their_own_predictions(spark, monkeypatch):
     monkeypatch.setattr(ml, "GROVE_TREES", 2)
     monkeypatch.setattr(ml, "GROVE_ROWS", 100)
