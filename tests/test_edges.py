@@ -611,6 +611,24 @@ def test_a_boosted_chain_is_one_task_and_equals_the_passes(spark):
     assert a.featureImportances.toArray() == pytest.approx(b.featureImportances.toArray(), abs=1e-9)
 
 
+def test_a_deep_forest_takes_few_jobs(spark):
+    """A level is no pass over the table: not a job each."""
+    sc, jobs = spark.sparkContext, {}
+    deep = {"Random Forest": {"numTrees": 3, "maxDepth": 12}}
+    df = _line(spark, 600).withColumn("y", F.col("y") + F.sin(F.col("event_id") * 1.7))
+    for task_values in (ml.TASK_VALUES, 0):
+        sc.setJobGroup(f"forest-{task_values}", "")
+        try:
+            (run,) = ml.train_models(df, ["a", "b"], ["y"], deep, models=["Random Forest"],
+                                     task_values=task_values)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs[task_values] = len(sc.statusTracker().getJobIdsForGroup(f"forest-{task_values}"))
+        top = ml.feature_importance_top(run.models["Random Forest"], ["a", "b"], spark, 20).collect()
+        assert sum(r["importance"] for r in top) == pytest.approx(1.0) and len(top) == 2
+    assert jobs[ml.TASK_VALUES] <= 10 < jobs[0]
+
+
 def test_grown_trees_load_as_models_that_predict_the_same(spark, monkeypatch):
     """Rows dealt in another way give the same trees; so do groves of a forest, joined."""
     monkeypatch.setattr(ml, "GROVE_TREES", 2)
